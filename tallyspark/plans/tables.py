@@ -27,8 +27,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 TARGET = "F"  # target species: line status F
 
 
+_OPEN: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A source table; its footer is read once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _OPEN:
+        _OPEN[key] = spark.read.parquet(f"{sf}/{name}.parquet")
+    return _OPEN[key]
 
 
 def visits(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +87,8 @@ def tallies(spark: SparkSession, sf: str) -> DataFrame:
 def slices(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a subplot that each condition covers: one row per (visit, condition, subplot)."""
     n = stems(spark, sf).groupBy("plt_cn", "condid", "subp").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tax_code").alias("max_tax"), F.sum("value").alias("value"))
+        F.count(F.lit(1)).alias("n"), F.max("tax_code").alias("max_tax"),
+        F.coalesce(F.sum(F.when(F.col("statuscd") == 1, F.col("value"))), F.lit(0.0)).alias("value"))
     # at most 12 rows per visit are left, so the window is safe on any visit
     return n.withColumn("micrcond_prop", F.col("n") / F.sum("n").over(Window.partitionBy("plt_cn", "subp")))
 
@@ -181,7 +189,8 @@ TWINS = {
    l_linestatus AS spcd, l_tax, CASE WHEN l_discount<95e-3 THEN CAST(l_quantity AS INTEGER) END AS treecount
    FROM lineitem WHERE l_quantity<=15))""",
     "slices": """slices AS (SELECT *, n/CAST(sum(n) OVER (PARTITION BY plt_cn, subp) AS DOUBLE) AS micrcond_prop
-  FROM (SELECT plt_cn, condid, subp, count(*) AS n, max(tax_code) AS max_tax, sum(value) AS value FROM stems
+  FROM (SELECT plt_cn, condid, subp, count(*) AS n, max(tax_code) AS max_tax,
+   coalesce(sum(value) FILTER (statuscd=1),0e0) AS value FROM stems
    GROUP BY plt_cn, condid, subp))""",
     "conditions": """conditions AS (SELECT plt_cn, condid, micrprop_unadj,
   n/CAST(sum(n) OVER (PARTITION BY plt_cn) AS DOUBLE) AS subpprop_unadj, 1e0 AS macrprop_unadj,
