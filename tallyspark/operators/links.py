@@ -79,18 +79,24 @@ def attach(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
     return out
 
 
-def longitudinal_analysis(pairs: DataFrame, stems: DataFrame, tallies: DataFrame, target, second_species,
-                          forest_codes: Sequence, coverage: str = "micrprop_unadj",
-                          cfg: Settings = DEFAULTS) -> DataFrame:
-    """Both visits' measures, the eligibility gates and the before/after outcomes of every linked pair."""
+def unit_measures(pairs: DataFrame, stems: DataFrame, tallies: DataFrame, target, second_species,
+                  coverage: str = "micrprop_unadj", cfg: Settings = DEFAULTS) -> DataFrame:
+    """Every measure of every visited unit of either role, one row per (visit, condition)."""
     wanted = list(dict.fromkeys(["micrprop_unadj", "subpprop_unadj", "macrprop_unadj", "macro_breakpoint_dia", coverage]))
     universe = visit_universe(pairs, wanted)
     live = records_of(stems, universe, ["macro_breakpoint_dia"])
     sm = stem_metrics(live, universe, target, cfg=cfg)
     second = target_metrics(live, universe, second_species, "beech", cfg=cfg)
     tm = tally_metrics(records_of(tallies, universe), universe, target, coverage=coverage).drop(coverage)
-    # one row per unit, so a role needs a single join for all three
-    unit = universe.select(*UNIT).join(sm, list(UNIT), "left").join(second, list(UNIT), "left").join(tm, list(UNIT), "left")
+    return second.join(sm, list(UNIT), "left").join(tm, list(UNIT), "left")
+
+
+def longitudinal_analysis(pairs: DataFrame, unit: DataFrame, forest_codes: Sequence,
+                          cfg: Settings = DEFAULTS) -> DataFrame:
+    """Both visits' measures, the eligibility gates and the before/after outcomes of every linked pair.
+
+    ``unit`` is the output of ``unit_measures``; one row per unit, so each role needs a single join.
+    """
     a = attach(pairs, unit)
     sampled = lambda role: ((F.col(f"{role}_plot_status_cd") == 1) & (F.col(f"{role}_cond_status_cd") == 1)
                             & surely(F.col(f"{role}_micrprop_unadj") > 0))

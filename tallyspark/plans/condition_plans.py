@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import keep
 from ..operators import checks, cohorts, measures, summaries
 from . import tables as t
 from .tables import rnd, rounded, sql
@@ -15,6 +14,7 @@ def members(spark, sf):
     return t.visits(spark, sf).where(F.col("evalid") == "F").select("plt_cn").distinct()
 
 
+@t.stage("eligible")
 def eligible(spark, sf):
     return cohorts.eligible_conditions(t.conditions(spark, sf), t.visits(spark, sf), members(spark, sf), t.FOREST_CODES)
 
@@ -69,6 +69,7 @@ def seed_cover():
         F.col("micrprop_unadj"))
 
 
+@t.stage("analysis")
 def analysis_table(spark, sf):
     e = eligible(spark, sf)
     breaks = e.select("plt_cn", "condid", "macro_breakpoint_dia")
@@ -76,9 +77,8 @@ def analysis_table(spark, sf):
     sm = measures.stem_metrics(stems, e, t.TARGET)
     universe = e.select("plt_cn", "condid", seed_cover().alias("cover"))
     tm = measures.tally_metrics(t.tallies(spark, sf), universe, t.TARGET, coverage="cover")
-    a = e.select("plt_cn", "condid", "unit", "measyear", "balive", "manual").join(
+    return e.select("plt_cn", "condid", "unit", "measyear", "balive", "manual").join(
         sm, ["plt_cn", "condid"], "left").join(tm, ["plt_cn", "condid"])
-    return keep(a)  # condition grain, read by the threshold job and by the result
 
 
 ANALYSIS = ",\n".join([ELIGIBLE, NORMAL.replace("UNIV", "eligible"), STEM_AGG, UNIVERSE, TALLY]) + """,

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.states import tracked_fate
 from ..operators import checks, endpoint, links, measures, summaries
-from ..session import keep
 from ..settings import DEFAULTS
 from . import tables as t
-from .condition_plans import BREAK, NORMAL, STEM_AGG, TALLY, seed_cover
+from .condition_plans import NORMAL, STEM_AGG, TALLY
 from .tables import rnd, rounded, sql
 
 CFG = replace(DEFAULTS, minimum_overlap=0.5)
@@ -24,18 +23,41 @@ def role_visits(spark, sf):
                     F.when(F.col("prev_plt_cn").isNull(), 1).otherwise(2).alias("kindcd"))
 
 
-def candidates(spark, sf, scope="F"):
+def _candidates(spark, sf, scope):
     return links.pair_candidates(t.links(spark, sf), role_visits(spark, sf),
                                  t.conditions(spark, sf), None if scope is None else F.col("evalid") == scope)
 
 
-def analysed(spark, sf):
+@t.stage("candidates")
+def current_candidates(spark, sf):
+    return _candidates(spark, sf, "F")
+
+
+@t.stage("all_candidates")
+def all_candidates(spark, sf):
+    return _candidates(spark, sf, None)
+
+
+def candidates(spark, sf, scope="F"):
+    return (all_candidates if scope is None else current_candidates)(spark, sf)
+
+
+def covered_candidates(spark, sf):
     p = candidates(spark, sf)
-    v = t.visits(spark, sf).select("plt_cn", "manual")
-    for role, key in (("baseline", "baseline_plt_cn"), ("followup", "current_plt_cn")):
+    for role in ("baseline", "followup"):
         cov = F.when(F.col(f"{role}_manual") == 6, None).when(F.col(f"{role}_manual") == 5.1, 0.0).otherwise(F.col(f"{role}_micrprop_unadj"))
         p = p.withColumn(f"{role}_cover", cov)
-    return keep(links.longitudinal_analysis(p, t.stems(spark, sf), t.tallies(spark, sf), "F", "O", t.FOREST_CODES, "cover", CFG))
+    return p
+
+
+@t.stage("unit_measures")
+def unit_measures(spark, sf):
+    return links.unit_measures(covered_candidates(spark, sf), t.stems(spark, sf), t.tallies(spark, sf), "F", "O", "cover", CFG)
+
+
+@t.stage("longitudinal")
+def analysed(spark, sf):
+    return links.longitudinal_analysis(covered_candidates(spark, sf), unit_measures(spark, sf), t.FOREST_CODES, CFG)
 
 
 PO = """po AS (SELECT baseline_plt_cn, baseline_condid, current_plt_cn, current_condid, sum(prop_change)/4e0 AS overlap_prop,
@@ -225,11 +247,12 @@ SUBPLOTS = """subplots AS (SELECT s.plt_cn, s.subp, s.plt_cn*8+s.subp AS subplot
   FROM (SELECT plt_cn, subp, max(max_tax) AS m FROM slices GROUP BY plt_cn, subp) s JOIN visits v ON v.plt_cn=s.plt_cn)"""
 
 
+@t.stage("endpoint")
 def endpoint_rows(spark, sf):
     a = analysed(spark, sf).where("strict_one_to_one")
     d = endpoint.recruitment_dataset(a, t.tagged_stems(spark, sf), t.tallies(spark, sf), subplots(spark, sf),
                                      t.slices(spark, sf), t.links(spark, sf).drop("evalid"), "F", CFG)
-    return keep(d)
+    return d
 
 
 J4 = "{a}.baseline_plt_cn={b}.baseline_plt_cn AND {a}.baseline_condid={b}.baseline_condid AND {a}.current_plt_cn={b}.current_plt_cn AND {a}.current_condid={b}.current_condid"

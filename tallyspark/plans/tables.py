@@ -7,10 +7,13 @@ Every function has a twin SQL text, used by the oracle, in ``TWINS``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import with_previous
+from ..session import stored
 
 NUDGE = 3.3e-11
 
@@ -38,6 +41,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return _OPEN[key]
 
 
+def stage(name: str):
+    """A binding that is built once per application and source folder and kept as a stage table."""
+    def wrap(build):
+        @functools.wraps(build)
+        def read(spark: SparkSession, sf: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf, f"stage:{name}")
+            if key not in _OPEN:
+                _OPEN[key] = stored(build(spark, sf), name)
+            return _OPEN[key]
+        return read
+    return wrap
+
+
+def forget() -> None:
+    """Drop the memo so that the next query rebuilds its stages (used by the bench)."""
+    _OPEN.clear()
+
+
 def visits(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("o_orderpriority")
     manual = F.when(p == "1-URGENT", 9.0).when(p == "2-HIGH", 7.0).when(p == "3-MEDIUM", 6.0).when(
@@ -52,6 +73,7 @@ def visits(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_totalprice").alias("plot_total"))
 
 
+@stage("linked_visits")
 def linked_visits(spark: SparkSession, sf: str) -> DataFrame:
     """Visits with the previous visit of the same plot."""
     v = visits(spark, sf).withColumn("period", F.date_trunc("month", "visit_date"))
@@ -84,6 +106,7 @@ def tallies(spark: SparkSession, sf: str) -> DataFrame:
         (count * F.lit(1.5)).alias("tpa_unadj"))
 
 
+@stage("slices")
 def slices(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a subplot that each condition covers: one row per (visit, condition, subplot)."""
     n = stems(spark, sf).groupBy("plt_cn", "condid", "subp").agg(
@@ -93,6 +116,7 @@ def slices(spark: SparkSession, sf: str) -> DataFrame:
     return n.withColumn("micrcond_prop", F.col("n") / F.sum("n").over(Window.partitionBy("plt_cn", "subp")))
 
 
+@stage("conditions")
 def conditions(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("plt_cn")
     per = slices(spark, sf).groupBy("plt_cn", "condid").agg(
@@ -107,6 +131,7 @@ def conditions(spark: SparkSession, sf: str) -> DataFrame:
 FOREST_CODES = (801, 805)
 
 
+@stage("links")
 def links(spark: SparkSession, sf: str) -> DataFrame:
     """Slice links between consecutive visits, weighted by the smaller share of the two slices."""
     s = slices(spark, sf).select("plt_cn", "condid", "subp", "micrcond_prop")
@@ -118,6 +143,7 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
         "prop_change", F.least("current_prop", "baseline_prop"))
 
 
+@stage("tagged_stems")
 def tagged_stems(spark: SparkSession, sf: str) -> DataFrame:
     """One tagged stem per (visit, line); those with a tax code of 2 or more carry a predecessor tag."""
     pick = F.struct("partkey", "suppkey", "condid", "subp", "spcd", "dia", "statuscd", "tpa_unadj", "tax_code")
@@ -130,6 +156,7 @@ def tagged_stems(spark: SparkSession, sf: str) -> DataFrame:
         F.when(t == 0, 1).when(t == 1, 3).alias("reconcilecd"), "line")
 
 
+@stage("cohort")
 def cohort(spark: SparkSession, sf: str) -> DataFrame:
     """Modelling cohort: one row per pair of consecutive visits, baseline predictors, follow-up outcome."""
     st = stems(spark, sf)

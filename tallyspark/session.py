@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +30,33 @@ def local_session(app: str, cpus: int | str = "*", shuffle_partitions: int = 8)
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+_FOLDERS: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for stage tables: the one the cluster names in ``spark.checkpoint.dir``.
 
     Only a local master without that setting gets a folder of its own (tests, benches).
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if sc.applicationId not in _FOLDERS:
+        _FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _FOLDERS[sc.applicationId]
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a stage table to the shared folder and read it back.
+
+    Cuts lineage, survives lost executors, is computed once and stays columnar for later readers.
+    """
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
