@@ -72,12 +72,17 @@ def main():
 
     sf = sys.argv[1]
     names = sys.argv[2:]
+    only = {n[1:] for n in names if n.startswith("@")}
+    names = [n for n in names if not n.startswith("@")]
+    from importlib import import_module
+    for m in only:
+        names += list(import_module(f"tallyspark.plans.{m}").QUERIES)
     spark = local_session("oracle", 8)
     con = duck(sf)
     oracle = e.oracle_sql()
     bad = 0
     for name, fn in e.queries().items():
-        if names and not any(n in name for n in names):
+        if names and not any(n == name for n in names):
             continue
         t = time.time()
         try:
