@@ -251,7 +251,7 @@ def _newton(base: DataFrame, batch: FitBatch, names: list[str], mid, dev, max_pa
             _advance(batch.fits[i], state, i, np.array(row[1:], dtype=float), tolerance, limit)
     for i, s in state.items():
         f = batch.fits[i]
-        if s["step"] is None or f.max_gradient >= accept:
+        if s["step"] is None or f.max_gradient >= max(accept, 1e-12 * f.weight):
             f.failure = "Fit did not reach a stable finite solution"
         else:
             _finish(f, s, limit)
@@ -262,7 +262,9 @@ def _advance(f: Fit, state: dict, i: int, s: np.ndarray, tolerance: float, limit
     m = len(st["cols"])
     pen, at = st["pen"], st["at"]
     objective = s[0] + np.sum(pen * at**2) / 2
-    if not objective <= st["old"] + 1e-10:
+    # sums over n rows carry rounding noise that grows with n, so both tolerances do too
+    tolerance = max(tolerance, 1e-13 * f.weight)
+    if not objective <= st["old"] + 1e-10 + 1e-12 * abs(st["old"]):
         st["rate"] /= 2
         if st["rate"] < 2**-20:
             f.failure = "Line search failed"
