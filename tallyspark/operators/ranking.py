@@ -206,11 +206,10 @@ def balanced_gain(scored: DataFrame, unit: str, cluster: str, groups: Sequence[s
     """
     ref = F.pow(F.col(y) - F.col(p_ref), F.lit(2.0))
     new = F.pow(F.col(y) - F.col(p_new), F.lit(2.0))
-    u = scored.groupBy(*groups, unit).agg(F.avg(ref).alias("r"), F.avg(new).alias("n"), F.min(cluster).alias("c0"), F.max(cluster).alias("c1"))
-    u = u.withColumn("g", F.col("r") - F.col("n"))
+    u = scored.groupBy(*groups, unit).agg(F.avg(ref).alias("_ref"), F.avg(new).alias("_new"), F.min(cluster).alias("_c0"),
+                                          F.max(cluster).alias("_c1"))
+    gain = F.col("_ref") - F.col("_new")
     return u.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("physical_plots"), F.avg("r").alias("reference_brier"), F.avg("n").alias("new_brier"),
-        F.avg("g").alias("gain"), F.stddev_samp("g").alias("loss_difference_sd"),
-        F.count_if(F.col("c0") != F.col("c1")).alias("units_crossing"))
-
-
+        F.count(F.lit(1)).alias("physical_plots"), F.avg("_ref").alias("reference_brier"), F.avg("_new").alias("new_brier"),
+        F.avg(gain).alias("gain"), F.stddev_samp(gain).alias("loss_difference_sd"),
+        F.count_if(F.col("_c0") != F.col("_c1")).alias("units_crossing"))
