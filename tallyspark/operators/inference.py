@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.plan_size import chi_square_upper, normal_quantile, normal_two_sided_p
 from ..functions.scalar import is_finite, logistic, transformed
-from ..session import keep, settle
+from ..session import keep, settle, stored
 from ..settings import DEFAULTS, Settings
 from .logistic import Fit, FitBatch, Model, fit_batch
 from .ordered import exact_quantiles
@@ -218,8 +218,8 @@ def effect_grid(rows: DataFrame, term: str, terms: Mapping[str, tuple[str, str]]
     return rows.sparkSession.createDataFrame(grid, "point int, " + ", ".join(f"{s} double" for s in (source, *others)))
 
 
-def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms: Mapping[str, tuple[str, str]], passes: int = 60,
-                     tolerance: float = 1e-5) -> DataFrame:
+def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms: Mapping[str, tuple[str, str]], passes: int = 40,
+                     tolerance: float = 1e-5, singular: float = 1e-4) -> DataFrame:
     """Logistic model with one random intercept per cluster, by Laplace-style empirical Bayes steps.
 
     Every step is one aggregation by cluster with map-side combine: a hot cluster is never gathered.
@@ -236,7 +236,7 @@ def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms:
     try:
         beta, var = start.beta.copy(), 0.1
         modes = base.select("c").distinct().withColumn("u", F.lit(0.0))
-        moved, steps, deviance = math.inf, 0, None
+        moved, steps, deviance, trace = math.inf, 0, None, []
         for steps in range(1, passes + 1):
             table, small = settle(modes)
             eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.col("u"))
@@ -247,7 +247,9 @@ def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms:
                                      *[F.sum(r * F.col(f"x{i}")).alias(f"g{i}") for i in range(k)], *[F.sum(v * F.col(f"x{i}")).alias(f"b{i}") for i in range(k)],
                                      *[F.sum(v * F.col(f"x{a}") * F.col(f"x{b}")).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k)])
             per = per.withColumn("su", F.col("s") - F.col("u") / var).withColumn("hu", F.col("h") + 1 / var)
-            per, _ = settle(per)
+            per, small = settle(per)
+            if not small:
+                per = stored(per, "cluster-modes")  # many clusters: cut the lineage of the iteration
             row = per.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ll") - F.col("u") * F.col("u") / (2 * var)).alias("ll"), F.sum(F.log(F.col("hu") * var)).alias("ld"),
                           F.avg(F.col("u") * F.col("u") + 1 / F.col("hu")).alias("v"),
                           *[F.sum(F.col(f"g{i}") - F.col(f"b{i}") * F.col("su") / F.col("hu")).alias(f"g{i}") for i in range(k)],
@@ -259,13 +261,19 @@ def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms:
             modes = per.select("c", (F.col("u") + delta / F.col("hu")).alias("u"))
             beta = beta + step
             moved = max(float(np.max(np.abs(step))), abs(row["v"] - var) / max(var, 1e-6))
-            var = max(float(row["v"]), 1e-8)
-            if moved < tolerance or var <= 1e-6:
+            trace.append(math.log(max(float(row["v"]), 1e-8)))
+            var = math.exp(trace[-1])
+            if moved < tolerance or var < singular:
                 break
+            if len(trace) >= 3 and len(trace) % 3 == 0:
+                # extrapolate the slow geometric tail of the variance updates
+                d1, d2 = trace[-2] - trace[-3], trace[-1] - trace[-2]
+                if abs(d2 - d1) > 1e-12 and 0 < d2 / d1 < 1:
+                    var = math.exp(max(trace[-1] - d2 * d2 / (d2 - d1), trace[-1] - 2.0) if d2 < 0 else min(trace[-1] - d2 * d2 / (d2 - d1), trace[-1] + 2.0))
         fixed_dev = -2 * start.loglik
         stat = max(0.0, fixed_dev - deviance)
         se = np.sqrt(np.diag(np.linalg.inv(schur)))
-        out = [(t, float(b), float(s), var, var / (var + math.pi**2 / 3), deviance, deviance + 2 * (k + 1), stat, 0.5 * chi_square_upper(stat, 1), var < 1e-4, steps, int(row["n"]))
+        out = [(t, float(b), float(s), var, var / (var + math.pi**2 / 3), deviance, deviance + 2 * (k + 1), stat, 0.5 * chi_square_upper(stat, 1), var < singular, steps, int(row["n"]))
                for t, b, s in zip(("(Intercept)", *names), beta, se)]
         return spark.createDataFrame(out, "term string, estimate double, std_error double, cluster_variance double, icc double, deviance double, aic double, "
                                           "lr_chisq double, boundary_p double, singular boolean, steps int, clusters int")

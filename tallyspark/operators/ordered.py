@@ -13,13 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_if_small
 
-MAX_SLICES = 256
+MAX_SLICES = 8192
+MAX_TEXT_SLICES = 256
 ROWS_PER_SLICE = 100_000
 _ORDERED = (T.NumericType, T.DateType, T.TimestampType)
 
@@ -27,31 +29,43 @@ _ORDERED = (T.NumericType, T.DateType, T.TimestampType)
 def slice_bounds(df: DataFrame, column: str) -> list:
     """Ascending cut points of a column, as many as its row count calls for."""
     if isinstance(df.schema[column].dataType, _ORDERED):
-        probs = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-        row = df.agg(F.count(column).alias("n"), F.percentile_approx(column, probs, 10_000).alias("q")).first()
-        slices = min(MAX_SLICES, -(-row["n"] // ROWS_PER_SLICE))
-        values = row["q"] or []
-    else:
-        # Text keys: the values with the smallest hashes are a uniform sample of the distinct ones.
-        keys = df.select(column).where(F.col(column).isNotNull()).distinct()
-        sample = keys.orderBy(F.xxhash64(column), column).limit(MAX_SLICES * 16).collect()
-        values = sorted(r[0] for r in sample)
-        full = len(values) == MAX_SLICES * 16
-        slices = MAX_SLICES if full else -(-len(values) // ROWS_PER_SLICE)
+        v = F.col(column).cast("timestamp").cast("double") if column_is_time(df, column) else F.col(column).cast("double")
+        n = df.agg(F.count(column).alias("n")).first()["n"]
+        slices = min(MAX_SLICES, -(-n // ROWS_PER_SLICE))
+        if slices < 2:
+            return []
+        row = df.agg(F.percentile_approx(v, [i / slices for i in range(1, slices)], max(10_000, 10 * slices)).alias("q")).first()
+        return sorted(set(row["q"]))
+    # Text keys: the values with the smallest hashes are a uniform sample of the distinct ones.
+    keys = df.select(column).where(F.col(column).isNotNull()).distinct()
+    sample = keys.orderBy(F.xxhash64(column), column).limit(MAX_TEXT_SLICES * 16).collect()
+    values = sorted(r[0] for r in sample)
+    full = len(values) == MAX_TEXT_SLICES * 16
+    slices = MAX_TEXT_SLICES if full else -(-len(values) // ROWS_PER_SLICE)
     if slices < 2 or not values:
         return []
     return sorted({values[len(values) * i // slices] for i in range(1, slices)})
 
 
-def slice_of(column: Column, bounds: Sequence) -> Column:
-    """Index of the slice that holds a value, as a balanced CASE tree over literals."""
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column <= F.lit(bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
+def column_is_time(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType))
 
-    return node(0, len(bounds))
+
+def with_slice(df: DataFrame, column: str, bounds: Sequence, out: str = "_slice") -> DataFrame:
+    """Index of the slice that holds each value. Any monotone index serves; numbers use a binary search."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    if isinstance(bounds[0], str):
+        def node(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(F.col(column) <= F.lit(bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
+
+        return df.withColumn(out, node(0, len(bounds)))
+    v = F.col(column).cast("timestamp").cast("double") if column_is_time(df, column) else F.col(column).cast("double")
+    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_v", outputCol=out, handleInvalid="keep")
+    return cut.transform(df.withColumn("_v", v)).drop("_v")
 
 
 def running_totals(values: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str],
@@ -60,7 +74,7 @@ def running_totals(values: DataFrame, groups: Sequence[str], order: str, sums: S
     bounds = slice_bounds(values, order) if bounds is None else bounds
     groups = list(groups)
     cells = [*groups, "_slice"]
-    sliced = values.withColumn("_slice", slice_of(F.col(order), bounds))
+    sliced = with_slice(values, order, bounds)
     inside = Window.partitionBy(*cells).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.select("*", *[F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"_in_{s}") for s in sums])
     per_slice = sliced.groupBy(*cells).agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
@@ -143,22 +157,21 @@ def tile(position: Column, total: Column, tiles: int) -> Column:
         extra + F.floor((position - 1 - big) / F.greatest(base, F.lit(1))) + 1).cast("int")
 
 
-def with_previous(df: DataFrame, key: str, period: str, order: Sequence[str],
-                  carry: Sequence[str]) -> DataFrame:
-    """Add ``prev_<c>``: the preceding row of the same key in (period, *order).
+def with_previous(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Add ``prev_<c>``: the preceding row of the same key in the given order.
 
-    ``period`` is a coarse calendar bucket that never decreases along the order. Rows are linked
-    inside (key, period); the first row of a period takes the last row of the period before it, found
-    on a table with one row per (key, period). A key with a third of all rows is spread over periods.
+    Rows are linked inside (key, slice of the first order column); the first row of a slice takes the last
+    row of the slice before it, found on a table with one row per (key, slice). A key with a third of all
+    rows is spread over the slices.
     """
     seq = [F.col(o) for o in order]
-    inside = Window.partitionBy(key, period).orderBy(*seq)
+    sliced = with_slice(df, order[0], slice_bounds(df, order[0]))
+    inside = Window.partitionBy(key, "_slice").orderBy(*seq)
     packed = F.struct(*carry)
-    first = df.select("*", F.lag(packed).over(inside).alias("_in"))
-    last = df.groupBy(key, period).agg(F.max_by(packed, F.struct(*seq)).alias("_last"))
-    before = last.select(key, period,
-                         F.lag("_last").over(Window.partitionBy(key).orderBy(period)).alias("_prior"))
-    joined = first.join(before, [key, period])
+    first = sliced.select("*", F.lag(packed).over(inside).alias("_in"))
+    last = sliced.groupBy(key, "_slice").agg(F.max_by(packed, F.struct(*seq)).alias("_last"))
+    before = last.select(key, "_slice", F.lag("_last").over(Window.partitionBy(key).orderBy("_slice")).alias("_prior"))
+    joined = first.join(before, [key, "_slice"])
     prev = F.coalesce(F.col("_in"), F.col("_prior"))
     return joined.select(*df.columns, *[prev[x].alias(f"prev_{x}") for x in carry])
 

@@ -76,8 +76,7 @@ def visits(spark: SparkSession, sf: str) -> DataFrame:
 @stage("linked_visits")
 def linked_visits(spark: SparkSession, sf: str) -> DataFrame:
     """Visits with the previous visit of the same plot."""
-    v = visits(spark, sf).withColumn("period", F.date_trunc("month", "visit_date"))
-    return with_previous(v, "unit", "period", ["visit_date", "plt_cn"], ["plt_cn", "visit_date"]).drop("period")
+    return with_previous(visits(spark, sf), "unit", ["visit_date", "plt_cn"], ["plt_cn", "visit_date"])
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from tallyspark.session import local_session
 
-    return local_session("tests", 4, 4)
+    return local_session("tests", 4, 2)
 
 
 @pytest.fixture

@@ -56,8 +56,13 @@ def test_text_order_and_average_rank(spark, sliced):
     assert sorted(r.r for r in ordered.with_average_rank(d, ["g"], "v", "r").collect()) == [1.0, 2.5, 2.5, 4.0]
 
 
-def test_previous_row_crosses_periods(spark):
-    rows = [("u", p, d, i) for i, (p, d) in enumerate([(1, 1), (1, 2), (3, 5), (3, 5), (7, 9)])] + [("v", 3, 5, 9)]
-    df = spark.createDataFrame(rows, "k string, p int, d int, id int").repartition(3)
-    got = {r.id: r.prev_id for r in ordered.with_previous(df, "k", "p", ["d", "id"], ["id"]).collect()}
-    assert got == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 9: None}
+def test_previous_row_crosses_slices(spark, sliced):
+    rnd = random.Random(4)
+    rows = [("hot" if i % 3 else f"k{i % 5}", rnd.randrange(20), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, d int, id int").repartition(3)
+    got = {r.id: r.prev_id for r in ordered.with_previous(df, "k", ["d", "id"], ["id"]).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        ids = [i for _, i in sorted((d, i) for kk, d, i in rows if kk == k)]
+        want |= dict(zip(ids, [None, *ids[:-1]]))
+    assert got == want
