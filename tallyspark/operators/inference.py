@@ -219,7 +219,7 @@ def effect_grid(rows: DataFrame, term: str, terms: Mapping[str, tuple[str, str]]
 
 
 def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms: Mapping[str, tuple[str, str]], passes: int = 40,
-                     tolerance: float = 1e-5, singular: float = 1e-4) -> DataFrame:
+                     tolerance: float = 1e-4, singular: float = 1e-4) -> DataFrame:
     """Logistic model with one random intercept per cluster, by Laplace-style empirical Bayes steps.
 
     Every step is one aggregation by cluster with map-side combine: a hot cluster is never gathered.
@@ -235,12 +235,11 @@ def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms:
     spark = rows.sparkSession
     try:
         beta, var = start.beta.copy(), 0.1
-        modes = base.select("c").distinct().withColumn("u", F.lit(0.0))
-        moved, steps, deviance, trace = math.inf, 0, None, []
+        modes, small = settle(base.select("c").distinct().withColumn("u", F.lit(0.0)))
+        moved, steps, deviance = math.inf, 0, None
         for steps in range(1, passes + 1):
-            table, small = settle(modes)
             eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.col("u"))
-            j = base.join(F.broadcast(table) if small else table, "c").withColumn("eta", eta).withColumn("p", logistic("eta"))
+            j = base.join(F.broadcast(modes) if small else modes, "c").withColumn("eta", eta).withColumn("p", logistic("eta"))
             v, r = F.col("p") * (1 - F.col("p")), F.col("y") - F.col("p")
             ll = -(F.greatest(F.col("eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("eta"))) - F.col("y") * F.col("eta"))
             per = j.groupBy("c").agg(F.first("u").alias("u"), F.sum(ll).alias("ll"), F.sum(r).alias("s"), F.sum(v).alias("h"),
@@ -251,7 +250,8 @@ def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms:
             if not small:
                 per = stored(per, "cluster-modes")  # many clusters: cut the lineage of the iteration
             row = per.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ll") - F.col("u") * F.col("u") / (2 * var)).alias("ll"), F.sum(F.log(F.col("hu") * var)).alias("ld"),
-                          F.avg(F.col("u") * F.col("u") + 1 / F.col("hu")).alias("v"),
+                          F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(1 / F.col("hu")).alias("ih"),
+                          F.sum(F.col("s") * F.col("s") - F.col("h")).alias("slope"),
                           *[F.sum(F.col(f"g{i}") - F.col(f"b{i}") * F.col("su") / F.col("hu")).alias(f"g{i}") for i in range(k)],
                           *[F.sum(F.col(f"m{a}_{b}") - F.col(f"b{a}") * F.col(f"b{b}") / F.col("hu")).alias(f"m{a}_{b}") for a in range(k) for b in range(a, k)]).first()
             schur = np.array([[row[f"m{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)])
@@ -260,19 +260,20 @@ def random_intercept(rows: DataFrame, y: str, cluster: str, model: Model, terms:
             delta = F.col("su") - sum((F.col(f"b{i}") * F.lit(float(step[i])) for i in range(k)), F.lit(0.0))
             modes = per.select("c", (F.col("u") + delta / F.col("hu")).alias("u"))
             beta = beta + step
-            moved = max(float(np.max(np.abs(step))), abs(row["v"] - var) / max(var, 1e-6))
-            trace.append(math.log(max(float(row["v"]), 1e-8)))
-            var = math.exp(trace[-1])
+            if steps == 1 and row["slope"] <= 0:
+                # the likelihood falls as soon as the variance leaves zero: no cluster spread to estimate
+                var, deviance, beta = 0.0, -2 * start.loglik, start.beta
+                break
+            if steps > 1:
+                # fixed point of the variance with the modes' effective degrees of freedom
+                new = max(row["uu"] / max(row["n"] - row["ih"] / var, 1e-9), 1e-8)
+                moved = max(float(np.max(np.abs(step))), abs(new - var) / var)
+                var = new
             if moved < tolerance or var < singular:
                 break
-            if len(trace) >= 3 and len(trace) % 3 == 0:
-                # extrapolate the slow geometric tail of the variance updates
-                d1, d2 = trace[-2] - trace[-3], trace[-1] - trace[-2]
-                if abs(d2 - d1) > 1e-12 and 0 < d2 / d1 < 1:
-                    var = math.exp(max(trace[-1] - d2 * d2 / (d2 - d1), trace[-1] - 2.0) if d2 < 0 else min(trace[-1] - d2 * d2 / (d2 - d1), trace[-1] + 2.0))
         fixed_dev = -2 * start.loglik
         stat = max(0.0, fixed_dev - deviance)
-        se = np.sqrt(np.diag(np.linalg.inv(schur)))
+        se = np.sqrt(np.diag(start.covariance if var == 0 else np.linalg.inv(schur)))
         out = [(t, float(b), float(s), var, var / (var + math.pi**2 / 3), deviance, deviance + 2 * (k + 1), stat, 0.5 * chi_square_upper(stat, 1), var < singular, steps, int(row["n"]))
                for t, b, s in zip(("(Intercept)", *names), beta, se)]
         return spark.createDataFrame(out, "term string, estimate double, std_error double, cluster_variance double, icc double, deviance double, aic double, "

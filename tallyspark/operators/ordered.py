@@ -62,10 +62,12 @@ def with_slice(df: DataFrame, column: str, bounds: Sequence, out: str = "_slice"
             mid = (lo + hi) // 2
             return F.when(F.col(column) <= F.lit(bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
 
-        return df.withColumn(out, node(0, len(bounds)))
+        return df.withColumn(out, F.coalesce(node(0, len(bounds)), F.lit(0)))
     v = F.col(column).cast("timestamp").cast("double") if column_is_time(df, column) else F.col(column).cast("double")
     cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_v", outputCol=out, handleInvalid="keep")
-    return cut.transform(df.withColumn("_v", v)).drop("_v")
+    sliced = cut.transform(df.withColumn("_v", v)).drop("_v")
+    # a slice is never missing; saying so keeps both uses of the tie table on one exchange
+    return sliced.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
 def running_totals(values: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import checks, links, reconcile, summaries
+from ..operators import checks, cohorts, links, reconcile, summaries
 from ..sources import manifest, scan, text
 from . import tables as t
 from .link_plans import SUBPLOTS, endpoint_rows, subplots
@@ -500,6 +500,23 @@ def catalogue_scan(spark, sf):
 SCAN_SQL = "SELECT p_partkey, p_size, CAST(NULL AS DOUBLE) AS macrprop, p_brand AS kind FROM part WHERE p_size>40"
 
 
+def evaluation_lookup(spark, sf):
+    """Latest evaluation, one pinned evaluation and the members of the active type codes."""
+    ev = t.visits(spark, sf).groupBy("evalid").agg(F.max("visit_date").alias("end_date"), F.count(F.lit(1)).alias("visits"))
+    picked = [("latest", cohorts.resolve_evaluation(ev, "end_date", "evalid")), ("pinned", cohorts.resolve_evaluation(ev, "end_date", "evalid", "F"))]
+    rows = spark.createDataFrame([(k, r["evalid"], r["visits"]) for k, r in picked], "choice string, evalid string, visits long")
+    types = t.table(spark, sf, "part").groupBy("p_type").agg(F.max("p_size").alias("size"), F.min("p_brand").alias("brand")).select(
+        F.col("p_type").alias("code"), F.lit(800).alias("grp"), F.when(F.col("brand") < "Brand#2", "Y").otherwise("N").alias("allowed"), F.when(F.col("size") < 50, F.col("size")).alias("retired"))
+    active = cohorts.active_codes(types, "code", "grp", 800, "allowed", "retired").agg(F.count(F.lit(1)).alias("active_codes"))
+    one = cohorts.named_row(t.table(spark, sf, "region"), {"r_name": "asia", "r_regionkey": "-1"})
+    return rows.crossJoin(active).withColumn("region_key", F.lit(one["r_regionkey"]))
+
+
+EVAL_SQL = sql("visits", """SELECT choice, evalid, visits, (SELECT count(*) FROM (SELECT p_type FROM part GROUP BY p_type HAVING min(p_brand)<'Brand#2' AND NOT max(p_size)<50)) AS active_codes,
+  (SELECT r_regionkey FROM region WHERE lower(r_name)='asia') AS region_key FROM (SELECT 'latest' AS choice, * FROM (SELECT * FROM ev ORDER BY end_date DESC, evalid DESC LIMIT 1)
+  UNION ALL SELECT 'pinned', * FROM ev WHERE evalid='F')""", "ev AS (SELECT evalid, max(visit_date) AS end_date, count(*) AS visits FROM visits GROUP BY 1)")
+
+
 def source_manifest(spark, sf):
     """Digests of the source files against a pin list in which one file is changed and one is not listed."""
     m = manifest.file_manifest(spark, sf, "*.parquet")
@@ -519,5 +536,5 @@ QUERIES = {
     "value_counts": (value_counts, VC_SQL), "cohort_support": (cohort_support, SUPP_SQL), "field_support": (field_support, FS_SQL), "cohort_range_medians": (range_medians, RM_SQL),
     "role_lookup": (role_lookup, LOOK_SQL), "membership_screens": (membership_screens, MEMB_SQL), "text_key_join": (text_key_join, TKJ_SQL), "region_reader": (region_reader, REG_SQL),
     "series_csv": (series_csv, SER_SQL), "schema_inventory": (schema_inventory, INV_SQL), "table_row_counts": (table_row_counts, ROWS_SQL), "reference_matches": (reference_matches, REF_SQL),
-    "catalogue_scan": (catalogue_scan, SCAN_SQL), "source_manifest": (source_manifest, MAN_SQL),
+    "catalogue_scan": (catalogue_scan, SCAN_SQL), "evaluation_lookup": (evaluation_lookup, EVAL_SQL), "source_manifest": (source_manifest, MAN_SQL),
 }
