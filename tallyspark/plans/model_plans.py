@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import logit
 from ..operators import checks, folds, inference, links, logistic, ranking, resample, summaries
 from ..operators.logistic import Model
+from ..session import stored
 from . import tables as t
 from .tables import rnd, rounded, sql
 
@@ -75,7 +76,8 @@ LEAK_SQL = "SELECT * FROM (VALUES ('unit', CAST(0 AS BIGINT)), ('cluster', CAST(
 
 def crossfit(rows, penalty=1.0, specs=None, weights=None, resamples=1, override=None, keep=("row_id", "unit", "cluster", "y")):
     batch = logistic.fit_batch(rows, "y", TERMS, specs or models(penalty), "fold", (1, 2, 3, 4, 5), weights, resamples)
-    return batch, logistic.predict(rows, batch, keep, "fold", weights, override=override)
+    # several metrics read the predictions, so they are kept as a stage table
+    return batch, stored(logistic.predict(rows, batch, keep, "fold", weights, override=override), "predictions")
 
 
 def full_metrics(p, groups=("model",), benchmark=PREV, calibrate=True, weight=None):
@@ -126,7 +128,8 @@ def temporal(spark, sf, override=None):
     if not shared.isEmpty():
         raise checks.AuditFailure("units overlap the temporal split")
     batch = logistic.fit_batch(rows, "y", TERMS, models(), "fold", (1,))
-    return batch, logistic.predict(rows, batch, ("row_id", "unit", "cluster", "y", "seedling_count", "coverage", "sapling_tpa"), "fold", override=override)
+    return batch, stored(logistic.predict(rows, batch, ("row_id", "unit", "cluster", "y", "seedling_count", "coverage", "sapling_tpa"), "fold",
+                                          override=override), "predictions")
 
 
 def temporal_check(spark, sf):
