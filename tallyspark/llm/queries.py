@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary files lie; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf), vocabulary_path())
+
+
 QUERIES = {
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
+    "op8_bpe": (op8_bpe, None),
 }
