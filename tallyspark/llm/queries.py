@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, langid, simhash
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,7 +27,18 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf), vocabulary_path())
 
 
+def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
+    """Whether crc32 of the key's text leaves the remainder; a null key counts as held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
+
+
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).withColumn("held_out", held_out(5, 0))
+    return langid.predict(docs, langid.train(docs, ~F.col("held_out")), extra=("held_out",))
+
+
 QUERIES = {
+    "op5_language_id": (op5_language_id, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_bpe": (op8_bpe, None),
 }
