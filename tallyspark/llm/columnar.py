@@ -84,7 +84,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _base(seed: int) -> tuple[np.ndarray, int]:
+def hash_base(seed: int) -> tuple[np.ndarray, int]:
     if seed not in _TABLES:
         r = np.random.default_rng(seed + 7)
         table = r.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,7 +102,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    table, base = _base(seed)
+    table, base = hash_base(seed)
     return span_hashes(table[buf], starts, ends, base)
 
 
@@ -112,7 +112,7 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     at = np.arange(n)
-    return span_hashes(words, at, at + size, _base(seed + 100)[1])
+    return span_hashes(words, at, at + size, hash_base(seed + 100)[1])
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:

@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash
+from . import bpe, langid, simhash, substrings
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+least AS (SELECT s, min(doc_id) AS low FROM win GROUP BY s),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (s) WHERE low < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(ws) AS n_words, CASE WHEN ps IS NULL THEN ws ELSE list_filter(
+             list_transform(range(1, len(ws) + 1), lambda x: CASE WHEN list_contains(ps, x) THEN NULL ELSE ws[x] END),
+             lambda y: y IS NOT NULL) END AS ks FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_words - len(ks) AS n_removed, sha256(coalesce(array_to_string(ks, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
@@ -38,6 +56,7 @@ def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, SUBSTRING_SQL),
     "op5_language_id": (op5_language_id, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_bpe": (op8_bpe, None),
