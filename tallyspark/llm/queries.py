@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, substrings
+from . import bpe, langid, nra, simhash, substrings, urls
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,6 +45,25 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf), vocabulary_path())
 
 
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", nra.whole("embedding").alias("v"))
+    return nra.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     """Whether crc32 of the key's text leaves the remainder; a null key counts as held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
@@ -57,6 +76,8 @@ def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, SUBSTRING_SQL),
+    "op4_url_filter": (op4_url_filter, None),
+    "op6_exact_top_k": (op6_exact_top_k, TOP_K_SQL),
     "op5_language_id": (op5_language_id, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_bpe": (op8_bpe, None),
