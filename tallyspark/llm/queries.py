@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, nra, simhash, substrings, urls
+from . import bpe, gru, langid, nra, simhash, substrings, urls
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs, ~F.col("held_out")), extra=("held_out",))
 
 
+def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return gru.score(documents(spark, sf), held_out(7, 2))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, SUBSTRING_SQL),
     "op4_url_filter": (op4_url_filter, None),
@@ -81,4 +85,5 @@ QUERIES = {
     "op5_language_id": (op5_language_id, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_bpe": (op8_bpe, None),
+    "op10_lm_scoring": (op10_lm_scoring, None),
 }
