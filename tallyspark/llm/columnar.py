@@ -41,10 +41,10 @@ def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return (_LOWER[buf] if lower else buf), off - off[0]
 
 
-def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(buf: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the number of the first word at or after its start (n + 1 entries)."""
     inside = np.zeros(len(buf) + 2, bool)
-    np.logical_not(_IS_SPACE[buf], out=inside[1:-1])
+    np.logical_not(between[buf], out=inside[1:-1])
     cut = np.zeros(len(buf) + 1, bool)
     cut[off] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))

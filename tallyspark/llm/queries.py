@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gru, langid, lines, nra, simhash, substrings, urls
+from . import bpe, gru, langid, leaks, lines, nra, simhash, substrings, urls
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary files lie; the operators take any path."""
     import public_tokenizers
@@ -91,5 +95,6 @@ QUERIES = {
     "op5_language_id": (op5_language_id, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_bpe": (op8_bpe, None),
+    "op9_decontamination": (op9_decontamination, None),
     "op10_lm_scoring": (op10_lm_scoring, None),
 }
