@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gru, langid, leaks, lines, nra, simhash, substrings, urls
+from . import bpe, gru, langid, leaks, lines, nra, secrets, simhash, substrings, urls
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf))
+
+
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf}/pages.parquet"))
 
@@ -90,6 +94,7 @@ def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, SUBSTRING_SQL),
     "op2_line_dedup": (op2_line_dedup, None),
+    "op3_secret_scan": (op3_secret_scan, None),
     "op4_url_filter": (op4_url_filter, None),
     "op6_exact_top_k": (op6_exact_top_k, TOP_K_SQL),
     "op5_language_id": (op5_language_id, None),
