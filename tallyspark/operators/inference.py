@@ -209,7 +209,7 @@ def score_with_band(rows: DataFrame, fit: Fit, terms: Mapping[str, tuple[str, st
 def effect_grid(rows: DataFrame, term: str, terms: Mapping[str, tuple[str, str]], points: int = 40) -> DataFrame:
     """Rows that move one term from its minimum to its 99th percentile on the log scale, others at their means."""
     source, _ = terms[term]
-    q = exact_quantiles(rows.select(F.col(source).cast("double").alias("v")), [], "v", {"hi": 0.99, "lo": 0.0}).first()
+    q = exact_quantiles(rows.select(F.col(source).cast("double").alias("v")), [], "v", {"hi": 0.99, "lo": 0.0}, median_unbiased=True).first()
     others = {s: kd for t, (s, kd) in terms.items() if t != term}
     mean = rows.agg(*[F.avg(transformed(s, kd)).alias(s) for s, kd in others.items()]).first()
     lo, hi = math.log1p(max(q["lo"], 0.0)), math.log1p(q["hi"])

@@ -64,10 +64,12 @@ class FitBatch:
         return spark.createDataFrame([(f.resample, f.fold, f.model, f.failure) for f in self.fits if f.failure],
                                      "resample int, fold int, model string, reason string")
 
+    def failed_resamples(self) -> set[int]:
+        return {f.resample for f in self.fits if f.failure}
+
     def gate(self, resamples: int, minimum: float = 0.9) -> int:
         """Resamples in which every fit succeeded; too few are an error."""
-        bad = {f.resample for f in self.fits if f.failure}
-        good = resamples - len(bad)
+        good = resamples - len(self.failed_resamples())
         if good < minimum * resamples:
             raise RuntimeError(f"only {good} of {resamples} resamples succeeded")
         return good
@@ -122,6 +124,14 @@ class FitBatch:
         return spark.createDataFrame(rows, "resample int, fold int, model string, a array<double>")
 
 
+class IncompletePredictions(RuntimeError):
+    """A fit of the cohort itself failed, so that some of its rows would stay unscored."""
+
+    def __init__(self, batch: FitBatch):
+        self.batch = batch
+        super().__init__("; ".join(f"{f.model}, fold {f.fold}: {f.failure}" for f in batch.fits if f.failure))
+
+
 def _statistics(batches: Iterator[pa.RecordBatch], k: int, jobs: list, width: int) -> Iterator[pa.RecordBatch]:
     """Per task: objective, gradient and upper information triangle of every running fit."""
     totals = [np.zeros((width, len(ids))) for ids, *_ in jobs]
@@ -178,7 +188,12 @@ def fit_batch(rows: DataFrame, y: str, terms: Mapping[str, tuple[str, str]], mod
     carry = [F.col(cluster)] if weights is not None else []
     t = rows.select(F.col(y).cast("int").alias("y"), fold_col.alias("fold"), *carry, *cols)
     g = t.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"t{i}").alias(f"a{i}") for i in range(k)],
-              *[F.stddev_pop(f"t{i}").alias(f"d{i}") for i in range(k)]).first()
+              *[F.stddev_pop(f"t{i}").alias(f"d{i}") for i in range(k)],
+              *[F.count_if(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias(f"u{i}") for i in range(k) for c in (F.col(f"t{i}").cast("double"),)],
+              F.count_if(F.col("y").isNull() | ~F.col("y").isin(0, 1)).alias("uy")).first()
+    unusable = {n: g[f"u{i}"] for i, n in enumerate(names) if g[f"u{i}"]} | ({y: g["uy"]} if g["uy"] else {})
+    if unusable:
+        raise ValueError(f"missing or non-finite values in the cohort: {unusable}")
     mid = np.array([g[f"a{i}"] for i in range(k)], dtype=float)
     dev = np.array([g[f"d{i}"] for i in range(k)], dtype=float)
     dev[~np.isfinite(dev) | (dev < 1e-12)] = 1.0
@@ -300,7 +315,12 @@ def _finish(f: Fit, st: dict, limit: float) -> None:
     if not np.all(np.isfinite(beta)) or np.max(np.abs(beta)) > limit:
         f.failure = "Fit did not reach a stable finite solution"
         return
-    f.beta, f.covariance = beta, np.linalg.inv(st["info"])
+    try:
+        covariance = np.linalg.inv(st["info"])
+    except np.linalg.LinAlgError:
+        f.failure = "Information matrix is singular"
+        return
+    f.beta, f.covariance = beta, covariance
 
 
 def predict(rows: DataFrame, batch: FitBatch, keep_columns: Sequence[str], fold: str | None = None, weights: DataFrame | None = None,

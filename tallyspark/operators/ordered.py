@@ -105,12 +105,14 @@ def ranked_values(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated (type 7) quantiles per group, one column per named probability."""
+                    probs: dict[str, float], median_unbiased: bool = False) -> DataFrame:
+    """Linearly interpolated (type 7) quantiles per group, one column per named probability; type 8 if median_unbiased."""
     r = ranked_values(df, groups, value)
     aggs = []
     for name, p in probs.items():
         h = (F.col("total_n") - 1) * F.lit(float(p))
+        if median_unbiased:
+            h = F.least(F.greatest((F.col("total_n") + 1 / 3) * F.lit(float(p)) - 2 / 3, F.lit(0.0)), (F.col("total_n") - 1).cast("double"))
         for tag, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
             here = (F.col("before_n") <= pos) & (pos < F.col("before_n") + F.col("n"))
             aggs.append(F.max(F.when(here, F.col(value))).alias(f"_{tag}_{name}"))

@@ -20,7 +20,11 @@ LOSS_METRICS = ("brier_score", "log_loss", "roc_auc", "average_precision")
 
 
 def _weight(w: str | None) -> Column:
-    return F.col(w).cast("long") if w else F.lit(1).cast("long")
+    """Frequency weights; a fraction is an error, never cut off."""
+    if not w:
+        return F.lit(1).cast("long")
+    whole = F.col(w).isNull() | (F.col(w) == F.col(w).cast("long"))
+    return F.when(whole, F.col(w).cast("long")).otherwise(F.raise_error(F.lit("frequency weights must be whole numbers")).cast("long"))
 
 
 def prob_metrics(scored: DataFrame, groups: Sequence[str], y: str = "y", p: str = "p", w: str | None = None,
@@ -92,8 +96,13 @@ def paired_differences(metrics: DataFrame, pairs: Sequence[tuple[str, str]], fie
 
 def cutoffs(scored: DataFrame, groups: Sequence[str], target: str, score: str, fractions: Sequence[float],
             w: str | None = None) -> DataFrame:
-    """For each group and capacity: the cutoff score, what lies above it and how large its tie is."""
+    """For each group and capacity: the cutoff score, what lies above it and how large its tie is.
+
+    A capacity that rounds to zero keeps its row, with no cutoff and an empty tie. A missing or NaN score is an error.
+    """
     live = scored if w is None else scored.where(F.col(w) > 0)
+    s = F.col(score).cast("double")
+    live = live.withColumn(score, F.when(s.isNotNull() & ~F.isnan(s), F.col(score)).otherwise(F.raise_error(F.lit("missing scores cannot be ranked")).cast(live.schema[score].dataType)))
     r = running_totals(tie_table(live, groups, target, score, w), groups, score, ["w", "t"], slice_bounds(live, score))
     r = r.withColumn("requested_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     r = r.withColumn("capacity", F.floor(F.col("total_w") * F.col("requested_fraction")))
@@ -101,8 +110,10 @@ def cutoffs(scored: DataFrame, groups: Sequence[str], target: str, score: str, f
     above_t = F.col("total_t") - F.col("before_t") - F.col("t")
     r = r.withColumn("above_w", above_w).withColumn("above_t", above_t)
     at = (F.col("above_w") < F.col("capacity")) & (F.col("capacity") <= F.col("above_w") + F.col("w"))
-    return r.where(at).select(*groups, "requested_fraction", "capacity", F.col(score).alias("cutoff_score"),
-                              F.col("w").alias("tied_w"), F.col("t").alias("tied_t"), "above_w", "above_t", "total_w", "total_t")
+    none = (F.col("capacity") == 0) & (F.col("above_w") == 0)
+    return r.where(at | none).select(
+        *groups, "requested_fraction", "capacity", F.when(~none, F.col(score)).alias("cutoff_score"), F.when(none, 0).otherwise(F.col("w")).alias("tied_w"),
+        F.when(none, 0).otherwise(F.col("t")).alias("tied_t"), "above_w", "above_t", "total_w", "total_t")
 
 
 def select_capacity(scored: DataFrame, groups: Sequence[str], target: str, score: str, fractions: Sequence[float],
@@ -130,18 +141,20 @@ def select_capacity(scored: DataFrame, groups: Sequence[str], target: str, score
     det = per_unit.groupBy(*by).agg(F.sum("hits").alias("deterministic_targets"), F.count(F.lit(1)).alias("selected_units"))
     c = F.col
     left = c("capacity") - c("above_w")
-    expected = c("above_t") + left * c("tied_t") / c("tied_w")
+    expected = c("above_t") + F.coalesce(F.try_divide(left * c("tied_t"), c("tied_w")), F.lit(0.0))
     random = c("capacity") * c("total_t") / c("total_w")
+    none = c("capacity") == 0
     out = cut.join(det, by, "left")
     return out.select(
         *by, c("total_w").alias("observations"), c("total_t").alias("target_total"), "capacity",
         expected.alias("expected_targets"), (c("capacity") - expected).alias("expected_non_targets"),
-        (expected / c("capacity")).alias("selected_target_fraction"),
+        F.try_divide(expected, c("capacity")).alias("selected_target_fraction"),
         F.when(c("total_t") > 0, expected / c("total_t")).alias("target_capture_fraction"),
         random.alias("random_expected_targets"), (expected - random).alias("extra_targets_vs_random"),
         (c("above_t") + F.greatest(F.lit(0), left - (c("tied_w") - c("tied_t")))).alias("minimum_targets"),
         (c("above_t") + F.least(left, c("tied_t"))).alias("maximum_targets"),
-        "deterministic_targets", "selected_units", "cutoff_score", c("tied_w").alias("cutoff_tied_mass"),
+        F.when(none, F.coalesce("deterministic_targets", F.lit(0))).otherwise(c("deterministic_targets")).alias("deterministic_targets"),
+        F.when(none, F.coalesce("selected_units", F.lit(0))).otherwise(c("selected_units")).alias("selected_units"), "cutoff_score", c("tied_w").alias("cutoff_tied_mass"),
         left.alias("cutoff_tied_selected"))
 
 

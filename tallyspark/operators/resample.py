@@ -28,7 +28,7 @@ def cluster_index(df: DataFrame, cluster: str) -> DataFrame:
 def draw_number(seed: int, resample: Column, draw: Column, size: int) -> Column:
     """Uniform cluster number from a keyed hash: the same on every engine and every partitioning."""
     key = F.concat_ws("|", F.lit(str(seed)), resample.cast("string"), draw.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(size))
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), F.lit(size))
 
 
 def multiplicities(df: DataFrame, cluster: str, resamples: int, seed: int) -> DataFrame:

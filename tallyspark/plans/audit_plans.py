@@ -465,7 +465,8 @@ SER_SQL = sql("", "SELECT event_type AS file_key, count(*) AS records, rnd(avg(r
 
 # --- catalogue ----------------------------------------------------------------------------------------------
 
-SCANNED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
+SCANNED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+           "benchmark", "labels", "conversations")
 
 
 def schema_inventory(spark, sf):

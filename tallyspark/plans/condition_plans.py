@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import checks, cohorts, measures, summaries
+from ..settings import DEFAULTS
 from . import tables as t
 from .tables import rnd, rounded, sql
 
@@ -305,14 +306,13 @@ WILSON = sql(BASE + " units", """SELECT cluster, sample_n, gap_n, gap_denominato
 
 def masked_rank(spark, sf):
     a = measures.gap_flags(analysis_table(spark, sf), ranks=False).join(t.units(spark, sf), "unit")
-    m = summaries.masked_proportions(a, ["cluster"], "potential_gap", 8)
-    return rounded(m.where("supported and estimate is not null").orderBy(F.desc("estimate"), "cluster").limit(10)
-                   .select("cluster", "gap_denominator", "estimate"), 8)
+    m = summaries.masked_proportions(a, ["cluster"], "potential_gap", DEFAULTS.minimum_map_n)
+    return rounded(m.where("supported and estimate is not null").orderBy(F.desc("estimate"), "cluster").select("cluster", "gap_denominator", "estimate"), 8)
 
 
 MASKED_RANK = sql(BASE + " units", """SELECT cluster, count(potential_gap) AS gap_denominator,
   rnd(count(*) FILTER (potential_gap)/CAST(count(potential_gap) AS DOUBLE),8) AS estimate FROM flagged f JOIN units u ON u.unit=f.unit
-  GROUP BY cluster HAVING count(potential_gap)>=8 ORDER BY count(*) FILTER (potential_gap)/CAST(count(potential_gap) AS DOUBLE) DESC, cluster LIMIT 10""", ANALYSIS)
+  GROUP BY cluster HAVING count(potential_gap)>=20""", ANALYSIS)
 
 
 def protocol_completeness(spark, sf):

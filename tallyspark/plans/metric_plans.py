@@ -184,7 +184,7 @@ def bootstrap_draws(spark, sf):
 
 
 DRAWS = f"""cidx AS (SELECT cluster, row_number() OVER (ORDER BY md5(CAST(cluster AS VARCHAR)), cluster)-1 AS no, count(*) OVER () AS c FROM (SELECT DISTINCT cluster FROM cohort)),
-dr AS (SELECT b AS resample, CAST('0x'||substr(md5(concat_ws('|','{SEED}',b,d)),1,8) AS BIGINT)%c AS no FROM (SELECT DISTINCT c FROM cidx),
+dr AS (SELECT b AS resample, CAST('0x'||substr(md5(concat_ws('|','{SEED}',b,d)),1,15) AS BIGINT)%c AS no FROM (SELECT DISTINCT c FROM cidx),
   range({R}) bb(b), LATERAL (SELECT unnest(range(c)) AS d)),
 mult AS (SELECT resample, cluster, count(*) AS weight FROM dr JOIN cidx ON cidx.no=dr.no GROUP BY ALL)"""
 DRAW_SQL = sql("cohort", "SELECT resample, cluster, weight FROM mult", DRAWS)

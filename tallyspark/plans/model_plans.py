@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import logit
-from ..operators import checks, folds, inference, links, logistic, ranking, resample, summaries
+from ..operators import checks, folds, inference, logistic, ranking, reconcile, resample, summaries
 from ..operators.logistic import Model
 from ..session import stored
+from ..settings import DEFAULTS
 from . import tables as t
 from .tables import rnd, rounded, sql
 
@@ -76,6 +77,12 @@ LEAK_SQL = "SELECT * FROM (VALUES ('unit', CAST(0 AS BIGINT)), ('cluster', CAST(
 
 def crossfit(rows, penalty=1.0, specs=None, weights=None, resamples=1, override=None, keep=("row_id", "unit", "cluster", "y")):
     batch = logistic.fit_batch(rows, "y", TERMS, specs or models(penalty), "fold", (1, 2, 3, 4, 5), weights, resamples)
+    # a cohort is scored whole or not at all: failed resamples are left out, a failed fit of the cohort itself is an error
+    if weights is not None:
+        batch.gate(resamples)
+        weights = weights.where(~F.col("resample").isin(sorted(batch.failed_resamples()))) if batch.failed_resamples() else weights
+    elif len(batch.done()) < len(batch.fits):
+        raise logistic.IncompletePredictions(batch)
     # several metrics read the predictions, so they are kept as a stage table
     return batch, stored(logistic.predict(rows, batch, keep, "fold", weights, override=override), "predictions")
 
@@ -84,7 +91,7 @@ def full_metrics(p, groups=("model",), benchmark=PREV, calibrate=True, weight=No
     m = ranking.model_metrics(p, list(groups), benchmark=benchmark, w=weight)
     k = ranking.select_capacity(p, list(groups), "y", "p", (0.25,), "row_id", "unit", weight).select(
         *groups, F.col("capacity").alias("top_capacity"), F.col("deterministic_targets").alias("top_events"),
-        (F.col("deterministic_targets") / F.col("capacity")).alias("top_fraction"), F.col("expected_targets").alias("tie_neutral_expected"))
+        F.try_divide("deterministic_targets", "capacity").alias("top_fraction"), F.col("expected_targets").alias("tie_neutral_expected"))
     m = m.join(k, list(groups))
     if calibrate:
         m = m.join(logistic.calibration(p.where(F.col("model") != benchmark), list(groups), w=weight), list(groups), "left")
@@ -107,19 +114,29 @@ def sensitivity_suite(spark, sf):
     out = None
     for label, rows, lam in (("Long interval", f.where("interval_years >= 0.25"), 1.0), ("Manual at least 6", f.where("manual >= 6"), 1.0),
                              ("Ridge penalty 4", f, 4.0), ("Unpenalised", f, 0.0)):
-        batch, p = crossfit(rows, lam)
-        failed = len(batch.fits) - len(batch.done())
+        try:
+            _, p = crossfit(rows, lam)
+        except logistic.IncompletePredictions as e:
+            failed = len(e.batch.fits) - len(e.batch.done())
+            m = spark.createDataFrame([(label, float(lam), n, failed) for n in SPECS], "sensitivity string, penalty double, model string, failed_fits int").select(
+                "sensitivity", "penalty", "model", *[F.lit(None).cast("long").alias(x) for x in ("observations", "events")],
+                *[F.lit(None).cast("double").alias(x) for x in ("brier_score", "roc_auc")], "failed_fits")
+            out = m if out is None else out.unionByName(m)
+            continue
         m = ranking.model_metrics(p, ["model"]).select(F.lit(label).alias("sensitivity"), F.lit(lam).alias("penalty"), "model", "observations", "events", "brier_score",
-                                                       "roc_auc", F.lit(failed).alias("failed_fits"))
+                                                       "roc_auc", F.lit(0).alias("failed_fits"))
         out = m if out is None else out.unionByName(m)
     return rounded(out)
 
 
+LATER = 2001  # first year of the later period
+
+
 @t.stage("temporal_rows")
 def temporal_rows(spark, sf):
-    """Latest interval of every unit, so that no unit spans the split; fold 1 is the later period."""
-    last = links.latest_per(t.cohort(spark, sf), "unit", ["measyear", "row_id"])
-    return last.withColumn("fold", (F.col("measyear") >= 2001).cast("int") + F.lit(0))
+    """All rows of the later period (fold 1) and all earlier rows of units that the later period does not have (fold 0)."""
+    rows = reconcile.development_split(t.cohort(spark, sf), "unit", F.col("measyear") >= LATER)
+    return rows.where("split IS NOT NULL").withColumn("fold", (F.col("split") == "later").cast("int")).drop("split")
 
 
 def temporal(spark, sf, override=None):
@@ -147,7 +164,7 @@ def temporal_support(spark, sf):
 
 TSUP_SQL = sql("cohort", """SELECT measyear>=2001 AS later, count(*) AS conditions, CAST(sum(y) AS BIGINT) AS events, count(DISTINCT cluster) AS clusters, min(measyear) AS year_min, max(measyear) AS year_max,
   (SELECT count(*) FROM (SELECT cluster FROM lastrow WHERE measyear>=2001 EXCEPT SELECT cluster FROM lastrow WHERE measyear<2001)) AS unseen_clusters FROM lastrow GROUP BY 1""",
-               "lastrow AS (SELECT * FROM cohort QUALIFY row_number() OVER (PARTITION BY unit ORDER BY measyear DESC, row_id DESC)=1)")
+               "lastrow AS (SELECT * FROM cohort c WHERE measyear>=2001 OR NOT EXISTS (SELECT 1 FROM cohort l WHERE l.unit=c.unit AND l.measyear>=2001))")
 
 
 def common_horizon(spark, sf):
@@ -179,7 +196,6 @@ def refit_bootstrap(spark, sf):
     rows = folded(spark, sf)
     w = resample.multiplicities(rows, "cluster", R, SEED)
     batch, p = crossfit(rows, weights=w, resamples=R)
-    batch.gate(R)
     m = ranking.model_metrics(p, ["resample", "model"], w="weight")
     long = m.unpivot(["resample", "model"], FIELDS, "metric", "value").where("value is not null")
     return rounded(resample.percentile_interval(long, ["model", "metric"], "value", R))
@@ -189,7 +205,6 @@ def refit_paired(spark, sf):
     rows = folded(spark, sf)
     w = resample.multiplicities(rows, "cluster", R, SEED)
     batch, p = crossfit(rows, weights=w, resamples=R)
-    batch.gate(R)
     m = ranking.model_metrics(p, ["resample", "model"], w="weight", benchmark=None)
     d = ranking.paired_differences(m, PAIRS, FIELDS, ["resample"]).where("matched_cohort")
     return rounded(resample.percentile_interval(d, ["model", "reference", "metric"], "difference", R), 8)
@@ -199,16 +214,18 @@ def policy_bootstrap(spark, sf):
     rows = folded(spark, sf)
     w = resample.multiplicities(rows, "cluster", R, SEED)
     batch, p = crossfit(rows, weights=w, resamples=R, keep=("row_id", "unit", "y", "seedling_count", "coverage", "sapling_tpa"))
-    batch.gate(R)
     s = policy_rows(p, ["resample", "weight", "row_id", "unit", "y", "seedling_count", "coverage", "sapling_tpa"])
     table = ranking.policy_table(s, policy_set(), "y", ["resample", "weight", "row_id", "unit"])
-    k = ranking.cutoffs(table, ["resample", "objective", "policy"], "target", "score", (0.25,), "weight")
+    k = ranking.cutoffs(table, ["resample", "objective", "policy"], "target", "score", DEFAULTS.capacities, "weight")
     e = k.select("resample", "objective", "policy", "requested_fraction", "capacity", F.col("total_t").alias("target_total"),
-                 (F.col("above_t") + (F.col("capacity") - F.col("above_w")) * F.col("tied_t") / F.col("tied_w")).alias("expected_targets"))
-    e = e.withColumn("selected_target_fraction", F.col("expected_targets") / F.col("capacity"))
+                 (F.col("above_t") + F.coalesce(F.try_divide((F.col("capacity") - F.col("above_w")) * F.col("tied_t"), "tied_w"), F.lit(0.0))).alias("expected_targets"))
+    e = stored(e.withColumn("selected_target_fraction", F.try_divide("expected_targets", "capacity")), "policy-draws")
     d = ranking.policy_pairs(e, [("Count model", "Raw seedling count"), ("Maple-stage model", "Raw seedling count"), ("Maple-stage model", "Count model")],
                              ["resample", "objective", "requested_fraction"])
-    return rounded(resample.percentile_interval(d, ["objective", "policy", "reference", "requested_fraction"], "target_fraction_difference", R))
+    keys = ["objective", "policy", "reference", "requested_fraction"]
+    single = e.select("resample", "objective", "policy", F.lit(None).cast("string").alias("reference"), "requested_fraction", F.col("selected_target_fraction").alias("value"))
+    both = single.unionByName(d.select("resample", *keys, F.col("target_fraction_difference").alias("value")))
+    return rounded(resample.percentile_interval(both.where("value IS NOT NULL"), keys, "value", R))
 
 
 def incremental_audit(spark, sf):
@@ -265,10 +282,16 @@ def candidate_forms(spark, sf):
     return rounded(inference.compare_models(spark, batch, list(specs), nested=False))
 
 
+# indicators that one dense information matrix is meant to hold
+MAX_TYPES = 200
+
+
 def type_sensitivity(spark, sf):
     """Add type indicators, or restrict to one type: both fits in one batch each."""
     rows = t.cohort(spark, sf).join(t.table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_mktsegment").alias("kind")), "unit")
-    kinds = [r[0] for r in rows.select("kind").distinct().orderBy("kind").limit(50).collect()]
+    kinds = sorted(r[0] for r in rows.where("kind IS NOT NULL").select("kind").distinct().limit(MAX_TYPES + 1).collect())
+    if len(kinds) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} types: group them before the fit")
     rows = rows.withColumns({f"k{i}": (F.col("kind") == k).cast("double") for i, k in enumerate(kinds[1:])})
     terms = {**TERMS, **{f"k{i}": (f"k{i}", "identity") for i in range(len(kinds) - 1)}}
     b = logistic.fit_batch(rows, "y", terms, {"Primary": Model(tuple(TERMS), 0), "Type indicators": Model(tuple(terms), 0)})
@@ -326,16 +349,16 @@ def fit_verification(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     rows = folded(spark, sf)
-    batch, p = crossfit(rows, specs={STAGE: Model(tuple(TERMS), 1.0)})
+    batch, p = crossfit(rows)
     out = None
-    for fold in (1, 2):
-        fit = batch.get(STAGE, fold)
+    for model, fold in [(m, k) for m in SPECS if SPECS[m] for k in (1, 2, 3, 4, 5)]:
+        fit = batch.get(model, fold)
         z = [x.alias(f"z{i}") for i, x in enumerate(inference.design(fit, TERMS)[1:])]
         d = VectorAssembler(inputCols=[f"z{i}" for i in range(len(z))], outputCol="features").transform(rows.select("row_id", "y", "fold", *z))
         m = LogisticRegression(labelCol="y", regParam=1.0 / fit.weight, elasticNetParam=0.0, standardization=False, tol=1e-12, maxIter=200).fit(d.where(F.col("fold") != fold))
         q = m.transform(d.where(F.col("fold") == fold)).select("row_id", vector_to_array("probability")[1].alias("q"))
-        diff = p.where(F.col("fold") == fold).join(q, "row_id").agg(F.count(F.lit(1)).alias("testing_n"), F.max(F.abs(F.col("p") - F.col("q"))).alias("d"))
-        row = diff.select(F.lit(fold).alias("fold"), "testing_n", (F.col("d") <= 1e-5).alias("passed"))
+        diff = p.where((F.col("fold") == fold) & (F.col("model") == model)).join(q, "row_id").agg(F.count(F.lit(1)).alias("testing_n"), F.max(F.abs(F.col("p") - F.col("q"))).alias("d"))
+        row = diff.select(F.lit(model).alias("model"), F.lit(fold).alias("fold"), "testing_n", (F.col("d") <= 1e-5).alias("passed"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -350,7 +373,7 @@ def temporal_policies_support(spark, sf):
 
 RANGE_MED_SQL = sql("cohort", """SELECT 'interval_years' AS variable, min(interval_years) AS minimum, quantile_cont(interval_years,5e-1) AS median, max(interval_years) AS maximum FROM lastrow
   UNION ALL SELECT 'coverage', min(coverage), quantile_cont(coverage,5e-1), max(coverage) FROM lastrow""",
-                    "lastrow AS (SELECT * FROM cohort QUALIFY row_number() OVER (PARTITION BY unit ORDER BY measyear DESC, row_id DESC)=1)").replace(
+                    "lastrow AS (SELECT * FROM cohort c WHERE measyear>=2001 OR NOT EXISTS (SELECT 1 FROM cohort l WHERE l.unit=c.unit AND l.measyear>=2001))").replace(
     "min(interval_years)", "rnd(min(interval_years),6)")
 
 

@@ -42,7 +42,7 @@ def work_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has machines of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     if sc.applicationId not in _FOLDERS:
         _FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

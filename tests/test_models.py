@@ -143,3 +143,33 @@ def test_random_intercept_finds_cluster_spread(spark):
     df = spark.createDataFrame(rows, "cluster string, y int, a double")
     r = inference.random_intercept(df, "y", "cluster", Model(("a",)), {"a": ("a", "identity")}).first()
     assert 0.6 < r.cluster_variance < 2.6 and r.lr_chisq > 50 and not r.singular
+
+
+def test_missing_predictor_is_a_clear_error(spark):
+    df = cohort(spark, 40).withColumn("a", F.when(F.col("row_id") != 7, F.col("a")))
+    with pytest.raises(ValueError, match="'a': 1"):
+        logistic.fit_batch(df, "y", TERMS, {"m": Model(("a",))})
+
+
+def test_constant_unpenalised_term_is_a_failure_row(spark):
+    df = cohort(spark, 60).withColumn("a", F.lit(2.0))
+    b = logistic.fit_batch(df, "y", TERMS, {"m": Model(("a",), 0.0)})
+    assert "singular" in b.failures(spark).first().reason and b.failed_resamples() == {0}
+
+
+def test_a_cohort_is_scored_whole_or_not_at_all(spark):
+    from tallyspark.plans import model_plans
+
+    df = cohort(spark, 60).selectExpr("row_id", "cluster", "CAST(row_id % 5 + 1 AS INT) AS fold", "CASE WHEN row_id % 5 = 0 THEN y ELSE 0 END AS y", "a AS coverage",
+                                      "b AS interval_years", "b AS seedling_count", "b AS sapling_tpa", "b AS established_ba", "cluster AS unit")
+    with pytest.raises(logistic.IncompletePredictions, match="fold 1"):
+        model_plans.crossfit(df)
+
+
+def test_median_unbiased_quantile(spark):
+    from tallyspark.operators import ordered
+
+    x = [float(v * v) for v in range(11)]
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    got = ordered.exact_quantiles(df, [], "v", {"p": 0.9, "top": 0.999}, median_unbiased=True).first()
+    assert got.p == pytest.approx(np.quantile(x, 0.9, method="median_unbiased")) and got.top == 100.0

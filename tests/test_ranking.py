@@ -70,3 +70,20 @@ def test_draws_are_complete_and_reproducible(spark):
     assert {r.s for r in a.groupBy("resample").agg(F.sum("weight").alias("s")).collect()} == {40}
     idx = [r.cluster_no for r in resample.cluster_index(d, "cluster").collect()]
     assert sorted(idx) == list(range(40))
+
+
+def test_a_capacity_of_zero_keeps_its_group(spark, sliced):
+    rows = [("small", i, f"u{i}", i % 2, float(i), 1) for i in range(3)] + [("large", i, f"u{i}", i % 2, float(i), 1) for i in range(20)]
+    d = spark.createDataFrame(rows, "model string, row_id long, unit string, y int, p double, w int")
+    got = {r.model: r for r in ranking.select_capacity(d, ["model"], "y", "p", (0.1,), "row_id", "unit", "w").collect()}
+    assert (got["large"].capacity, got["large"].deterministic_targets) == (2, 1)
+    s = got["small"]
+    assert (s.capacity, s.expected_targets, s.deterministic_targets, s.selected_units, s.cutoff_score) == (0, 0.0, 0, 0, None)
+    assert s.selected_target_fraction is None
+
+
+@pytest.mark.parametrize("score, weight", [(float("nan"), 1.0), (None, 1.0), (0.5, 1.5)])
+def test_unusable_scores_and_weights_are_errors(spark, score, weight):
+    d = spark.createDataFrame([("m", 1, "u", 1, score, weight), ("m", 2, "v", 0, 0.2, 1.0)], "model string, row_id long, unit string, y int, p double, w double")
+    with pytest.raises(Exception, match="cannot be ranked|whole numbers"):
+        ranking.select_capacity(d, ["model"], "y", "p", (0.5,), "row_id", "unit", "w").collect()
