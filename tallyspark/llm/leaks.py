@@ -31,7 +31,7 @@ SLOTS = 1 << 18  # hashed terms
 RANK = 256
 ITEM_BLOCK = 2048
 COSINE = 0.3
-SHARE = 0.15
+SHARE = 0.3
 VERBATIM = 0.8
 PARAPHRASE = 0.5
 ANSWER = 4
@@ -178,6 +178,15 @@ class Index:
         t = t[self.inside[t]]
         return self.space[np.searchsorted(self.at, t)].sum(0) if len(t) else np.zeros(self.space.shape[1], np.float32)
 
+    def project_many(self, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the passages t[a:b], each of which has a term inside the space."""
+        size = b - a
+        at = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        known = self.inside[t[at]]
+        own = np.repeat(np.arange(len(a)), size)[known]
+        rows = self.space[np.searchsorted(self.at, t[at[known]])]
+        return np.add.reduceat(rows, np.searchsorted(own, np.arange(len(a))), axis=0)
+
     def search(self, h: np.ndarray, first: np.ndarray):
         """(row, item, share of the item in common, whether the answer is there) for every leak."""
         t = slots(h)
@@ -195,15 +204,17 @@ class Index:
             b = np.minimum(a + n, first[row + 1])
             weight = total[b] - total[a]
             open_ = np.flatnonzero((shared[b] - shared[a] >= SHARE * weight) & (weight > 0))
-            for s in range(0, len(open_), 4096):
-                part = open_[s:s + 4096]
-                p = np.stack([self.project(t[x:y]) for x, y in zip(a[part].tolist(), b[part].tolist())])
+            for s in range(0, len(open_), 1024):
+                part = open_[s:s + 1024]
+                p = self.project_many(t, a[part], b[part])
                 near = p @ place >= bar[None, :] * np.sqrt(weight[part])[:, None]
                 for i, j in zip(*np.nonzero(near)):
                     x, item = part[i], int(own[j])
                     want = self.words[item]
                     lo, hi = max(first[row[x]], a[x] - step), min(first[row[x] + 1], b[x] + step)
                     text = h[lo:hi].tolist()
+                    if sum(map(set(text).__contains__, want)) < PARAPHRASE * len(want):  # no subsequence can be longer
+                        continue
                     share = common_subsequence(want, text) / len(want)
                     if share < PARAPHRASE:
                         continue
