@@ -470,10 +470,12 @@ SCANNED = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
 
 
 def schema_inventory(spark, sf):
-    return scan.schema_inventory({n: t.table(spark, sf, n) for n in SCANNED}).select("table_name", "column_position", "column_name")
+    return scan.schema_inventory({n: t.table(spark, sf, n) for n in SCANNED}).select("table_name", "column_position", "column_name", "column_type", "nullable")
 
 
-INV_SQL = f"""SELECT table_name, CAST(ordinal_position AS INTEGER) AS column_position, column_name FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{n}'" for n in SCANNED)})"""
+INV_SQL = f"""SELECT table_name, CAST(ordinal_position AS INTEGER) AS column_position, column_name,
+  CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS column_type,
+  is_nullable='YES' AS nullable FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{n}'" for n in SCANNED)})"""
 
 
 def table_row_counts(spark, sf):
