@@ -6,11 +6,11 @@ beyond those of documents are left behind by the first stage.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, langid, leaks, lines, simhash
+from tallyspark.llm.queries import vocabulary_path
 from tallyspark.session import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,8 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text and their number."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.encode(docs, path, extra=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encode(docs, vocabulary_path(), extra=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", tokens)]
