@@ -6,15 +6,16 @@ shingle). One line of each component stays, the one with the smallest (key, line
 are one document given twice and are treated alike, a null key sorts last. A null text has no lines and stays null. An
 empty table gives an empty result. Only the key and text columns are read.
 
-Signatures. Character shingles that start at words (every character in lines without blanks) are hashed; of the smallest
-``SKETCH`` hashes of a line, 16 MinHash values are taken. They form a 4 x 4 grid, and its rows, columns and two Latin squares
+Signatures. Character shingles that start at words, a word and the first characters of the next one (all 5-character ones
+in lines almost without blanks), are hashed; of the smallest ``SKETCH`` hashes of a line, 16 MinHash values are taken. They form a 4 x 4 grid, and its rows, columns and two Latin squares
 give 16 bands of four values in which no two values meet twice: lines of similarity 0.8 share a band with a probability of
 about 0.98. Equal lines collapse to one before anything is compared.
 
-Verification. In each band bucket every line is compared with the smallest line and with its predecessor. Then, for buckets
-whose lines are not one component, the lines outside the bucket's largest component are compared with all lines of other
-components. So every pair of a bucket is compared or is in one component already, and a large group of near copies costs
-links in proportion to its size.
+Verification. In each band bucket every line is compared with the smallest line and with its predecessor, in buckets of more
+than three also with its predecessor among those that share a second such bucket. Then, for lines that share two buckets and are
+not one component, those outside the largest component are compared with all lines of other components. So every pair that
+shares a bucket of up to three lines, or two larger ones, is compared or is in one component already. A large group of near
+copies costs links in proportion to its size, but for lines of it that stay apart.
 """
 
 from __future__ import annotations
@@ -26,15 +27,21 @@ from ..session import stored
 from .components import components
 
 SHINGLE = 5
-ANCHORED = 8
+NEXT = 3  # characters of the next word in a shingle of the signature
 SKETCH = 20
 SIMILARITY = 0.8
 
+POINTS = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(16)]
 _TIMES2 = (0, 2, 3, 1)  # multiplication by two in the field of four elements
 GROUPS = [[[c for c in range(16) if f(c // 4, c % 4) == g] for g in range(4)]
           for f in (lambda i, j: i, lambda i, j: j, lambda i, j: i ^ j, lambda i, j: i ^ _TIMES2[j])]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Distinct hashes of all character shingles of a line."""
     every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
@@ -43,14 +50,12 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 def signature(line: Column) -> Column:
     """16 MinHash values of a line."""
-    # a lambda variable holds the words, so that the split is done once
-    words = F.split(line, " ")
-    anchored = F.transform(F.array(words), lambda w: F.transform(
-        w, lambda x, i: F.xxhash64(F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, ANCHORED))))[0]
-    dense = F.length(line) > 16 * F.size(words)
-    sketch = F.slice(F.array_sort(F.array_distinct(F.when(dense, shingles(line)).otherwise(anchored))), 1, SKETCH)
-    seeds = F.array(*[F.lit(k) for k in range(16)])
-    return F.transform(F.array(sketch), lambda s: F.transform(seeds, lambda k: F.array_min(F.transform(s, lambda h: F.hash(h, k)))))[0]
+    anchored = _let(F.split(line, " "), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.substring(F.get(w, i + 1), 1, NEXT))))
+    dense = F.length(line) > 16 * (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    sketch = F.slice(F.sort_array(F.array_distinct(F.when(dense, shingles(line)).otherwise(anchored))), 1, SKETCH)
+    # the nearest value to each of 16 points, by differing bits from the front: one element of the set each, the same in both sets of a pair if both have it
+    points = F.array(*[F.lit(p) for p in POINTS])
+    return _let(F.transform(sketch, lambda h: F.xxhash64(h)), lambda s: F.transform(points, lambda p: F.array_min(F.transform(s, lambda h: h.bitwiseXOR(p)))))
 
 
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,7 +68,6 @@ def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough."""
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    # sets of very different sizes cannot be similar; line lengths bound the number of shingles from above only
     x, y = shingles(F.col("ta")), shingles(F.col("tb"))
     sets = both.select("a", "b", F.struct(x.alias("x"), y.alias("y")).alias("s"))
     common = F.size(F.array_intersect("s.x", "s.y"))
@@ -82,9 +86,13 @@ def line_classes(docs: DataFrame, key: str, text: str, similarity: float = SIMIL
     bands = once.select("id", F.explode(band).alias("band"))
     w = Window.partitionBy("band")
     members = bands.select("band", "id", F.count(F.lit(1)).over(w).alias("n"), F.lag("id").over(w.orderBy("id")).alias("prev"), F.min("id").over(w).alias("lo"))
-    members = stored(members.where("n > 1").select("band", "id", "lo", "prev"), "members")
-    near = members.where("id > lo").select(F.explode(F.array("lo", "prev")).alias("a"), F.col("id").alias("b")).distinct()
-    near = stored(near, "pairs")
+    members = stored(members.where("n > 1"), "members")
+    near = members.where("id > lo").select(F.explode(F.array("lo", "prev")).alias("a"), F.col("id").alias("b"))
+    # buckets of more than three: those that share a second such bucket meet again
+    of_line = members.where("n > 3").groupBy("id").agg(F.collect_list("band").alias("bs"))  # at most 16 bands
+    twice = F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 2, 16), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    large = stored(of_line.select("id", F.explode(twice).alias("band")), "second")
+    near = stored(near.distinct(), "pairs")
     # the texts of candidate lines, found again where they first occur
     wanted = once.join(members.select("id").distinct(), "id", "left_semi").select("id", "low.*")
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
@@ -93,13 +101,18 @@ def line_classes(docs: DataFrame, key: str, text: str, similarity: float = SIMIL
     texts = stored(found.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("ls", "w.at"))).alias("t")).dropDuplicates(["id"]), "texts")
     links = stored(_verified(near, texts, similarity), "links")
     comp = stored(components(links, "a", "b"), "classes")
-    # pairs of a bucket that are still apart
-    placed = members.join(comp, members.id == comp.node, "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    # lines that share two larger buckets and are still apart: neighbours first, then all
+    placed = large.join(comp, large.id == comp.node, "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    before = placed.select(F.lag("id").over(w.orderBy("id")).alias("a"), F.lag("c").over(w.orderBy("id")).alias("ca"), F.col("id").alias("b"), "c").where("ca <> c")
+    chain = stored(before.select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "pairs")
+    links = stored(links.unionAll(_verified(chain, texts, similarity)), "links")
+    comp = stored(components(links, "a", "b"), "classes")
+    placed = large.join(comp, large.id == comp.node, "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     counts = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds"))
     open_ = stored(placed.join(counts.where("kinds > 1"), "band"), "open")
     minor = open_.where("c <> main").select("band", F.col("id").alias("i"), F.col("c").alias("ci"))
     rest = minor.join(open_, "band").where((F.col("c") != F.col("ci")) & ((F.col("c") == F.col("main")) | (F.col("i") < F.col("id"))))
-    rest = rest.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(near.unionAll(chain), ["a", "b"], "left_anti")
     more = stored(_verified(rest, texts, similarity), "links")
     comp = stored(components(links.unionAll(more), "a", "b"), "classes")
     least = comp.join(once.select("id", "low"), comp.node == F.col("id")).groupBy("component").agg(F.min("low").alias("low0"))
