@@ -22,6 +22,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,8 @@ class Lexicon:
         words; counts of the other words."""
         words = words_of(text)
         get = self.number.get
-        n = np.array([get(w, -1) for w in words] + [self.end], np.int64)
+        n = np.full(len(words) + 1, self.end, np.int64)
+        n[:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         symbols = self.symbol[n]
         away = np.flatnonzero(n < 0)
         others: Counter = Counter()
@@ -114,6 +116,20 @@ class Lexicon:
         return symbols, float(logs.sum()), float(logs[n >= self.n_words].sum()), int(self.known[n].sum()), others
 
 
+def _log_softmax(logit: np.ndarray, bias: np.ndarray, row: np.ndarray, col: np.ndarray, learn: bool):
+    """Log-probability of one column per row; with ``learn`` also the gradient by the logits. Overwrites ``logit``."""
+    logit += bias
+    if float(logit.max(initial=0)) > 60:
+        logit -= logit.max(1, keepdims=True)
+    chosen = logit[row, col]
+    np.exp(logit, out=logit)
+    total = logit.sum(1)
+    if learn:
+        logit *= (1 / total)[:, None]
+        logit[row, col] -= 1
+    return chosen - np.log(total), logit
+
+
 class Network:
     """One gated recurrent layer and the class-factored softmax; parameters in one flat vector."""
 
@@ -156,19 +172,29 @@ class Network:
         steps, slots = x.shape
         into = p["into"][x]
         keep = (~fresh).astype(np.float32)[:, :, None]
+        starts = fresh.any(1)
         hs = np.empty((steps, slots, u), np.float32)
         saved = []
         for t in range(steps):
-            h = h * keep[t]
+            if starts[t]:
+                h = h * keep[t]
             b = h @ p["back"]
-            a = into[t]
-            zr = 1 / (1 + np.exp(-(a[:, :2 * u] + b[:, :2 * u])))
+            zr = into[t, :, :2 * u] + b[:, :2 * u]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :u], zr[:, u:]
-            bn = b[:, 2 * u:] + p["shift"]
-            n = np.tanh(a[:, 2 * u:] + r * bn)
+            bn = b[:, 2 * u:]
+            bn += p["shift"]
+            n = r * bn
+            n += into[t, :, 2 * u:]
+            np.tanh(n, out=n)
             if learn:
                 saved.append((h, zr, bn, n))
-            h = n + z * (h - n)
+            h = h - n
+            h *= z
+            h += n
             hs[t] = h
         flat, target = hs.reshape(-1, u), y.ravel()
         logp, dh = self._output(flat, target, learn)
@@ -177,17 +203,28 @@ class Network:
             d_into = np.empty((steps, slots, 3 * u), np.float32)
             dback, dshift = self.g["back"], self.g["shift"]
             carry = np.zeros((slots, u), np.float32)
+            db, ones, turned = np.empty((slots, 3 * u), np.float32), np.ones(slots, np.float32), np.ascontiguousarray(p["back"].T)
             for t in range(steps - 1, -1, -1):
                 prev, zr, bn, n = saved[t]
                 z, r = zr[:, :u], zr[:, u:]
-                d = dh[t] + carry
-                dn = d * (1 - z) * (1 - n * n)
-                dzr = np.concatenate([d * (prev - n), dn * bn], 1) * zr * (1 - zr)
-                db = np.concatenate([dzr, dn * r], 1)
-                d_into[t, :, :2 * u], d_into[t, :, 2 * u:] = dzr, dn
+                d = dh[t]
+                d += carry
+                own = d_into[t]
+                dn = own[:, 2 * u:]
+                np.multiply(d, z - 1, out=dn)
+                dn *= n * n - 1
+                np.multiply(d, prev - n, out=own[:, :u])
+                np.multiply(dn, bn, out=own[:, u:2 * u])
+                own[:, :2 * u] *= zr * (1 - zr)
+                db[:, :2 * u] = own[:, :2 * u]
+                np.multiply(dn, r, out=db[:, 2 * u:])
                 dback += prev.T @ db
-                dshift += db[:, 2 * u:].sum(0)
-                carry = (d * z + db @ p["back"].T) * keep[t]
+                dshift += ones @ db[:, 2 * u:]
+                carry = db @ turned
+                d *= z
+                carry += d
+                if starts[t]:
+                    carry *= keep[t]
             order = np.argsort(x.ravel(), kind="stable")
             xs = x.ravel()[order]
             at = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
@@ -205,13 +242,9 @@ class Network:
         word = y < lex.n_words
         cls = np.where(word, y // lex.width, lex.classes + y - lex.n_words)
         ho = h[at]
-        logit = ho @ p["to_class"] + p["class_bias"]
-        e = np.exp(logit - logit.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
         i = np.arange(len(at))
-        logp[at] = np.log(e[i, cls] + 1e-30)
+        logp[at], e = _log_softmax(ho @ p["to_class"], p["class_bias"], i, cls, learn)
         if learn:
-            e[i, cls] -= 1
             self.g["to_class"] += ho.T @ e
             self.g["class_bias"] += e.sum(0)
             dh[at] = e @ p["to_class"].T
@@ -222,13 +255,9 @@ class Network:
             if not len(rows):
                 continue
             hc = ho[rows]
-            logit = hc @ p["to_word"][c] + p["word_bias"][c]
-            e = np.exp(logit - logit.max(1, keepdims=True))
-            e /= e.sum(1, keepdims=True)
-            j, k = np.arange(len(rows)), y[rows] - c * lex.width
-            logp[at[rows]] += np.log(e[j, k] + 1e-30)
+            part, e = _log_softmax(hc @ p["to_word"][c], p["word_bias"][c], i[:len(rows)], y[rows] - c * lex.width, learn)
+            logp[at[rows]] += part
             if learn:
-                e[j, k] -= 1
                 self.g["to_word"][c] += hc.T @ e
                 self.g["word_bias"][c] += e.sum(0)
                 dh[at[rows]] += e @ p["to_word"][c].T
@@ -378,7 +407,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             rare = np.flatnonzero(flat >= lex.n_words)
             shares = np.bincount(np.repeat(np.arange(len(size)), size)[rare], weights=lex.log_rare[flat[rare] - lex.n_words], minlength=len(size))
             # in log10: the network's symbols, then the head words within their rare classes; the other words are joined
-            logp = net.walk(list(symbols), False) / math.log(10) - shares + np.array(outside)
+            logp = net.walk(list(symbols), False, slots=4 * SLOTS) / math.log(10) - shares + np.array(outside)
             ends = np.cumsum([0, *map(len, others)]).astype(np.int32)
             words = pa.array([w for o in others for w in o], pa.binary()).cast(pa.string())
             pairs = pa.StructArray.from_arrays([words, pa.array([n for o in others for n in o.values()], pa.int64())], ["word", "tf"])
