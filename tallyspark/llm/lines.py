@@ -6,10 +6,10 @@ shingle). One line of each component stays, the one with the smallest (key, line
 are one document given twice and are treated alike, a null key sorts last. A null text has no lines and stays null. An
 empty table gives an empty result. Only the key and text columns are read.
 
-Signatures. Character shingles that start at words, a word and the first characters of the next one (all 5-character ones
-in lines almost without blanks), are hashed; of the smallest ``SKETCH`` hashes of a line, 16 MinHash values are taken. They form a 4 x 4 grid, and its rows, columns and two Latin squares
-give 16 bands of four values in which no two values meet twice: lines of similarity 0.8 share a band with a probability of
-about 0.98. Equal lines collapse to one before anything is compared.
+Signatures. All 5-character shingles of a line, the set that is compared in the end, are hashed in eight orders; the smallest
+and the largest hash of each are 16 MinHash values. They form a 4 x 4 grid, and its rows, columns and two Latin squares give
+16 bands of four values in which no two values meet twice and the two values of one order never: lines of similarity 0.8 share
+a band with a probability of about 0.98. Equal lines collapse to one before anything is signed or compared.
 
 Verification. In each band bucket every line is compared with the smallest line and with its predecessor, in buckets of more
 than three also with its predecessor among those that share a second such bucket. Then, for lines that share two buckets and are
@@ -27,13 +27,12 @@ from ..session import stored
 from .components import components
 
 SHINGLE = 5
-NEXT = 3  # characters of the next word in a shingle of the signature
-SKETCH = 20
+ORDERS = 8
 SIMILARITY = 0.8
 
-POINTS = [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63) for k in range(16)]
-_TIMES2 = (0, 2, 3, 1)  # multiplication by two in the field of four elements
-GROUPS = [[[c for c in range(16) if f(c // 4, c % 4) == g] for g in range(4)]
+_TIMES2, _TIMES3 = (0, 2, 3, 1), (0, 3, 1, 2)  # multiplication by two and three in the field of four elements
+_CELLS = sorted(range(16), key=lambda c: (c // 4 ^ _TIMES3[c % 4], c))  # values 2k and 2k + 1, of one order, lie where no band holds both
+GROUPS = [[[v for v, c in enumerate(_CELLS) if f(c // 4, c % 4) == g] for g in range(4)]
           for f in (lambda i, j: i, lambda i, j: j, lambda i, j: i ^ j, lambda i, j: i ^ _TIMES2[j])]
 
 
@@ -49,13 +48,10 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 
 def signature(line: Column) -> Column:
-    """16 MinHash values of a line."""
-    anchored = _let(F.split(line, " "), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.substring(F.get(w, i + 1), 1, NEXT))))
-    dense = F.length(line) > 16 * (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-    sketch = F.slice(F.sort_array(F.array_distinct(F.when(dense, shingles(line)).otherwise(anchored))), 1, SKETCH)
-    # the nearest value to each of 16 points, by differing bits from the front: one element of the set each, the same in both sets of a pair if both have it
-    points = F.array(*[F.lit(p) for p in POINTS])
-    return _let(F.transform(sketch, lambda h: F.xxhash64(h)), lambda s: F.transform(points, lambda p: F.array_min(F.transform(s, lambda h: h.bitwiseXOR(p)))))
+    """16 MinHash values of a line, the smallest and the largest hash of all its shingles in each order."""
+    seeds = F.array(*[F.lit(k) for k in range(ORDERS)])
+    return _let(shingles(line), lambda s: F.flatten(F.transform(seeds, lambda k: _let(
+        F.transform(s, lambda h: F.xxhash64(h, k)), lambda t: F.array(F.array_min(t), F.array_max(t))))))
 
 
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -79,8 +75,8 @@ def line_classes(docs: DataFrame, key: str, text: str, similarity: float = SIMIL
     lines = split_lines(docs, key, text)
     lines = lines.select("key", "th", "at", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
     low = F.struct(F.col("key").isNull().alias("unknown"), "key", "at", "th")
-    once = lines.select("h1", "h2", low.alias("low"), signature(F.col("norm")).alias("sig")).groupBy("h1", "h2").agg(
-        F.min("low").alias("low"), F.first("sig").alias("sig"))
+    once = lines.select("h1", "h2", low.alias("low"), "norm").groupBy("h1", "h2").agg(F.min("low").alias("low"), F.first("norm").alias("norm"))
+    once = once.select("h1", "h2", "low", signature(F.col("norm")).alias("sig"))
     once = stored(once.withColumn("id", F.monotonically_increasing_id()), "lines")
     band = F.array(*[F.xxhash64(F.lit(p * 4 + g), *[F.col("sig")[c] for c in cells]) for p, groups in enumerate(GROUPS) for g, cells in enumerate(groups)])
     bands = once.select("id", F.explode(band).alias("band"))

@@ -96,6 +96,26 @@ def test_groups_meet_once():
     assert all(len(a & b) <= 1 for i, a in enumerate(seen) for b in seen[:i])
 
 
+def test_short_lines_with_edits_share_a_band(spark):
+    """Lines of 1 to 8 words and copies with one other character, similarity 0.8 or more."""
+    rng = np.random.default_rng(10)
+    letters = list("abcdefghijklmnoprstu")
+    pairs = []
+    while len(pairs) < 1600:
+        n = len(pairs) // 200 + 1
+        a = " ".join("".join(rng.choice(letters, rng.integers(3, 25 if n == 1 else 10))) for _ in range(n))
+        k = int(rng.choice([rng.integers(0, len(a)), rng.integers(0, 3), len(a) - 1 - rng.integers(0, 3)]))
+        b = a[:k] + str(rng.choice(letters)) + a[k + 1:]
+        x, y = ({v[i:i + 5] for i in range(max(1, len(v) - 4))} for v in (a, b))
+        if a != b and len(x & y) >= 0.8 * len(x | y):
+            pairs.append((n, a, b))
+    df = spark.createDataFrame(pairs, "n int, a string, b string")
+    shared = {n: [] for n in range(1, 9)}
+    for r in df.select("n", lines.signature(df.a).alias("x"), lines.signature(df.b).alias("y")).collect():
+        shared[r.n].append(any(all(r.x[c] == r.y[c] for c in cells) for groups in lines.GROUPS for cells in groups))
+    assert {n: np.mean(v) for n, v in shared.items() if np.mean(v) < 0.95} == {}
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_query_equals_all_pairs(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
