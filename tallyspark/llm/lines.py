@@ -11,11 +11,12 @@ and the largest hash of each are 16 MinHash values. They form a 4 x 4 grid, and
 16 bands of four values in which no two values meet twice and the two values of one order never: lines of similarity 0.8 share
 a band with a probability of about 0.98. Equal lines collapse to one before anything is signed or compared.
 
-Verification. In each band bucket every line is compared with the smallest line and with its predecessor, in buckets of more
-than three also with its predecessor among those that share a second such bucket. Then, for lines that share two buckets and are
-not one component, those outside the largest component are compared with all lines of other components. So every pair that
-shares a bucket of up to three lines, or two larger ones, is compared or is in one component already. A large group of near
-copies costs links in proportion to its size, but for lines of it that stay apart.
+Verification. In each band bucket every line is compared with the smallest line and with its predecessor. Then, for buckets
+whose lines are not one component, the lines outside the bucket's largest component are compared with all lines of other
+components. So every pair of a bucket is compared or is in one component already, and a large group of near copies costs
+links in proportion to its size. Pairs of the second step that cannot be similar are passed over by bounds that lose none: the
+sizes of their sets, and the number of bits in which the parities of the sets' hash counts differ, which is at most the number
+of shingles that only one line has.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .components import components
 
 SHINGLE = 5
 ORDERS = 8
+BITS = ("b0", "b1", "b2", "b3")
 SIMILARITY = 0.8
 
 _TIMES2, _TIMES3 = (0, 2, 3, 1), (0, 3, 1, 2)  # multiplication by two and three in the field of four elements
@@ -54,6 +56,15 @@ def signature(line: Column) -> Column:
         F.transform(s, lambda h: F.xxhash64(h, k)), lambda t: F.array(F.array_min(t), F.array_max(t))))))
 
 
+def parities(line: Column) -> Column:
+    """The number of shingles of a line, and the parities of how many fall to each of 256 values of their hash, as four numbers."""
+    def flip(s: Column, k: int) -> Column:
+        mine = F.filter(s, lambda h: h.bitwiseAND(F.lit(3)) == k)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))))
+
+    return _let(shingles(line), lambda s: F.struct(F.size(s).alias("size"), *[flip(s, k).alias(x) for k, x in enumerate(BITS)]))
+
+
 def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, th, at, norm): the lines of every document that are not blank; th is a hash of the whole text."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -84,10 +95,6 @@ def line_classes(docs: DataFrame, key: str, text: str, similarity: float = SIMIL
     members = bands.select("band", "id", F.count(F.lit(1)).over(w).alias("n"), F.lag("id").over(w.orderBy("id")).alias("prev"), F.min("id").over(w).alias("lo"))
     members = stored(members.where("n > 1"), "members")
     near = members.where("id > lo").select(F.explode(F.array("lo", "prev")).alias("a"), F.col("id").alias("b"))
-    # buckets of more than three: those that share a second such bucket meet again
-    of_line = members.where("n > 3").groupBy("id").agg(F.collect_list("band").alias("bs"))  # at most 16 bands
-    twice = F.flatten(F.transform("bs", lambda x, i: F.transform(F.slice("bs", i + 2, 16), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    large = stored(of_line.select("id", F.explode(twice).alias("band")), "second")
     near = stored(near.distinct(), "pairs")
     # the texts of candidate lines, found again where they first occur
     wanted = once.join(members.select("id").distinct(), "id", "left_semi").select("id", "low.*")
@@ -97,18 +104,19 @@ def line_classes(docs: DataFrame, key: str, text: str, similarity: float = SIMIL
     texts = stored(found.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("ls", "w.at"))).alias("t")).dropDuplicates(["id"]), "texts")
     links = stored(_verified(near, texts, similarity), "links")
     comp = stored(components(links, "a", "b"), "classes")
-    # lines that share two larger buckets and are still apart: neighbours first, then all
-    placed = large.join(comp, large.id == comp.node, "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    before = placed.select(F.lag("id").over(w.orderBy("id")).alias("a"), F.lag("c").over(w.orderBy("id")).alias("ca"), F.col("id").alias("b"), "c").where("ca <> c")
-    chain = stored(before.select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "pairs")
-    links = stored(links.unionAll(_verified(chain, texts, similarity)), "links")
-    comp = stored(components(links, "a", "b"), "classes")
-    placed = large.join(comp, large.id == comp.node, "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    # pairs of a bucket that are still apart
+    placed = members.select("band", "id").join(comp, members.id == comp.node, "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     counts = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds"))
     open_ = stored(placed.join(counts.where("kinds > 1"), "band"), "open")
-    minor = open_.where("c <> main").select("band", F.col("id").alias("i"), F.col("c").alias("ci"))
-    rest = minor.join(open_, "band").where((F.col("c") != F.col("ci")) & ((F.col("c") == F.col("main")) | (F.col("i") < F.col("id"))))
-    rest = rest.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(near.unionAll(chain), ["a", "b"], "left_anti")
+    prints = texts.join(open_.select("id").distinct(), "id", "left_semi").select("id", parities(F.col("t")).alias("f"))
+    open_ = stored(open_.join(prints.select("id", "f.*"), "id"), "open")
+    minor = open_.where("c <> main").select("band", *[F.col(x).alias(f"o{x}") for x in ("id", "c", "size", *BITS)])
+    total = F.col("size") + F.col("osize")
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"o{x}"))) for x in BITS), F.lit(0))
+    alike = (F.least("size", "osize") >= F.lit(similarity) * F.greatest("size", "osize") - F.lit(1e-6)) & (
+        differ <= F.lit((1 - similarity) / (1 + similarity)) * total + F.lit(1e-6))
+    rest = minor.join(open_, "band").where((F.col("c") != F.col("oc")) & ((F.col("c") == F.col("main")) | (F.col("oid") < F.col("id"))) & alike)
+    rest = rest.select(F.least("oid", "id").alias("a"), F.greatest("oid", "id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
     more = stored(_verified(rest, texts, similarity), "links")
     comp = stored(components(links.unionAll(more), "a", "b"), "classes")
     least = comp.join(once.select("id", "low"), comp.node == F.col("id")).groupBy("component").agg(F.min("low").alias("low0"))

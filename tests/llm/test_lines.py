@@ -91,6 +91,29 @@ def test_hard_rows(spark):
     assert lines.deduplicate(df.where("1 = 0")).collect() == []
 
 
+def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
+    """One band for all lines: similar lines that are neither neighbours nor with the smallest of their bucket."""
+    monkeypatch.setattr(lines, "signature", lambda line: lines.F.array(*[lines.F.lit(1).cast("long")] * 4, *[lines.F.xxhash64(line, lines.F.lit(k)) for k in range(12)]))
+    monkeypatch.setattr(lines, "GROUPS", [[[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11], [12, 13, 14, 15]]])
+    rng = np.random.default_rng(11)
+    base = ["".join(rng.choice(list("abcdefghijklmnop "), 60)).strip() for _ in range(40)]
+    rows = [(d, base[d % 40] + "?!."[d // 40]) for d in range(120)]
+    rows = [rows[k] for k in rng.permutation(120)]
+    assert digests(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in rng.integers(1, 400, 200):
+        a = "".join(rng.choice(list("abcde "), n))
+        rows.append((a, "".join(c if rng.random() < 0.95 else "x" for c in a)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", lines.parities(df.a).alias("p"), lines.parities(df.b).alias("q")).collect():
+        x, y = ({v[i:i + 5] for i in range(len(v) - 4)} if len(v) > 5 else {v} for v in (r.a, r.b))
+        assert r.p["size"] == len(x) and sum(((r.p[k] ^ r.q[k]) & (1 << 64) - 1).bit_count() for k in lines.BITS) <= len(x ^ y)
+
+
 def test_groups_meet_once():
     seen = [set(g) for groups in lines.GROUPS for g in groups]
     assert all(len(a & b) <= 1 for i, a in enumerate(seen) for b in seen[:i])
