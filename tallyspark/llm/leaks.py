@@ -4,11 +4,14 @@ Words are runs of letters and digits in lower case (any non-ASCII byte counts as
 with inverse document frequencies counted over all documents, and a distributed randomised SVD of the item passages gives
 the latent space; terms outside it have no direction but weigh in a passage's length. Documents are cut into overlapping
 passages at the length of the items sought (a quarter more, in steps of sqrt 2). A passage is a candidate for an item if its
-cosine in the latent space reaches ``COSINE`` of what the item reaches with itself; passages whose words shared with the
-benchmark carry too little weight for any item are passed over first. A candidate is a leak if the longest common
+cosine in the latent space reaches ``COSINE`` of what the item reaches with itself. A candidate is a leak if the longest common
 subsequence of item and passage covers ``VERBATIM`` of the item's words, or ``PARAPHRASE`` of them and the passage also
 holds the item's answer, its last ``ANSWER`` words, in a row.
 
+Passages that cannot be candidates or leaks are passed over first, by bounds that lose none. A projection is not longer than
+what it projects, so a passage's shared terms, with their repeats, must be long enough for ``COSINE``. And a leak holds an
+answer, or one of the rarest words of an item, as many of them as ``VERBATIM`` lets go and one more.
+
 Null or empty texts and texts shorter than an item's passages are one passage; items with fewer than ``LEAST`` words, or a
 null id, say nothing and are not sought. Repeated rows and items are reported as often as they come up, once per (key,
 item). Rows with a null key are reported with a null key. Empty tables give an empty result. Only the key and text columns
@@ -31,7 +34,6 @@ SLOTS = 1 << 18  # hashed terms
 RANK = 256
 ITEM_BLOCK = 2048
 COSINE = 0.3
-SHARE = 0.3
 VERBATIM = 0.8
 PARAPHRASE = 0.5
 ANSWER = 4
@@ -156,6 +158,15 @@ def passage_length(words: int) -> int:
     return round(16 * 2 ** (n / 2))
 
 
+def runs(h: np.ndarray) -> np.ndarray:
+    """A hash of every ANSWER words in a row."""
+    n = len(h) - ANSWER + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(ANSWER if n > 0 else 0):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + n].astype(np.uint64)
+    return out
+
+
 class Index:
     """The items of a block: their words, their places in the latent space, and the passage lengths they are sought at."""
 
@@ -172,7 +183,17 @@ class Index:
         for n in sorted(set(size.tolist())):
             own = np.flatnonzero(size == n)
             # dot product at which a passage reaches COSINE of what the item reaches with itself
-            self.lengths[n] = (own, place[own].T, COSINE * (place[own] ** 2).sum(1) / np.maximum(norm[own], 1e-30))
+            bar = COSINE * (place[own] ** 2).sum(1) / np.maximum(norm[own], 1e-30)
+            # no passage reaches it whose shared terms are shorter, against the root of its weight, than this; a little less for rounding
+            least = 0.999 * float((bar / np.maximum(np.sqrt((place[own] ** 2).sum(1)), 1e-30)).min())
+            rare = np.unique(np.concatenate([self.rarest(words[i]) for i in own]))
+            answers = np.unique(np.concatenate([runs(words[i][-ANSWER:]) for i in own]))
+            self.lengths[n] = (own, place[own].T, bar, least, rare, answers)
+
+    def rarest(self, w: np.ndarray) -> np.ndarray:
+        """Words of an item of which a passage that covers VERBATIM of it has one at least."""
+        spare = len(w) - int(np.ceil(VERBATIM * len(w) - 1e-9))
+        return w[np.argsort(-self.idf2[slots(w)], kind="stable")[:spare + 1]]
 
     def project(self, t: np.ndarray) -> np.ndarray:
         t = t[self.inside[t]]
@@ -187,6 +208,14 @@ class Index:
         rows = self.space[np.searchsorted(self.at, t[at[known]])]
         return np.add.reduceat(rows, np.searchsorted(own, np.arange(len(a))), axis=0)
 
+    def shared_length(self, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared lengths of the passages t[a:b] in the terms inside the space, repeats counted."""
+        size = b - a
+        at = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        known = self.inside[t[at]]
+        pair, n = np.unique(np.repeat(np.arange(len(a)), size)[known] * SLOTS + t[at[known]], return_counts=True)
+        return np.bincount(pair // SLOTS, self.idf2[pair % SLOTS] * n.astype(np.float64) ** 2, len(a))
+
     def search(self, h: np.ndarray, first: np.ndarray):
         """(row, item, share of the item in common, whether the answer is there) for every leak."""
         t = slots(h)
@@ -194,8 +223,9 @@ class Index:
         total = np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)])
         shared = np.concatenate([[0.0], np.cumsum(np.where(self.inside[t], w, 0), dtype=np.float64)])
         size = np.diff(first)
+        four = runs(h)
         best: dict[tuple[int, int], tuple[float, bool]] = {}
-        for n, (own, place, bar) in self.lengths.items():
+        for n, (own, place, bar, least, rare, answers) in self.lengths.items():
             step = max(1, n // 4)
             count = np.maximum(1, -(-(size - n) // step) + 1)
             row = np.repeat(np.arange(len(size)), count)
@@ -203,16 +233,22 @@ class Index:
             a = first[row] + k * step
             b = np.minimum(a + n, first[row + 1])
             weight = total[b] - total[a]
-            open_ = np.flatnonzero((shared[b] - shared[a] >= SHARE * weight) & (weight > 0))
+            lo, hi = np.maximum(first[row], a - step), np.minimum(first[row + 1], b + step)
+            rares = np.concatenate([[0], np.cumsum(np.isin(h, rare))])
+            ends = np.concatenate([[0], np.cumsum(np.isin(four, answers))])
+            leaky = (rares[hi] > rares[lo]) | (ends[np.clip(hi - ANSWER + 1, 0, len(four))] > ends[np.minimum(lo, len(four))])
+            open_ = np.flatnonzero(leaky & (shared[b] > shared[a]) & (weight > 0))
             for s in range(0, len(open_), 1024):
                 part = open_[s:s + 1024]
+                part = part[self.shared_length(t, a[part], b[part]) >= least ** 2 * weight[part]]
+                if not len(part):
+                    continue
                 p = self.project_many(t, a[part], b[part])
                 near = p @ place >= bar[None, :] * np.sqrt(weight[part])[:, None]
                 for i, j in zip(*np.nonzero(near)):
                     x, item = part[i], int(own[j])
                     want = self.words[item]
-                    lo, hi = max(first[row[x]], a[x] - step), min(first[row[x] + 1], b[x] + step)
-                    text = h[lo:hi].tolist()
+                    text = h[lo[x]:hi[x]].tolist()
                     if sum(map(set(text).__contains__, want)) < PARAPHRASE * len(want):  # no subsequence can be longer
                         continue
                     share = common_subsequence(want, text) / len(want)

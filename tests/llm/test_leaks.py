@@ -83,6 +83,32 @@ def test_planted_passages_and_clean_ones(spark):
     assert leaks.find(df, bench.where("1 = 0")).collect() == [] and leaks.find(df.where("1 = 0"), bench).collect() == []
 
 
+def test_nothing_is_passed_over_that_a_full_search_finds():
+    """Paraphrases that keep the common words and the answer; the others become words that no item has and few documents."""
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(4000)]
+    items = [[str(rng.choice(common)) if rng.random() < 0.5 else str(rng.choice(rare)) for _ in range(rng.integers(12, 70))] for _ in range(80)]
+    idf = np.full(leaks.SLOTS, 9.0)
+    idf[leaks.slots(leaks.terms(pa.array([" ".join(common)]))[0])] = 3.5
+    h, first = leaks.terms(pa.array([" ".join(w) for w in items]))
+    at, where = np.unique(leaks.slots(h), return_inverse=True)
+    a = np.zeros((len(items), len(at)))
+    np.add.at(a, (np.repeat(np.arange(len(items)), np.diff(first)), where), idf[leaks.slots(h)])
+    index = leaks.Index(list(range(len(items))), [h[x:y] for x, y in zip(first, first[1:])], idf, at, np.linalg.svd(a, full_matrices=False)[2].T)
+    texts = []
+    for k in range(400):
+        w = items[k % 80]
+        other = [x if x[0] == "c" or i >= len(w) - 4 or rng.random() < 0.1 * (k // 80) else f"n{rng.integers(1 << 30)}" for i, x in enumerate(w)]
+        pad = [f"n{rng.integers(1 << 30)}" for _ in range(120)]
+        texts.append(" ".join(pad[:60] + other + pad[60:]))
+    texts += ["", "one two three", "c1 " * 200]
+    h, first = leaks.terms(pa.array(texts))
+    got = index.search(h, first)
+    index.lengths = {n: (*v[:3], 0.0, np.unique(h), v[5]) for n, v in index.lengths.items()}  # every passage is open
+    assert got == index.search(h, first) and len(got) >= 100
+
+
 def test_query_equals_brute_force(spark):
     """Every document against every item: the best common subsequence in passages of the item's passage length."""
     sf = "/root/testdata/sf0.001"
