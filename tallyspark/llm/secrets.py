@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions and MLlib only.
 
 A candidate is a run of at least 16 letters, digits and ``_+/-`` that holds a digit, or any value of 8 or more characters
-assigned to a name such as password or token. A finding is a (document, value) with its number of occurrences; the context
+assigned to a name that contains one such as password or token. A finding is a (document, value) with its number of occurrences; the context
 is that of the first one. Features: length, shares of character kinds, entropy, character transitions, how much of the value
 dictionary words cover (words of the corpus itself), its path, and the words before and after it.
 
@@ -29,7 +29,8 @@ DEPTH = 6
 
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
-ASSIGNED = rf"(?i)\b(?:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"']{{8,}})"
+# the name is an identifier that contains one of NAMES; the value is looked at only, as it may hold the next assignment
+ASSIGNED = rf"(?i)(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:{NAMES}))[A-Za-z0-9_.-]++[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?=([^\s\"']{{8,}}))"
 # fixed values: published key formats, and what is known not to be a secret
 POSITIVE = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})$"
 NEGATIVE = r"(?i)^(?:[0-9]+|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|.*(?:example|changeme|placeholder|your[_-]).*|(.)\1+|[0-9]{4}-[0-9]{2}-[0-9]{2}.*)$"

@@ -25,6 +25,15 @@ def test_candidates_equal_plain_regex(spark):
     assert tokens and tokens <= kept
 
 
+def test_values_of_compound_names_are_candidates(spark):
+    given = [("DB_PASSWORD=", "abcdefgh"), ("client_secret: ", "Xy.12!ab"), ("user_token = ", "qwertyuiop"), ("secret_key='", "a$b@c!d.e"), ("auth_token=", "k9k9k9k9"), ("password_hash=", "zzyyxxww"),
+             ('"app.jwt-secret-v2": "', "short.1value"), ("export AWS_SECRET_ACCESS_KEY=", "a/b!c/d!e"), ("https://x.example?access_token=", "u.v.w.x.y"), ("MyApiKeyName: ", "p@ssw0rd"), ("password: ", "letmein!now")]
+    df = spark.createDataFrame([(i, f"so {name}{value}' was set", "a") for i, (name, value) in enumerate(given)] + [(50, "auth_header: token=abcd1efgh", "a"), (51, "monkey=abcdefghij", "a")], "doc_id long, text string, source string")
+    got = {(r.key, r.value) for r in secrets.candidates(df).collect()}
+    assert {(i, value) for i, (_, value) in enumerate(given)} <= got and (50, "abcd1efgh") in got
+    assert not [v for k, v in got if k == 51]
+
+
 def test_forest_removes_false_positives_it_was_not_given(spark):
     """Labels for one half of the values; the verdicts on the other half are held out."""
     rng = np.random.default_rng(5)
