@@ -54,8 +54,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text and their number."""
-    return bpe.encode(docs, vocabulary_path(), extra=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
+    """The token ids of every text, their number and the text decoded from them."""
+    encoded = bpe.encode(docs, vocabulary_path(), extra=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.decode(encoded, vocabulary_path(), extra=("doc_id", "lang", "source", "ids", "n_tokens")).withColumnRenamed("text", "decoded")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", tokens)]

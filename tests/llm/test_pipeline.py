@@ -71,6 +71,17 @@ def test_hard_rows_pass_every_stage(spark):
     assert none.collect() == []
 
 
+def test_tokens_are_decoded(spark):
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, "en", None, None), (-2, "", "en", None, None)], docs.schema))
+    got = cp.tokens(spark, docs, SF).collect()
+    assert len(got) == docs.count() and {r.decoded for r in got if r.doc_id in (-1, -2)} == {""}
+    assert all(r.decoded == t.decode(r.ids, skip_special_tokens=False) for r in got)
+
+
 def test_run_applies_the_stages(spark):
     got = cp.run(spark, SF)
     assert 0 < got.count() < spark.read.parquet(f"{SF}/documents.parquet").count()
