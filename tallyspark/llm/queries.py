@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gru, langid, leaks, lines, nra, secrets, simhash, substrings, urls
+from . import bpe, ctph, gru, langid, leaks, lines, nra, secrets, simhash, substrings, urls
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,6 +91,11 @@ def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return gru.score(documents(spark, sf), held_out(7, 2))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts and how alike they are."""
+    return ctph.compare_with_edits(documents(spark, sf))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, SUBSTRING_SQL),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -102,4 +107,5 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_decontamination": (op9_decontamination, None),
     "op10_lm_scoring": (op10_lm_scoring, None),
+    "op11_document_fingerprints": (op11_document_fingerprints, None),
 }
