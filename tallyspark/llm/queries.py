@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, gru, langid, leaks, lines, nra, secrets, simhash, substrings, urls
+from . import bpe, ctph, gru, langid, leaks, lines, nra, secrets, simhash, spellings, substrings, urls
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +96,36 @@ def op11_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return ctph.compare_with_edits(documents(spark, sf))
 
 
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of all documents, their near words, forms and roots."""
+    return spellings.group_variants(documents(spark, sf))
+
+
+# the checksum goes over hexadecimal digits with the table of CRC-32 for four bits; letters beyond ASCII stand for one byte each
+# in the edit distance
+SPELLING_SQL = r"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+digits AS (SELECT *, hex(encode(concat(doc_id, ':', w))) AS d FROM runs),
+sums AS (SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(d)), lambda i:
+    CAST(strpos('0123456789ABCDEF', substr(d, i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END, 1)) - 1 AS BIGINT))),
+    lambda a, x: xor(a >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+        3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][xor(a, x) % 16 + 1]))) AS h FROM digits),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN
+    concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, c FROM sums) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+keys AS (SELECT word, n, unnest(list_distinct(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: concat(substr(word, 1, i - 1), substr(word, i + 1)))))) AS k FROM words),
+pairs AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.k = b.k AND a.word <> b.word),
+near AS (SELECT * FROM pairs WHERE levenshtein(translate(word, :OTHER, :BYTES), translate(other, :OTHER, :BYTES)) = 1),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, (-other_n, other)) AS best FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+    FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM formed UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON chain.at = formed.word WHERE formed.form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN chain ON chain.word = f.word
+JOIN formed g ON g.word = chain.at WHERE g.form IS NULL
+""".replace(":OTHER", "'" + "".join(map(chr, range(192, 256))) + "'").replace(
+    ":BYTES", "'" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_`{|}" + "'")
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, SUBSTRING_SQL),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -108,4 +138,5 @@ QUERIES = {
     "op9_decontamination": (op9_decontamination, None),
     "op10_lm_scoring": (op10_lm_scoring, None),
     "op11_document_fingerprints": (op11_document_fingerprints, None),
+    "op12_spelling_variants": (op12_spelling_variants, SPELLING_SQL),
 }
