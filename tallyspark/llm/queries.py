@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctph, gru, langid, leaks, lines, nra, secrets, simhash, spellings, substrings, urls
+from . import bpe, collocations, ctph, gru, langid, leaks, lines, nra, secrets, simhash, spellings, substrings, urls
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,6 +126,29 @@ JOIN formed g ON g.word = chain.at WHERE g.form IS NULL
     ":BYTES", "'" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_`{|}" + "'")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return collocations.mine(documents(spark, sf))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, k, w[i:i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+inner_ AS (SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer FROM (SELECT lang, p, a, m, unnest(range(1, k - m + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY ALL),
+open_ AS (SELECT f.* FROM f LEFT JOIN inner_ USING (lang, p) WHERE k > 1 AND (longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)),
+cuts AS (SELECT lang, p, a, k, unnest(range(1, k)) AS c FROM open_),
+scored AS (SELECT cuts.lang, cuts.p, cuts.a, c, h.a AS l, t.a AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (CAST(h.a AS HUGEINT) + t.a) AS BIGINT) AS score
+    FROM cuts JOIN f h ON h.lang = cuts.lang AND h.p = cuts.p[1:c] JOIN f t ON t.lang = cuts.lang AND t.p = cuts.p[c + 1:cuts.k]),
+lowest AS (SELECT *, array_to_string(p, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, SUBSTRING_SQL),
     "op2_line_dedup": (op2_line_dedup, None),
@@ -139,4 +162,5 @@ QUERIES = {
     "op10_lm_scoring": (op10_lm_scoring, None),
     "op11_document_fingerprints": (op11_document_fingerprints, None),
     "op12_spelling_variants": (op12_spelling_variants, SPELLING_SQL),
+    "op13_phrase_collocations": (op13_phrase_collocations, PHRASE_SQL),
 }
