@@ -245,13 +245,13 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def _mapped(docs: DataFrame, text: str, extra: list[str], fields: list[tuple[str, T.DataType]], row) -> DataFrame:
+def _mapped(docs: DataFrame, text: str, extra: list[str], fields: list[tuple[str, T.DataType]], row, size: int = CHUNK) -> DataFrame:
     kinds = [T.StructField(c, docs.schema[c].dataType) for c in extra]
     source = docs.select(*extra, F.col(text).cast("string").alias("__text"))
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "__text", CHUNK):
+            for part in chunks(batch, "__text", size):
                 cols = row(part.column("__text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], [*extra, *[n for n, _ in fields]])
 
@@ -261,13 +261,16 @@ def _mapped(docs: DataFrame, text: str, extra: list[str], fields: list[tuple[str
 def encode(docs: DataFrame, path: str, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``extra`` and ids, array<int>."""
     def row(texts):
-        out = vocabulary(path).encode(texts)
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-        return [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(out), np.int32)))]
+        return [_id_rows(vocabulary(path).encode(texts))]
 
     return _mapped(docs, text, list(extra), [("ids", T.ArrayType(T.IntegerType()))], row)
 
 
+def _id_rows(out: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(out), np.int32)))
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``extra`` and the decoded text; null ids decode to an empty text."""
     kinds = [T.StructField(c, encoded.schema[c].dataType) for c in extra]
@@ -275,13 +278,30 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", extra: tuple[str, ..
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            texts = [v.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("__ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*extra, "text"])
-
-    return encoded.select(*extra, F.col(ids).alias("__ids")).mapInArrow(
+            lists = batch.column("__ids")
+            values = np.asarray(lists.values.cast(pa.int32())).astype("<u4", copy=False)
+            ends = np.asarray(lists.offsets)
+            group = (ends[:-1] - ends[0]) // (CHUNK // 4)
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            known = np.asarray(lists.is_valid())
+            for s, e in zip(cuts, cuts[1:]):
+                texts = [v.decode(values[ends[i]:ends[i + 1]].tobytes()) if known[i] else "" for i in range(s, e)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(s, e - s) for c in batch.columns[:-1]], pa.array(texts, pa.string())], [*extra, "text"])
+
+    return encoded.select(*extra, F.col(ids).cast("array<int>").alias("__ids")).mapInArrow(
         run, T.StructType([*kinds, T.StructField("text", T.StringType())]))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``extra``, ids, n_tokens and the text decoded from the ids, in one pass that holds one chunk of texts."""
+    def row(texts):
+        v = vocabulary(path)
+        out = v.encode(texts)
+        return [_id_rows(out), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([v.decode(x) for x in out], pa.string())]
+
+    return _mapped(docs, text, list(extra), [("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("decoded", T.StringType())], row, 1 << 20)
+
+
 def digests(docs: DataFrame, path: str, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``extra``, n_tokens, and SHA-256 of the ids and of the text decoded from them, in one pass."""
     def row(texts):

@@ -20,8 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = CHUNK_BYTES):
-    """Row slices of a batch with at most about max_bytes of text each; a longer text is a slice of its own."""
+def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = CHUNK_BYTES, max_rows: int | None = None):
+    """Row slices of a batch with at most about max_bytes of text, and max_rows rows, each; a longer text is a slice of its own."""
     rows = batch.num_rows
     if not rows:
         return
@@ -29,7 +29,9 @@ def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = CHUNK_BYTES):
     group = np.cumsum(sizes) // max_bytes
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), rows]
     for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
+        step = max_rows or b - a
+        for s in range(a, b, step):
+            yield batch.slice(s, min(step, b - s))
 
 
 def text_bytes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -5,10 +5,10 @@ loss-weighted: the distance of a codeword sums the logistic loss of its bits, ea
 recognises the language in training. The nearest codeword wins; a flag tells when the runner-up is close.
 
 A text that is null or has no letter is ``und`` with score 0. Rows with a null key are predicted and never learned from;
-null languages are not learned. With one learned language every text with letters gets it, with none every text is ``und``.
+null languages are not learned. Very long texts count whole, as the shares of their n-grams. With one learned language every text with letters gets it, with none every text is ``und``.
 Ties between codewords go to the language first in alphabetical order. Repeated rows are returned as they come; an empty
 table gives an empty result. Only the named columns are read. Training is fitted on at most about ``per_language`` rows of
-each language, chosen by a hash of the key; features, weights and predictions use whole texts.
+each language and ``training_rows`` in all, chosen by a hash of the key; features, weights and predictions use whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from .columnar import chunks, text_bytes
 DIMS = 4096
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 500
+TRAINING_ROWS = 16_384  # of all languages, at 16 KB each: what the driver gets
 MAX_LANGUAGES = 500
+ROWS = 256  # whose features are held at once
 PASSES = 150
 RIDGE = 1e-5
 AMBIGUOUS = 0.6
@@ -127,8 +129,9 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
 
 
 def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on rows where ``learn`` holds. The driver gets at most about per_language feature rows for each language."""
+          per_language: int = PER_LANGUAGE, training_rows: int = TRAINING_ROWS) -> Model | None:
+    """Fit on rows where ``learn`` holds. The driver gets at most about per_language feature rows for each language, and
+    training_rows in all."""
     letters = F.col(text).rlike(r"\p{L}")
     rows = docs.where(learn & F.col(lang).isNotNull()).select(
         F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), letters.alias("ok"))
@@ -138,13 +141,14 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     if not sizes:
         return None
     part = F.lit(0.0)
+    per_language = min(per_language, max(1, training_rows // len(sizes)))
     for r in sizes:
         part = F.when(F.col("l") == r["l"], F.lit(min(1.0, per_language / r["count"]))).otherwise(part)
     unit = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches):
         for batch in batches:
-            for c in chunks(batch, "t"):
+            for c in chunks(batch, "t", max_rows=ROWS):
                 x = features(c.column("t"))
                 yield pa.RecordBatch.from_arrays([c.column("k").cast(pa.string()), c.column("l"), pa.array([v.tobytes() for v in x], pa.binary())], ["k", "l", "x"])
 
@@ -163,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            for c in chunks(batch, "__text"):
+            for c in chunks(batch, "__text", max_rows=ROWS):
                 texts = c.column("__text")
                 lang, score, near = [UNKNOWN] * c.num_rows, np.zeros(c.num_rows), np.zeros(c.num_rows, bool)
                 known = np.array([next(filter(str.isalpha, t or ""), None) is not None for t in texts.to_pylist()], bool)

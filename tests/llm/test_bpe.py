@@ -66,3 +66,9 @@ def test_round_trip_through_dataframes(spark, library):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect()}
     for r in docs.collect():
         assert back[r.doc_id] == library.decode(library.encode(r.text, add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_decode_of_null_and_sliced_lists(spark, library):
+    rows = [(1, None), (2, []), (3, [5, 300, 17])] + [(i, [i % 700, 9]) for i in range(4, 60)]
+    got = {r.doc_id: r.text for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<long>"), PATH).collect()}
+    assert got == {k: library.decode(x or [], skip_special_tokens=False) for k, x in rows}
