@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir), and what it keeps are the next one's documents.
 
-Null doc_ids, null texts, repeated rows and empty tables pass through every stage by the rules of its operator; columns
-beyond those of documents are left behind by the first stage.
+Null doc_ids, null texts, very long texts, repeated rows, ties and empty tables pass through every stage by the rules of its
+operator; columns beyond those of documents are left behind by the first stage.
 """
 
 from __future__ import annotations
@@ -16,11 +16,19 @@ from tallyspark.session import stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told, those without any letter, go."""
+# languages whose documents go on; None: every learned one
+LANGUAGES: tuple[str, ...] | None = None
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = LANGUAGES) -> DataFrame:
+    """Documents get the language that is predicted from their text; where the prediction is ambiguous, a label they carry stays.
+    Documents whose language cannot be told (those without any letter) go, and with ``languages`` those of another language."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs, F.col("doc_id").isNotNull())
-    return langid.predict(docs, model, extra=COLUMNS[1:]).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    told = langid.predict(docs, model, extra=COLUMNS[1:]).where(F.col("lang_pred") != langid.UNKNOWN)
+    lang = F.when(F.col("ambiguous") & F.col("lang").isNotNull(), F.col("lang")).otherwise(F.col("lang_pred"))
+    told = told.withColumn("lang", lang)
+    return (told if languages is None else told.where(F.col("lang").isin(*languages))).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +63,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, their number and the text decoded from them."""
-    encoded = bpe.encode(docs, vocabulary_path(), extra=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
-    return bpe.decode(encoded, vocabulary_path(), extra=("doc_id", "lang", "source", "ids", "n_tokens")).withColumnRenamed("text", "decoded")
+    return bpe.round_trip(docs, vocabulary_path(), extra=("doc_id", "lang", "source"))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", tokens)]
