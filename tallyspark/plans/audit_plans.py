@@ -287,16 +287,20 @@ PARSE_SQL = sql("visits", "SELECT plt_cn, CASE WHEN ok THEN 'parsed' WHEN contai
 
 
 def double_extraction(spark, sf):
-    """Primary parse against rows recovered from lines with leading text; differences and gaps per visit."""
+    """Two readings of two extractions: the second one has other text before its rows, and misreads the last cell of some."""
     lines = text_lines(spark, sf)
     a = text.parse_code_rows(lines, MEAS).where("status = 'parsed'")
-    noisy = lines.join(t.visits(spark, sf).select("plt_cn", "qa_status", "manual"), "plt_cn").where("qa_status = 1").select(
-        "plt_cn", F.concat(F.lit("footnote text. "), "value").alias("value"))
-    b = text.trailing_code_row(noisy, MEAS).where("status = 'parsed'")
-    return text.extraction_mismatches(a, b, "plt_cn", MEAS).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    v = t.visits(spark, sf).where("qa_status = 1").select("plt_cn", "manual", F.format_number((F.col("plot_total") / 11).cast("long"), 0).alias("other"))
+    misread = F.concat(F.substring_index("value", " ", 10), F.lit(" "), F.col("other"))
+    row = F.when((F.col("manual") == 5) & (F.size(F.split("value", " ")) == 11), misread).otherwise(F.col("value"))
+    noisy = lines.join(v, "plt_cn").select("plt_cn", F.concat(F.lit("footnote text of 3 lines. "), row).alias("value"))
+    b = text.parse_backwards(noisy, MEAS).where("status = 'parsed'")
+    return text.extraction_mismatches(a, b, "plt_cn", ["code", "footnote", *MEAS]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-DOUBLE_SQL = sql("visits", "SELECT 'primary only' AS kind, count(*) AS n FROM visits WHERE qa_status<>1 AND manual NOT IN (4,9) AND plot_total>=0")
+DOUBLE_SQL = sql("visits", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN qa_status<>1 THEN 'primary only'
+  WHEN manual=5 AND evalid<>'F' AND trunc(plot_total/10e0)<>trunc(plot_total/11e0) THEN 'different' END AS kind
+  FROM visits WHERE manual NOT IN (4,9) AND plot_total>=0) WHERE kind IS NOT NULL GROUP BY kind""")
 
 
 def season_window(spark, sf):

@@ -133,10 +133,25 @@ def test_code_rows(spark):
     assert [e.status, f.status, g.status] == ["rejected", "rejected", "ignored"] and e.m1 is None
     with pytest.raises(AuditFailure):
         text.gate_rejects(text.parse_code_rows(spark.createDataFrame([("001 1 2",)], "value string"), M))
-    (r,) = parsed(spark, "aHarvest estimates exclude permits. 069 6,442 749 49,458 7,922 63 69 1,045 306 1,108 321", fn=text.trailing_code_row)
+    (r,) = parsed(spark, "aHarvest estimates exclude permits. 069 6,442 749 49,458 7,922 63 69 1,045 306 1,108 321", fn=text.parse_backwards)
     assert (r.code, r.m9) == ("069", 1108)
 
 
+def test_readings_are_independent(spark):
+    same = ["001 1,200 100 2,000 200 30 3 40 4 70 7", "255 f 1 2 3 4 5 6 7 8 12 009", "255a f 1 2 3 4 5 6 7 8 12 9", "001 1 2 3 4 5 6 7 8 9", "123", "", "no code at all",
+            "001 1 2 3 NA 5 6 7 8 9 10", "001 1,20 2 3 4 5 6 7 8 9 10", "0011 1 2 3 4 5 6 7 8 9 10", "\t245\t1  2 3 4 5 6 7 8 9 10 "]
+    for x, y in zip(parsed(spark, *same), parsed(spark, *same, fn=text.parse_backwards)):
+        assert (x.status == "parsed") == (y.status == "parsed") and tuple(x)[2:] == tuple(y)[2:]
+    # a group of zeros is a number to the one, not to the other; a code before a row is a defect to the one, other text to the other
+    apart = [("0,123 1 2 3 4 5 6 7 8 9", "parsed", "ignored"), ("245 1 2 3 4 5 6 7 8 9 10", "rejected", "parsed")]
+    for cells, one, other in apart:
+        (x,), (y,) = parsed(spark, f"069 {cells}"), parsed(spark, f"069 {cells}", fn=text.parse_backwards)
+        assert (x.status, y.status) == (one, other)
+    a = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "k int, m int")
+    b = spark.createDataFrame([(1, 5), (2, 8), (4, 7)], "k int, m int")
+    assert {tuple(r) for r in text.extraction_mismatches(a, b, "k", ["m"]).collect()} == {(2, "different"), (3, "primary only"), (4, "secondary only")}
+
+
 def test_series_header_rules(spark):
     lines = [("x,y", "k"), ("year,yday,prcp (mm/day),tmax (c)", "k"), ("2001,1,0.5,3", "k"), ("2001,2,1.5,4", "k")]
     d = spark.createDataFrame(lines, "value string, file_key string")
