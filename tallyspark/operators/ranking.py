@@ -49,7 +49,12 @@ def tie_table(scored: DataFrame, groups: Sequence[str], y: str, score: str, w: s
 def rank_metrics(scored: DataFrame, groups: Sequence[str], y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
     """ROC AUC with half credit for ties and step-wise average precision; NULL when a class is absent."""
     live = scored if w is None else scored.where(F.col(w) > 0)
-    r = running_totals(tie_table(live, groups, y, p, w), groups, p, ["w", "t"], slice_bounds(live, p))
+    return rank_from_ties(tie_table(live, groups, y, p, w), groups, p, slice_bounds(live, p))
+
+
+def rank_from_ties(table: DataFrame, groups: Sequence[str], p: str, bounds: Sequence | None = None) -> DataFrame:
+    """The ranking metrics of a tie table (…, score, w, t)."""
+    r = running_totals(table, groups, p, ["w", "t"], bounds)
     pos, neg = F.col("t"), F.col("w") - F.col("t")
     neg_below = F.col("before_w") - F.col("before_t")
     w_from = F.col("total_w") - F.col("before_w")
@@ -103,7 +108,17 @@ def cutoffs(scored: DataFrame, groups: Sequence[str], target: str, score: str, f
     live = scored if w is None else scored.where(F.col(w) > 0)
     s = F.col(score).cast("double")
     live = live.withColumn(score, F.when(s.isNotNull() & ~F.isnan(s), F.col(score)).otherwise(F.raise_error(F.lit("missing scores cannot be ranked")).cast(live.schema[score].dataType)))
-    r = running_totals(tie_table(live, groups, target, score, w), groups, score, ["w", "t"], slice_bounds(live, score))
+    return cutoffs_from_ties(tie_table(live, groups, target, score, w), groups, score, fractions, slice_bounds(live, score))
+
+
+def expected_targets() -> Column:
+    """Targets in a capacity: those above the cutoff, and the expected share of its tie."""
+    return F.col("above_t") + F.coalesce(F.try_divide((F.col("capacity") - F.col("above_w")) * F.col("tied_t"), "tied_w"), F.lit(0.0))
+
+
+def cutoffs_from_ties(table: DataFrame, groups: Sequence[str], score: str, fractions: Sequence[float], bounds: Sequence | None = None) -> DataFrame:
+    """The cutoffs of a tie table (…, score, w, t)."""
+    r = running_totals(table, groups, score, ["w", "t"], bounds)
     r = r.withColumn("requested_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     r = r.withColumn("capacity", F.floor(F.col("total_w") * F.col("requested_fraction")))
     above_w = F.col("total_w") - F.col("before_w") - F.col("w")

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_totals, slice_bounds
-
 
 def cluster_index(df: DataFrame, cluster: str) -> DataFrame:
     """Clusters numbered from 0 in the order of their hashed name.
@@ -71,25 +69,3 @@ def paired_brier_intervals(wide: DataFrame, cluster: str, y: str, pairs: Sequenc
     reps = long.join(w, cluster).groupBy("model", "reference", "resample").agg(
         (F.sum(F.col("weight") * F.col("d")) / F.sum(F.col("weight") * F.col("n"))).alias("v"))
     return point.join(percentile_interval(reps, ["model", "reference"], "v", resamples), ["model", "reference"])
-
-
-def auc_by_resample(scored: DataFrame, model: str, cluster: str, y: str, p: str, weights: DataFrame) -> DataFrame:
-    """AUC of fixed predictions under each resample: cluster-level tie groups take the multiplicities."""
-    cell = scored.groupBy(model, cluster, p).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("e"))
-    ties = cell.join(weights, cluster).groupBy(model, "resample", p).agg(
-        F.sum(F.col("weight") * F.col("e")).alias("t"), F.sum(F.col("weight") * (F.col("n") - F.col("e"))).alias("f"))
-    r = running_totals(ties, [model, "resample"], p, ["t", "f"], slice_bounds(scored, p))
-    g = r.groupBy(model, "resample").agg(F.max("total_t").alias("_t"), F.max("total_f").alias("_f"),
-                                         F.sum(F.col("t") * (F.col("before_f") + F.col("f") / 2.0)).alias("_a"))
-    ok = (F.col("_t") > 0) & (F.col("_f") > 0)
-    return g.select(model, "resample", F.when(ok, F.col("_a") / (F.col("_t").cast("double") * F.col("_f"))).alias("auc"))
-
-
-def paired_auc_intervals(scored: DataFrame, cluster: str, pairs: Sequence[tuple[str, str]], resamples: int, seed: int,
-                         model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
-    w = multiplicities(scored, cluster, resamples, seed)
-    a = auc_by_resample(scored, model, cluster, y, p, w)
-    wanted = F.broadcast(scored.sparkSession.createDataFrame(list(pairs), f"{model} string, reference string"))
-    ref = a.select(F.col(model).alias("reference"), "resample", F.col("auc").alias("_ref"))
-    d = a.join(wanted, model).join(ref, ["reference", "resample"]).withColumn("d", F.col("auc") - F.col("_ref"))
-    return percentile_interval(d, [model, "reference"], "d", resamples)

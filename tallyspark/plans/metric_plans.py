@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plan_size
 from ..functions.scalar import COUNT_BINS, logistic, right_closed_bin
-from ..operators import ranking, resample, summaries
+from ..operators import ranking, resample, rescore, summaries
 from . import tables as t
 from .tables import rnd, rounded, sql
 
@@ -176,17 +176,21 @@ DECOMP_SQL = sql("cohort", """SELECT metric, rnd(v,6) AS value FROM (SELECT avg(
   ('Strong benchmark improvement over prevalence',a-b),('Additional full-model improvement over strong benchmark',b-c),
   ('Fraction of full improvement already obtained by strong benchmark',(a-b)/(a-c))) x(metric,v)""", WIDE)
 
-R, SEED = 40, 20260909
+R, SEED = 2000, 20260909
 
 
 def bootstrap_draws(spark, sf):
     return resample.multiplicities(t.cohort(spark, sf), "cluster", R, SEED)
 
 
-DRAWS = f"""cidx AS (SELECT cluster, row_number() OVER (ORDER BY md5(CAST(cluster AS VARCHAR)), cluster)-1 AS no, count(*) OVER () AS c FROM (SELECT DISTINCT cluster FROM cohort)),
-dr AS (SELECT b AS resample, CAST('0x'||substr(md5(concat_ws('|','{SEED}',b,d)),1,15) AS BIGINT)%c AS no FROM (SELECT DISTINCT c FROM cidx),
-  range({R}) bb(b), LATERAL (SELECT unnest(range(c)) AS d)),
+def draws_sql(resamples, seed):
+    return f"""cidx AS (SELECT cluster, row_number() OVER (ORDER BY md5(CAST(cluster AS VARCHAR)), cluster)-1 AS no, count(*) OVER () AS c FROM (SELECT DISTINCT cluster FROM cohort)),
+dr AS (SELECT b AS resample, CAST('0x'||substr(md5(concat_ws('|','{seed}',b,d)),1,15) AS BIGINT)%c AS no FROM (SELECT DISTINCT c FROM cidx),
+  range({resamples}) bb(b), LATERAL (SELECT unnest(range(c)) AS d)),
 mult AS (SELECT resample, cluster, count(*) AS weight FROM dr JOIN cidx ON cidx.no=dr.no GROUP BY ALL)"""
+
+
+DRAWS = draws_sql(R, SEED)
 DRAW_SQL = sql("cohort", "SELECT resample, cluster, weight FROM mult", DRAWS)
 
 
@@ -216,14 +220,14 @@ PB_SQL = sql("cohort", f"""SELECT p.model, p.reference, rnd(p.d,8) AS brier_diff
 
 def bootstrap_paired_auc(spark, sf):
     s = scored(spark, sf).where(F.col("model") != PREV)
-    return rounded(resample.paired_auc_intervals(s, "cluster", [(STAGE, COUNT)], R, SEED))
+    return rounded(rescore.paired_auc_intervals(s, "cluster", [(STAGE, COUNT)], R, SEED))
 
 
-PA_SQL = sql("cohort", f"""SELECT 'Stage model' AS model, 'Count model' AS reference, rnd(quantile_cont(d,25e-3),6) AS lower, rnd(quantile_cont(d,975e-3),6) AS upper,
-  count(d) AS estimable_resamples, CAST({R} AS INTEGER) AS resamples FROM (SELECT resample, max(CASE WHEN model='Stage model' THEN auc END)-max(CASE WHEN model='Count model' THEN auc END) AS d FROM (
+PA_SQL = sql("cohort", f"""SELECT 'Stage model' AS model, 'Count model' AS reference, rnd(max(d) FILTER (resample=-1),6) AS estimate,
+  rnd(quantile_cont(d,25e-3) FILTER (resample>=0),6) AS lower, rnd(quantile_cont(d,975e-3) FILTER (resample>=0),6) AS upper, count(d) FILTER (resample>=0) AS estimable_resamples, CAST({R} AS INTEGER) AS resamples FROM (SELECT resample, max(CASE WHEN model='Stage model' THEN auc END)-max(CASE WHEN model='Count model' THEN auc END) AS d FROM (
   SELECT model, resample, CAST(sum(t*((cf-f)+f/2e0)) AS DOUBLE)/(CAST(sum(t) AS DOUBLE)*sum(f)) AS auc FROM (
    SELECT *, sum(f) OVER (PARTITION BY model, resample ORDER BY p) AS cf FROM (SELECT model, resample, p, sum(weight*y) AS t, sum(weight*(1-y)) AS f FROM scored
-    JOIN mult ON mult.cluster=scored.cluster WHERE model<>'Prevalence' GROUP BY ALL)) GROUP BY ALL) GROUP BY resample)""", WIDE + ", " + DRAWS)
+    JOIN (SELECT * FROM mult UNION ALL SELECT DISTINCT -1, cluster, 1 FROM cohort) m ON m.cluster=scored.cluster WHERE model<>'Prevalence' GROUP BY ALL)) GROUP BY ALL) GROUP BY resample)""", WIDE + ", " + DRAWS)
 
 
 def plot_balanced_gain(spark, sf):

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import logit
-from ..operators import checks, folds, inference, logistic, ranking, reconcile, resample, summaries
+from ..operators import checks, folds, inference, logistic, ranking, reconcile, resample, rescore, summaries
 from ..operators.logistic import Model
 from ..session import stored
 from ..settings import DEFAULTS
 from . import tables as t
+from .metric_plans import draws_sql
 from .tables import rnd, rounded, sql
 
 TERMS = {"z_coverage": ("coverage", "identity"), "z_interval": ("interval_years", "identity"), "z_seedling_count": ("seedling_count", "log1p"),
@@ -188,44 +189,124 @@ def policy_set():
             "Sapling presence": (F.col("sapling_tpa") > 0).cast("int"), "Count model": F.col("p_count"), "Maple-stage model": F.col("p_stage")}
 
 
-R, SEED = 8, 20260908
+R, SEED = 300, 20260908
+NAMES = {COUNT: "Count model", STAGE: "Maple-stage model"}
 
 
-def refit_bootstrap(spark, sf):
-    """Percentile intervals of all metrics with scaling and every fit repeated per resample, folds fixed."""
+def refits(spark, sf, specs=None, resamples=R):
+    """Scaling and every fit repeated in the sample (resample 0) and in each resample of whole clusters, folds fixed."""
     rows = folded(spark, sf)
-    w = resample.multiplicities(rows, "cluster", R, SEED)
-    batch, p = crossfit(rows, weights=w, resamples=R)
-    m = ranking.model_metrics(p, ["resample", "model"], w="weight")
-    long = m.unpivot(["resample", "model"], FIELDS, "metric", "value").where("value is not null")
-    return rounded(resample.percentile_interval(long, ["model", "metric"], "value", R))
+    weights = stored(rescore.draws(rows, "cluster", resamples, SEED), "draws")
+    return rows, weights, logistic.fit_batch(rows, "y", TERMS, specs or models(), "fold", (1, 2, 3, 4, 5), weights, resamples + 1)
+
+
+_RUNS: dict = {}
+
+
+def refit_run(spark, sf):
+    """(what the metrics of all resamples need, the fits that failed): one set of fits and one scan of the rows for all queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        rows, weights, batch = refits(spark, sf)
+        rescore.audit(batch, R)
+        fixed = {n: e for n, e in policy_set().items() if n not in NAMES.values()}
+        totals = rescore.resampled_totals(rows, batch, weights, R + 1, fold="fold", scores=fixed)
+        _RUNS[key] = totals, stored(batch.failures(spark), "failures")
+    return _RUNS[key]
+
+
+@t.stage("refit_draws")
+def refit_draws(spark, sf):
+    """Eight metrics of every model in the sample and in every resample."""
+    models_only = refit_run(spark, sf)[0].where(F.col("series").isin(*SPECS))
+    return rescore.metric_draws(models_only, benchmark=PREV).withColumnRenamed("series", "model")
+
+
+def refit_bootstrap(spark, sf):
+    """Estimates and percentile intervals of eight metrics with scaling and every fit repeated per resample, folds fixed."""
+    long = refit_draws(spark, sf).unpivot(["resample", "model"], list(rescore.METRICS), "metric", "value")
+    return rounded(rescore.intervals(long, ["model", "metric"], "value", R))
 
 
 def refit_paired(spark, sf):
-    rows = folded(spark, sf)
-    w = resample.multiplicities(rows, "cluster", R, SEED)
-    batch, p = crossfit(rows, weights=w, resamples=R)
-    m = ranking.model_metrics(p, ["resample", "model"], w="weight", benchmark=None)
-    d = ranking.paired_differences(m, PAIRS, FIELDS, ["resample"]).where("matched_cohort")
-    return rounded(resample.percentile_interval(d, ["model", "reference", "metric"], "difference", R), 8)
+    d = ranking.paired_differences(refit_draws(spark, sf), PAIRS, rescore.METRICS, ["resample"]).where("matched_cohort")
+    return rounded(rescore.intervals(d, ["model", "reference", "metric"], "difference", R), 8)
+
+
+def refit_audit(spark, sf):
+    """Resamples requested, succeeded and failed. A resample fails where a training set has one outcome class only."""
+    f = folded(spark, sf)
+    w = resample.multiplicities(f, "cluster", R, SEED)
+    cell = f.groupBy("cluster", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("e")).join(w, "cluster")
+    per = cell.groupBy("resample", "fold").agg(F.sum(F.col("weight") * F.col("n")).alias("n"), F.sum(F.col("weight") * F.col("e")).alias("e"))
+    every = per.groupBy("resample").agg(F.sum("n").alias("all_n"), F.sum("e").alias("all_e"), F.collect_list(F.struct("fold", "n", "e")).alias("folds"))  # five folds
+    one_class = F.exists("folds", lambda x: ~((F.col("all_e") > x["e"]) & (F.col("all_e") - x["e"] < F.col("all_n") - x["n"])))
+    told = every.agg(F.count_if(one_class).cast("int").alias("one_class_resamples"))
+    totals, failures = refit_run(spark, sf)
+    done = totals.where(F.col("resample") > 0).agg(F.countDistinct("resample").cast("int").alias("resamples_succeeded"))
+    lost = failures.agg(F.countDistinct("resample").cast("int").alias("resamples_failed"))
+    return done.crossJoin(lost).crossJoin(told).select(F.lit(R).alias("resamples_requested"), "resamples_succeeded", "resamples_failed", F.lit(SEED).alias("seed"), "one_class_resamples")
+
+
+def refit_failures(spark, sf):
+    """One row a fit that failed in a resample, with the reason; none where all succeeded."""
+    return refit_run(spark, sf)[1]
+
+
+ONE_BINARY = {"Prevalence": Model((), 0.0), "One binary": Model(("z_present",), 0.0)}
+
+
+def refit_closed_form(spark, sf):
+    """The resampled refits of one unpenalised indicator, whose fits are event fractions that plain SQL can repeat."""
+    rows = t.cohort(spark, sf).withColumn("fold", F.col("cluster") % 5 + 1).withColumn("present", (F.col("seedling_count") > 0).cast("double"))
+    terms = {"z_present": ("present", "identity")}
+    weights = stored(rescore.draws(rows, "cluster", R, SEED), "draws")
+    batch = logistic.fit_batch(rows, "y", terms, ONE_BINARY, "fold", (1, 2, 3, 4, 5), weights, R + 1)
+    rescore.audit(batch, R)
+    totals = rescore.resampled_totals(rows, batch, weights, R + 1, fold="fold")
+    long = rescore.metric_draws(totals, benchmark="Prevalence").unpivot(["resample", "series"], list(rescore.METRICS), "metric", "value")
+    return rounded(rescore.intervals(long.withColumnRenamed("series", "model"), ["model", "metric"], "value", R), 5)
+
+
+FOLDS_SQL = _greedy_sql(False)
+_HEAD = FOLDS_SQL[:FOLDS_SQL.rindex("SELECT s.cluster")]
+AUDIT_SQL = _HEAD.rstrip() + f""", {draws_sql(R, SEED)},
+cell AS (SELECT c.cluster, g.fold, count(*) AS n, sum(y) AS e FROM cohort c JOIN seq s ON s.cluster=c.cluster JOIN greedy g ON g.i=s.i GROUP BY ALL),
+per AS (SELECT resample, fold, sum(weight*n) AS n, sum(weight*e) AS e FROM cell JOIN mult ON mult.cluster=cell.cluster GROUP BY ALL),
+bad AS (SELECT resample, bool_or(total_e-e<=0 OR total_e-e>=total_n-n) AS lost FROM (SELECT *, sum(n) OVER (PARTITION BY resample) AS total_n, sum(e) OVER (PARTITION BY resample) AS total_e FROM per) GROUP BY resample)
+SELECT CAST({R} AS INTEGER) AS resamples_requested, CAST(count(*) FILTER (NOT lost) AS INTEGER) AS resamples_succeeded, CAST(count(*) FILTER (lost) AS INTEGER) AS resamples_failed,
+  CAST({SEED} AS INTEGER) AS seed, CAST(count(*) FILTER (lost) AS INTEGER) AS one_class_resamples FROM bad"""
+
+CLOSED_SQL = sql("cohort", f"""SELECT model, metric, rnd(max(v) FILTER (resample=-1),5) AS estimate, rnd(quantile_cont(v,25e-3) FILTER (resample>=0),5) AS lower, rnd(quantile_cont(v,975e-3) FILTER (resample>=0),5) AS upper,
+  count(v) FILTER (resample>=0) AS estimable_resamples, CAST({R} AS INTEGER) AS resamples FROM long GROUP BY ALL""", draws_sql(R, SEED) + """,
+cells AS (SELECT cluster, cluster%5+1 AS fold, seedling_count>0 AS g, count(*) AS n, sum(y) AS e FROM cohort GROUP BY ALL),
+wc AS (SELECT resample, fold, g, CAST(sum(weight*n) AS DOUBLE) AS w, CAST(sum(weight*e) AS DOUBLE) AS t FROM cells
+  JOIN (SELECT * FROM mult UNION ALL SELECT DISTINCT -1, cluster, 1 FROM cohort) m ON m.cluster=cells.cluster GROUP BY ALL),
+pred AS (SELECT model, a.resample, a.fold, a.g, a.w, a.t, sum(b.t)/sum(b.w) AS p FROM wc a, wc b, (VALUES ('One binary'),('Prevalence')) x(model)
+  WHERE a.resample=b.resample AND a.fold<>b.fold AND (a.g=b.g OR model='Prevalence') GROUP BY ALL),
+bins AS (SELECT model, resample, floor(log2(p))*2048+floor(CAST(p AS FLOAT)/pow(2e0,floor(log2(p)))*2048) AS s, sum(w) AS w, sum(t) AS t FROM pred GROUP BY ALL),
+ord AS (SELECT *, sum(w) OVER u-w AS bw, sum(t) OVER u-t AS bt, sum(w) OVER (PARTITION BY model, resample) AS tw, sum(t) OVER (PARTITION BY model, resample) AS tt FROM bins WINDOW u AS (PARTITION BY model, resample ORDER BY s)),
+rk AS (SELECT model, resample, sum(t*((bw-bt)+(w-t)/2))/(max(tt)*(max(tw)-max(tt))) AS auc, sum(t*(tt-bt)/(tw-bw))/max(tt) AS ap FROM ord GROUP BY ALL),
+top AS (SELECT model, resample, floor(tw*25e-2) AS k, (tt-bt-t)+(floor(tw*25e-2)-(tw-bw-w))*t/w AS hits, tt FROM ord WHERE tw-bw-w<floor(tw*25e-2) AND floor(tw*25e-2)<=tw-bw),
+loss AS (SELECT model, resample, sum(t*pow(1-p,2)+(w-t)*pow(p,2))/sum(w) AS brier, -sum(t*ln(p)+(w-t)*ln(1-p))/sum(w) AS ll FROM pred GROUP BY ALL),
+long AS (SELECT l.model, l.resample, metric, v FROM loss l JOIN rk ON rk.model=l.model AND rk.resample=l.resample JOIN top ON top.model=l.model AND top.resample=l.resample,
+  LATERAL (VALUES ('brier_score',brier),('log_loss',ll),('roc_auc',CASE WHEN l.model<>'Prevalence' THEN auc END),('average_precision',CASE WHEN l.model<>'Prevalence' THEN ap END),
+  ('top_fraction',hits/k),('top_no_event_fraction',1-hits/k),('top_capture_fraction',hits/tt),('top_events',hits)) y(metric,v))""")
 
 
 def policy_bootstrap(spark, sf):
-    rows = folded(spark, sf)
-    w = resample.multiplicities(rows, "cluster", R, SEED)
-    batch, p = crossfit(rows, weights=w, resamples=R, keep=("row_id", "unit", "y", "seedling_count", "coverage", "sapling_tpa"))
-    s = policy_rows(p, ["resample", "weight", "row_id", "unit", "y", "seedling_count", "coverage", "sapling_tpa"])
-    table = ranking.policy_table(s, policy_set(), "y", ["resample", "weight", "row_id", "unit"])
-    k = ranking.cutoffs(table, ["resample", "objective", "policy"], "target", "score", DEFAULTS.capacities, "weight")
-    e = k.select("resample", "objective", "policy", "requested_fraction", "capacity", F.col("total_t").alias("target_total"),
-                 (F.col("above_t") + F.coalesce(F.try_divide((F.col("capacity") - F.col("above_w")) * F.col("tied_t"), "tied_w"), F.lit(0.0))).alias("expected_targets"))
-    e = stored(e.withColumn("selected_target_fraction", F.try_divide("expected_targets", "capacity")), "policy-draws")
+    """Intervals of the fraction of targets a policy selects, and of its difference from a reference policy."""
+    totals = refit_run(spark, sf)[0].where(~F.col("series").isin(PREV, DESIGN))
+    named = F.col("series")
+    for model, policy in NAMES.items():
+        named = F.when(F.col("series") == model, policy).otherwise(named)
+    e = stored(rescore.policy_draws(totals.withColumn("series", named)), "policy-draws")
     d = ranking.policy_pairs(e, [("Count model", "Raw seedling count"), ("Maple-stage model", "Raw seedling count"), ("Maple-stage model", "Count model")],
-                             ["resample", "objective", "requested_fraction"])
+                             ["resample", "objective", "requested_fraction"]).where("matched_cohort")
     keys = ["objective", "policy", "reference", "requested_fraction"]
     single = e.select("resample", "objective", "policy", F.lit(None).cast("string").alias("reference"), "requested_fraction", F.col("selected_target_fraction").alias("value"))
     both = single.unionByName(d.select("resample", *keys, F.col("target_fraction_difference").alias("value")))
-    return rounded(resample.percentile_interval(both.where("value IS NOT NULL"), keys, "value", R))
+    return rounded(rescore.intervals(both.where("value IS NOT NULL"), keys, "value", R))
 
 
 def incremental_audit(spark, sf):
@@ -430,7 +511,8 @@ QUERIES = {
     "logit_intercept_only": (logit_intercept_only, INT_SQL), "logit_one_binary": (logit_one_binary, BIN_SQL), "cluster_robust_one_binary": (cluster_robust_one_binary, CRB_SQL),
     "logit_transform": (logit_transform, LT_SQL),
     "ridge_crossfit": (ridge_crossfit, None), "crossfit_diagnostics": (crossfit_diagnostics, None), "sensitivity_suite": (sensitivity_suite, None), "temporal_check": (temporal_check, None),
-    "common_horizon": (common_horizon, None), "refit_bootstrap": (refit_bootstrap, None), "refit_paired": (refit_paired, None), "policy_bootstrap": (policy_bootstrap, None),
+    "common_horizon": (common_horizon, None), "refit_bootstrap": (refit_bootstrap, None), "refit_paired": (refit_paired, None), "refit_audit": (refit_audit, AUDIT_SQL), "refit_failures": (refit_failures, None),
+    "refit_closed_form": (refit_closed_form, CLOSED_SQL), "policy_bootstrap": (policy_bootstrap, None),
     "incremental_audit": (incremental_audit, None), "glm_odds_ratios": (glm_odds_ratios, None), "nested_models": (nested_models, None), "final_fits": (final_fits, None),
     "spline_comparison": (spline_comparison, None), "candidate_forms": (candidate_forms, None), "type_sensitivity": (type_sensitivity, None),
     "influence_diagnostics": (influence_diagnostics, None), "vif": (vif, None), "term_choice": (term_choice, None), "effect_band": (effect_band, None),
