@@ -6,9 +6,9 @@ gives everything: an entry is the count of a phrase, the sum of a stripe is the
 words), and the largest count of a phrase one word longer is the maximum of the phrase's own stripe and of the entries that end
 in it. Longer containing phrases are no more frequent than those, so they decide subsumption.
 
-Three passes build the table: words, pairs of frequent words, and continuations of frequent pairs. What is frequent is told to
-the next pass by a bitmap of fixed size over phrase hashes; a false positive there costs an entry that the threshold removes, and
-no frequent phrase is lost. A prefix that has more than a 4096th of all words (so there are 4096 of them at most) has its stripe
+Four passes build the table, one for each prefix size: a pass counts the continuations of the frequent phrases that the one before
+found. What is frequent is told to the next pass by a bitmap of fixed size over phrase hashes; a false positive there costs an
+entry that the threshold removes, and no frequent phrase is lost. A prefix that has more than a 4096th of all words (so there are 4096 of them at most) has its stripe
 dealt to shards by the next word; every prefix is counted in the tasks first. Merging carries one stripe at a time.
 
 A null text counts as empty, a null language as ``und``; a null key plays no part. Repeated rows count as often as they occur.
@@ -19,6 +19,7 @@ an empty result. Only the text and language columns are read.
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .columnar import chunks, mixed, word_hashes
+from .columnar import chunks, mixed, word_bounds, word_hashes
 
 LEAST = 30  # occurrences of a candidate
 TOP = 2000
 UNKNOWN = "und"
 SHARDS = 4096
 BITS = 1 << 27  # of the bitmap of frequent phrases
-ENTRIES = 1 << 21  # counted in a task before stripes leave it
-IDS = (1 << 20) - 1  # words a task remembers
+ENTRIES = 1 << 20  # counted in a task before stripes leave it
 ID_BITS = 20
-RUN = 1 << 19  # bytes of text that are numbered together
+IDS = (1 << ID_BITS) - 1  # words a task can number; it forgets them from a quarter of that on
+RUN = 1 << 21  # bytes of text that are numbered together
 MERGED = 1 << 20  # entries that are merged together
 
 BLANK, BREAK = 0, 1
@@ -72,28 +73,42 @@ class _Bitmap:
 
 
 class _Words(dict):
-    """Numbers of a language's words in a task, and what is known of each."""
+    """Numbers of a language's words in a task, and what was counted of them."""
 
-    def __init__(self, lang: str, bitmap: _Bitmap | None, hot: dict):
-        self.lang, self.bitmap, self.hot = lang, bitmap, hot
+    def __init__(self, lang: str, hot: dict):
+        self.lang, self.hot = lang, hot
         self.update({b"": BLANK, b"\n": BREAK})
         self.hashes = np.zeros(2, np.uint64)
-        self.frequent = np.zeros(2, bool)
-        self.keys: list[list[np.ndarray]] = []
+        self.raw: list[tuple[np.ndarray, np.ndarray]] = []  # prefixes and next words, not counted yet
+        self.counted: list[tuple[np.ndarray, np.ndarray]] = []  # keys of both, and counts
+        self.seen = np.zeros(2, np.int64)  # of each word, where words are counted
 
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
 
     def numbers(self, data: bytes) -> np.ndarray:
-        parts = data.replace(b"\n", b" \n ").split(b" ")
-        out = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        """The words of a run, with a break between pieces and at the end."""
+        buf = np.frombuffer(data, np.uint8)
+        starts, ends, _ = word_bounds(buf, np.array([0, len(buf)]))
+        if not len(starts):
+            return np.array([BREAK])
+        line = np.cumsum(buf == 10)[starts]
+        breaks = np.cumsum(np.r_[False, line[1:] != line[:-1]])
+        offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+        letters = buf[(buf != 32) & (buf != 10)]
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        _, at, held = coded.dictionary.buffers()
+        held = held.to_pybytes()
+        at = np.frombuffer(at, np.int32)[:len(coded.dictionary) + 1].tolist()
+        number = np.fromiter(map(self.__getitem__, [held[a:b] for a, b in zip(at, at[1:])]), np.int64, len(at) - 1)
+        out = np.full(len(starts) + breaks[-1] + 1, BREAK)
+        out[np.arange(len(starts)) + breaks] = number[np.asarray(coded.indices)]
         known = len(self.hashes)
         if len(self) > known:
-            new = list(self)[known:]
+            new = list(islice(reversed(self), len(self) - known))[::-1]
             self.hashes = np.concatenate([self.hashes, _in_language(_spans(new), self.lang)])
-            self.frequent = np.concatenate([self.frequent, self.bitmap.holds(self.hashes[known:]) if self.bitmap else np.ones(len(new), bool)])
-        return np.append(out[out != BLANK], BREAK)
+        return out
 
     def strings(self) -> pa.Array:
         words = list(self)
@@ -101,38 +116,63 @@ class _Words(dict):
         return pa.array(words, pa.binary()).cast(pa.string())
 
 
-def _entries(words: _Words, size: int, ids: np.ndarray, ahead: int, pairs: _Bitmap | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(prefix, next) numbers by prefix size for one run of words; next is BLANK where the stripe has no use for it. The last
-    ``ahead`` words belong to the next run."""
+def _entries(words: _Words, size: int, ids: np.ndarray, ahead: int, frequent: _Bitmap) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix and next numbers for one run of words; next is BLANK where the stripe has no use for it. The last ``ahead`` words
+    belong to the next run."""
     end = len(ids) - 1 - ahead
-    if size == 0:
-        mine = ids[:end]
-        mine = mine[mine != BREAK]
-        return {0: (np.zeros(len(mine), np.int64), mine)}
-    if size == 1:
-        good = words.frequent[ids]
-        at = np.flatnonzero(good[:end])
-        return {1: (ids[at], np.where(good[at + 1], ids[at + 1], BLANK))}
-    h = words.hashes[ids]
-    where = np.flatnonzero((ids[:-1] != BREAK) & (ids[1:] != BREAK))
-    good = np.zeros(len(ids) + 2, bool)
-    good[where[pairs.holds(_paired(h[where], h[where + 1]))]] = True
-    ids = np.append(ids, [BREAK, BREAK])
+    n = len(ids) - size + 1
+    h, whole, prefix = words.hashes[ids[:n]], ids[:n] != BREAK, ids[:n]
+    for i in range(1, size):
+        h, whole, prefix = _paired(h, words.hashes[ids[i:n + i]]), whole & (ids[i:n + i] != BREAK), (prefix << ID_BITS) | ids[i:n + i]
+    good = np.zeros(len(ids) + 1, bool)
+    where = np.flatnonzero(whole)
+    good[where[frequent.holds(h[where])]] = True
     at = np.flatnonzero(good[:end])
-    two = (ids[at] << ID_BITS) | ids[at + 1]
-    out = {2: (two, np.where(good[at + 1], ids[at + 2], BLANK))}
-    longer = good[at + 1]
-    at, two = at[longer], two[longer]
-    return out | {3: ((two << ID_BITS) | ids[at + 2], np.where(good[at + 2], ids[at + 3], BLANK))}
+    return prefix[at], np.where(good[at + 1], ids[np.minimum(at + size, len(ids) - 1)], BLANK)
+
+
+def _count(words: _Words, size: int) -> int:
+    """Counts what was gathered; returns the number of entries held."""
+    if words.raw:
+        prefix, following = (np.concatenate(x) for x in zip(*words.raw))
+        words.raw = []
+        if size < 3:  # prefix and next word are one number
+            words.counted.append(np.unique((prefix << ID_BITS) | following, return_counts=True))
+        else:
+            words.counted.append((np.stack([prefix, following]), np.ones(len(prefix), np.int64)))
+    return sum(len(c) for _, c in words.counted)
 
 
-def _stripes(words: _Words, size: int, prefix: np.ndarray, following: np.ndarray) -> pa.RecordBatch | None:
+def _counts(words: _Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes a task has seen, and for each entry the prefix's place, the next word and the count."""
+    if size == 0:
+        following = np.flatnonzero(words.seen)
+        counts, words.seen = words.seen[following], np.zeros(2, np.int64)
+        return np.zeros(min(len(following), 1), np.int64), np.zeros(len(following), np.int64), following, counts
+    if not _count(words, size):
+        words.counted = []
+        return (np.zeros(0, np.int64),) * 4
+    keys, counts = (np.concatenate(x, axis=-1) for x in zip(*words.counted))
+    words.counted = []
+    if size == 3:
+        kinds, prefix = np.unique(keys[0], return_inverse=True)
+        keys = (prefix.astype(np.int64) << ID_BITS) | keys[1]
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    keys, counts = keys[at], np.add.reduceat(counts[order], at)
+    first = keys >> ID_BITS
+    if size == 3:
+        return kinds, first, keys & IDS, counts
+    change = np.r_[True, first[1:] != first[:-1]]
+    return first[change], np.cumsum(change) - 1, keys & IDS, counts
+
+
+def _stripes(words: _Words, size: int) -> pa.RecordBatch | None:
     """One row for each prefix (and shard): its next words and how often each came."""
+    kinds, prefix, following, counts = _counts(words, size)
     if not len(prefix):
         return None
-    kinds, prefix = np.unique(prefix, return_inverse=True)
-    keys, counts = np.unique((prefix.astype(np.int64) << ID_BITS) | following, return_counts=True)
-    prefix, following = keys >> ID_BITS, keys & IDS
     strings = words.strings()
     parts = [strings.take(pa.array((kinds >> (ID_BITS * i)) & IDS)) for i in reversed(range(size))]
     named = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0] if size else pa.array([""])
@@ -140,8 +180,7 @@ def _stripes(words: _Words, size: int, prefix: np.ndarray, following: np.ndarray
     if size == 0:
         wide[:] = SHARDS
     elif words.hot:
-        lead = named if size < 3 else pc.binary_join_element_wise(*parts[:2], " ")
-        wide = np.fromiter((words.hot.get((words.lang, x), 1) for x in lead.to_pylist()), np.int64, len(kinds))
+        wide = np.fromiter((words.hot.get((words.lang, x), 1) for x in named.to_pylist()), np.int64, len(kinds))
     shard = (words.hashes[following] % wide[prefix].astype(np.uint64)).astype(np.int64)
     if wide.max() > 1:
         order = np.argsort(prefix * SHARDS + shard, kind="stable")
@@ -155,49 +194,50 @@ def _stripes(words: _Words, size: int, prefix: np.ndarray, following: np.ndarray
         ["lang", "prefix", "size", "shard", "nexts", "counts"])
 
 
-def _counted(docs: DataFrame, size: int, words_map=None, pairs_map=None, hot=None) -> DataFrame:
-    """Stripes of all tasks, not merged. ``size`` 0: words, 1: pairs, 2: prefixes of two and three words."""
+def _counted(docs: DataFrame, size: int, frequent=None, hot=None) -> DataFrame:
+    """Stripes of all tasks, not merged, for prefixes of one size: of phrases that the bitmap holds, or of the empty phrase."""
     most, ids_max, run_bytes = ENTRIES, IDS, RUN
 
     def run(batches):
-        bitmap, pairs = (_Bitmap(b.value) if b else None for b in (words_map, pairs_map))
+        bitmap = _Bitmap(frequent.value) if frequent else None
         known = hot.value if hot else {}
         state: dict[str, _Words] = {}
-        held = 0
+        raw = 0
 
         def flush():
             for words in state.values():
-                for k in sorted({k for part in words.keys for k in part}):
-                    prefix, following = (np.concatenate([part[k][i] for part in words.keys if k in part]) for i in (0, 1))
-                    batch = _stripes(words, k, prefix, following)
-                    if batch is not None:
-                        for s in range(0, batch.num_rows, 4096):
-                            yield batch.slice(s, 4096)
-                words.keys = []
+                batch = _stripes(words, size)
+                for s in range(0, batch.num_rows if batch else 0, 4096):
+                    yield batch.slice(s, 4096)
 
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 4 * run_bytes):
                 by_lang: dict[str, list[bytes]] = {}
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                     if text:
                         by_lang.setdefault(lang, []).append(text.encode())
-                if sum(map(len, state.values())) > ids_max // 2 or held > most:
-                    yield from flush()
-                    held = 0
-                    if sum(map(len, state.values())) > ids_max // 2:
-                        state = {}
                 for lang, texts in by_lang.items():
-                    if lang not in state:
-                        state[lang] = _Words(lang, bitmap, known)
-                    words = state[lang]
                     for data, ahead in _runs(texts, run_bytes):
-                        if len(words) + data.count(b" ") + data.count(b"\n") > ids_max - 8:
+                        room = data.count(b" ") + data.count(b"\n") + 8
+                        if sum(map(len, state.values())) > ids_max // 4 or (lang in state and len(state[lang]) + room > ids_max):
                             yield from flush()
-                            held = 0
-                            words = state[lang] = _Words(lang, bitmap, known)
-                        got = _entries(words, size, words.numbers(data), ahead, pairs)
-                        words.keys.append(got)
-                        held += sum(len(x[0]) for x in got.values())
+                            state, raw = {}, 0
+                        if lang not in state:
+                            state[lang] = _Words(lang, known)
+                        words = state[lang]
+                        ids = words.numbers(data)
+                        if size == 0:
+                            more = np.bincount(ids[:len(ids) - 1 - ahead], minlength=len(words))
+                            more[BREAK] = 0
+                            more[:len(words.seen)] += words.seen
+                            words.seen = more
+                        elif len(ids) > size:
+                            words.raw.append(_entries(words, size, ids, ahead, bitmap))
+                            raw += len(words.raw[-1][0])
+                            if raw > most:
+                                raw = 0
+                                if sum(_count(w, size) for w in state.values()) > 3 * most:
+                                    yield from flush()
         yield from flush()
 
     return docs.mapInArrow(run, _STRIPE)
@@ -310,16 +350,18 @@ def _merged(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the hashes of all (lang, phrase), of one or two words. The driver gets bits / 8 bytes at most."""
+    """Bits of the hashes of all (lang, phrase) of one size. The driver gets bits / 8 bytes at most."""
     def run(batches):
         for batch in batches:
             langs, phrases = batch.column("lang").to_pylist(), [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
             at = np.zeros(len(phrases), np.uint64)
             for lang in set(langs):
                 mine = [i for i, x in enumerate(langs) if x == lang]
-                sides = [_in_language(_spans([phrases[i][side] for i in mine]), lang) for side in (0, -1)]
-                single = np.fromiter((len(phrases[i]) == 1 for i in mine), bool, len(mine))
-                at[mine] = np.where(single, sides[0], _paired(*sides))
+                words = [_in_language(_spans([phrases[i][k] for i in mine]), lang) for k in range(len(phrases[mine[0]]))]
+                h = words[0]
+                for w in words[1:]:
+                    h = _paired(h, w)
+                at[mine] = h
             yield pa.RecordBatch.from_arrays([pa.array((at & np.uint64(bits - 1)).astype(np.int64))], ["at"])
 
     set_ = phrases.mapInArrow(run, "at long").groupBy(F.expr("bitmap_bucket_number(at + 1)").alias("bucket")).agg(
@@ -345,13 +387,16 @@ def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         found = phrases.where(F.col("a") * F.lit(SHARDS).cast("decimal(10,0)") > F.lit(total)).collect()
         return sc.broadcast({(r.lang, r.phrase): min(SHARDS, -(-r.a * SHARDS // total)) for r in found})
 
-    single = phrases_of(words)
-    words_map, hot = sc.broadcast(_bitmap(single, bits)), hot_of(single)
-    pairs = stored(_merged(_counted(rows, 1, words_map, None, hot), least), "stripes")
-    double = phrases_of(pairs)
-    pairs_map, hot = sc.broadcast(_bitmap(double, bits)), hot_of(double)
-    longer = stored(_merged(_counted(rows, 2, None, pairs_map, hot), least), "stripes")
-    return words.unionAll(pairs).unionAll(longer)
+    tables = [words]
+    for size in (1, 2, 3):
+        found = phrases_of(tables[-1])
+        frequent, hot = sc.broadcast(_bitmap(found, bits)), hot_of(found)
+        tables.append(stored(_merged(_counted(rows, size, frequent, hot), least), "stripes"))
+        frequent.unpersist()
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionAll(t)
+    return out
 
 
 def phrases_of(table: DataFrame) -> DataFrame:
