@@ -11,7 +11,9 @@ plan see the same slices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -26,16 +28,20 @@ ROWS_PER_SLICE = 100_000
 _ORDERED = (T.NumericType, T.DateType, T.TimestampType)
 
 
+def _quantiles(df: DataFrame, column: str) -> list:
+    """Approximate quantiles of a column, as many as its row count calls for, with repeats."""
+    v = F.col(column).cast("timestamp").cast("double") if column_is_time(df, column) else F.col(column).cast("double")
+    n = df.agg(F.count(column).alias("n")).first()["n"]
+    slices = min(MAX_SLICES, -(-n // ROWS_PER_SLICE))
+    if slices < 2:
+        return []
+    return sorted(df.agg(F.percentile_approx(v, [i / slices for i in range(1, slices)], max(10_000, 10 * slices)).alias("q")).first()["q"])
+
+
 def slice_bounds(df: DataFrame, column: str) -> list:
     """Ascending cut points of a column, as many as its row count calls for."""
     if isinstance(df.schema[column].dataType, _ORDERED):
-        v = F.col(column).cast("timestamp").cast("double") if column_is_time(df, column) else F.col(column).cast("double")
-        n = df.agg(F.count(column).alias("n")).first()["n"]
-        slices = min(MAX_SLICES, -(-n // ROWS_PER_SLICE))
-        if slices < 2:
-            return []
-        row = df.agg(F.percentile_approx(v, [i / slices for i in range(1, slices)], max(10_000, 10 * slices)).alias("q")).first()
-        return sorted(set(row["q"]))
+        return sorted(x for x in set(_quantiles(df, column)) if math.isfinite(x))
     # Text keys: the values with the smallest hashes are a uniform sample of the distinct ones.
     keys = df.select(column).where(F.col(column).isNotNull()).distinct()
     sample = keys.orderBy(F.xxhash64(column), column).limit(MAX_TEXT_SLICES * 16).collect()
@@ -122,34 +128,88 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n in probs])
 
 
+def _sliced_rows(df: DataFrame, value: str) -> tuple[DataFrame, list[int]]:
+    """Rows with the slice of their value, and the slices that hold one value alone.
+
+    A value that fills more than a slice is a repeated quantile, so there are fewer such values than slices; each gets a slice of
+    its own, in which no order is needed.
+    """
+    if not isinstance(df.schema[value].dataType, _ORDERED):
+        return with_slice(df, value, slice_bounds(df, value)), []
+    q = _quantiles(df, value)
+    q = [x for x in q if math.isfinite(x)]
+    hot = {x for x, y in zip(q, q[1:]) if x == y and abs(x) < 2**53}
+    bounds = sorted(set(q) | {math.nextafter(x, math.inf) for x in hot})
+    return with_slice(df, value, bounds), [bounds.index(x) + 1 for x in sorted(hot)]
+
+
+def _slice_offsets(sliced: DataFrame, groups: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """(groups, cells, __n, __before, __total): rows of each cell, of the cells before it, and of its group.
+
+    Without groups the cells are read once, a bounded number of counts; with groups each group sums its own.
+    """
+    per = sliced.groupBy(*groups, *cells).agg(F.count(F.lit(1)).alias("__n"))
+    if groups:
+        whole = Window.partitionBy(*groups)
+        earlier = whole.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+        return per.select(*groups, *cells, "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__total"))
+    rows = sorted(tuple(r) for r in per.collect())
+    total, before, out = sum(r[-1] for r in rows), 0, []
+    for r in rows:
+        out.append((*r, before, total))
+        before += r[-1]
+    return F.broadcast(sliced.sparkSession.createDataFrame(out, ", ".join(f"{c} int" for c in cells) + ", __n long, __before long, __total long"))
+
+
+def with_rank_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Add ``_before`` (rows of the group with a smaller value), ``_ties`` and ``_total``; NULL for missing values.
+
+    The rank is carried by the row: rows are ordered inside (group, slice) and take the slice's offset, so no join meets the value
+    itself. Rows of a value that fills slices are not ordered at all, and missing values are not exchanged.
+    """
+    groups = list(groups)
+    s, alone = _sliced_rows(df.where(F.col(value).isNotNull()), value)
+    offsets = _slice_offsets(s, groups, ["_slice"])
+    names = [*groups, "_slice"]
+    hot = F.col("_slice").isin(alone) if alone else F.lit(False)
+    inside = Window.partitionBy(*names)
+    # rows missing a group have no rank, as NULL is no group
+    cold = s.where(~hot).select("*", (F.rank().over(inside.orderBy(value)) - 1).alias("__r"), F.count(F.lit(1)).over(Window.partitionBy(*names, value)).alias("__t"))
+    out = [cold.join(offsets, names, "left").select(*df.columns, (F.col("__before") + F.col("__r")).alias("_before"), F.when(F.col("__before").isNotNull(), F.col("__t")).alias("_ties"), F.col("__total").alias("_total"))]
+    if alone:
+        out.append(s.where(hot).join(offsets, names, "left").select(*df.columns, F.col("__before").alias("_before"), F.col("__n").alias("_ties"), F.col("__total").alias("_total")))
+    none = F.lit(None).cast("long")
+    out.append(df.where(F.col(value).isNull()).select(*df.columns, none.alias("_before"), none.alias("_ties"), none.alias("_total")))
+    return reduce(DataFrame.unionAll, out)
+
+
 def with_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Percent rank among present values; NULL for missing values or fewer than two of them."""
-    ranks = ranked_values(df, [], value).select(
-        F.col(value).alias("_v"),
-        F.when(F.col("total_n") > 1, F.col("before_n") / (F.col("total_n") - 1)).alias(out))
-    return df.join(ranks, df[value] == F.col("_v"), "left").drop("_v")
+    r = with_rank_counts(df, [], value)
+    return r.select(*df.columns, F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - 1)).alias(out))
 
 
 def with_average_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
     """Rank with ties sharing their mean position."""
-    ranks = ranked_values(df, groups, value).select(
-        *groups, value, (F.col("before_n") + (F.col("n") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*groups, value], "left")
+    return with_rank_counts(df, groups, value).select(*df.columns, (F.col("_before") + (F.col("_ties") + 1) / 2.0).alias(out))
 
 
 def with_position(df: DataFrame, groups: Sequence[str], value: str, key: str, out: str,
                   total: str | None = None) -> DataFrame:
-    """1-based position by (value, key) within each group, key unique inside a tie.
+    """1-based position by (value, key) within each group, key unique inside a tie; rows without a value have none and go.
 
-    Ties are ordered by key inside key slices, so a tie that holds a third of the rows spreads out too.
+    Rows are numbered inside (group, slice of the value) and take the slice's offset. A value that fills slices is cut by key, so a
+    tie that holds a third of the rows spreads out too; no join meets the value itself.
     """
     groups = list(groups)
-    ties = ranked_values(df, groups, value).select(*groups, value, "before_n", "total_n")
-    rows = df.withColumn("_one", F.lit(1))
-    inside = running_totals(rows, [*groups, value], key, ["_one"])
-    placed = inside.join(ties, [*groups, value])
-    return placed.select(*df.columns, (F.col("before_n") + F.col("before__one") + 1).alias(out),
-                         *([F.col("total_n").alias(total)] if total else []))
+    s, alone = _sliced_rows(df.where(F.col(value).isNotNull()), value)
+    hot = F.col("_slice").isin(alone) if alone else F.lit(False)
+    s = with_slice(s, key, slice_bounds(s.where(hot), key) if alone else [], "_part")
+    s = s.withColumn("_part", F.when(hot, F.col("_part")).otherwise(0))
+    cells = ["_slice", "_part"]
+    placed = s.withColumn("__r", F.row_number().over(Window.partitionBy(*groups, *cells).orderBy(value, key)))
+    placed = placed.join(_slice_offsets(s, groups, cells), [*groups, *cells])
+    return placed.select(*df.columns, (F.col("__before") + F.col("__r")).alias(out), *([F.col("__total").alias(total)] if total else []))
 
 
 def tile(position: Column, total: Column, tiles: int) -> Column:

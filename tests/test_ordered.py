@@ -66,3 +66,28 @@ def test_previous_row_crosses_slices(spark, sliced):
         ids = [i for _, i in sorted((d, i) for kk, d, i in rows if kk == k)]
         want |= dict(zip(ids, [None, *ids[:-1]]))
     assert got == want
+
+
+def test_ranks_are_carried_by_the_rows(spark, sliced):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["g", "h", None]), None if i % 11 == 0 else 0.0 if i % 3 else rnd.choice([-1.5, 2.0, float("inf"), float("nan"), rnd.random()])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, v double").repartition(4).withColumn("_n", F.lit(1))
+    got = ordered.with_rank_counts(df, ["g"], "v").collect()
+    assert len(got) == 400 and got[0].asDict().keys() >= {"id", "g", "v", "_n", "_before", "_ties", "_total"}
+    order = lambda v: (1, 0.0) if v != v else (0, v)
+    by = {r.id: r for r in got}
+    for i, g, v in rows:
+        peers = [order(w) for _, k, w in rows if k == g and w is not None]
+        want = (None, None, None) if g is None or v is None else (sum(p < order(v) for p in peers), sum(p == order(v) for p in peers), len(peers))
+        assert (by[i]._before, by[i]._ties, by[i]._total) == want
+    wide = spark.createDataFrame([(i, (1 << 60) + i % 3) for i in range(60)], "id int, v long")  # beyond what a double tells apart
+    assert {(r.v, r._before, r._ties) for r in ordered.with_rank_counts(wide, [], "v").collect()} == {((1 << 60) + k, 20 * k, 20) for k in range(3)}
+
+
+def test_plans_of_ranks(spark, sliced):
+    """No value is joined, nothing is gathered in one partition, no product is formed."""
+    df = spark.createDataFrame([(i, 0.0 if i % 3 else i / 7) for i in range(300)], "id int, v double").repartition(4)
+    for out in (ordered.with_percent_rank(df, "v", "p"), ordered.with_average_rank(df, [], "v", "p"), ordered.with_position(df, [], "v", "id", "p")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
+        assert not any("v#" in part.split("],")[0] for part in plan.split("HashJoin [")[1:])
