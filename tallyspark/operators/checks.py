@@ -124,30 +124,62 @@ def flow(df: DataFrame, steps: Sequence[tuple[str, Column]], units: Mapping[str,
          totals: Mapping[str, Column] | None = None) -> DataFrame:
     """Rows, distinct units and sums at each screen of a cohort.
 
-    For every unit one shuffle reduces rows to units with a flag per step; counting is then local.
-    Screens count a row only when their predicate is known to hold.
+    Rows are reduced to the keys of all units, with a flag per step, in one shuffle. Screens count a row only when their predicate
+    is known to hold.
     """
     flags = [surely(p).alias(f"_f{i}") for i, (_, p) in enumerate(steps)]
-    marked = df.select("*", *flags)
     n = len(steps)
 
-    def long(wide: DataFrame, prefix: str, name: str) -> DataFrame:
+    def long(wide: DataFrame, prefix: str, name: Column) -> DataFrame:
         return wide.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("step_no"), F.lit(name).alias("what"),
+            F.struct(F.lit(i).alias("step_no"), name.alias("what"),
                      F.col(f"{prefix}{i}").cast("double").alias("v")) for i in range(n)])))
 
     sums = {"n_rows": F.lit(1), **(totals or {})}
+    marked = df.select("*", *flags)
     direct = marked.agg(*[F.coalesce(F.sum(F.when(F.col(f"_f{i}"), x)), F.lit(0)).alias(f"t{j}_{i}")
                           for j, x in enumerate(sums.values()) for i in range(n)])
-    parts = [long(direct, f"t{j}_", name) for j, name in enumerate(sums)]
-    for name, key in units.items():
-        per_unit = marked.groupBy(*key).agg(*[F.max(f"_f{i}").alias(f"_f{i}") for i in range(n)])
-        parts.append(long(per_unit.agg(*[F.count_if(F.col(f"_f{i}")).alias(f"u{i}") for i in range(n)]), "u", name))
+    parts = [long(direct, f"t{j}_", F.lit(name)) for j, name in enumerate(sums)]
+    if units:
+        per_unit = unit_rows(marked, units, [f"_f{i}" for i in range(n)]).groupBy("what", "key").agg(*[F.max(f"_f{i}").alias(f"_f{i}") for i in range(n)])
+        parts.append(long(per_unit.groupBy("what").agg(*[F.count_if(F.col(f"_f{i}")).alias(f"u{i}") for i in range(n)]), "u", F.col("what")))
     names = [*sums, *units]
     table = reduce(DataFrame.unionByName, parts)
     wide = table.groupBy("step_no").agg(*[F.max(F.when(F.col("what") == x, F.col("v"))).alias(x) for x in names])
     label = F.element_at(F.array(*[F.lit(s) for s, _ in steps]), F.col("step_no") + 1)
-    return wide.select("step_no", label.alias("step"), *[F.col(x).cast("long").alias(x) for x in names])
+    return wide.select("step_no", label.alias("step"), *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in names])
+
+
+def unit_rows(df: DataFrame, units: Mapping[str, Sequence[str]], carry: Sequence[str]) -> DataFrame:
+    """(what, key, carry…): each row once for every kind of unit it belongs to, its key as one string."""
+    keys = [F.struct(F.lit(name).alias("what"), F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)]),
+                                                          {"ignoreNullFields": "false"}).alias("key")) for name, key in units.items()]
+    return df.select(F.explode(F.array(*keys)).alias("u"), *carry).select("u.what", "u.key", *carry)
+
+
+def nested_flow(df: DataFrame, screens: Sequence[tuple[str, Column]], units: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Rows and distinct units that are left after each of a sequence of screens, and the rows each screen takes away.
+
+    A row carries the index of its first failing screen and a unit the largest of its rows', so all screens of all units are
+    counted from one shuffle. A screen that is not known to hold fails.
+    """
+    n = len(screens)
+    first = F.coalesce(*[F.when(~surely(p), F.lit(i)) for i, (_, p) in enumerate(screens)], F.lit(n))
+    marked = df.select("*", first.alias("_first"))
+    rows = marked.groupBy("_first").agg(F.count(F.lit(1)).alias("v")).select(F.lit("n_rows").alias("what"), F.col("_first").alias("last"), "v")
+    if units:
+        per_unit = unit_rows(marked, units, ["_first"]).groupBy("what", "key").agg(F.max("_first").alias("last"))
+        rows = rows.unionAll(per_unit.groupBy("what", "last").agg(F.count(F.lit(1)).alias("v")))
+    # at most kinds x screens rows from here on
+    steps = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("step_no")
+    left = rows.select("what", "last", "v", steps)
+    wide = left.groupBy("step_no").agg(*[F.sum(F.when(F.col("what") == x, F.col("v"))).alias(x) for x in ("n_rows", *units)],
+                                       F.sum(F.when((F.col("what") == "n_rows") & (F.col("last") == F.col("step_no")), F.col("v"))).alias("gone"))
+    spark = df.sparkSession
+    names = spark.createDataFrame([(i, "Start" if i == 0 else screens[i - 1][0]) for i in range(n + 1)], "step_no int, step string")
+    out = names.join(wide, "step_no", "left")
+    taken = F.when(F.col("step_no") < n, F.coalesce("gone", F.lit(0))).otherwise(F.lit(0))
+    return out.select("step_no", "step", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("n_rows", *units)], taken.cast("long").alias("fail_next"))
 
 
 def concordance(df: DataFrame, computed: str, recorded: str) -> DataFrame:

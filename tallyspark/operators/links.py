@@ -171,11 +171,6 @@ def latest_per(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(key, "s.*")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Stable row identity from the key columns alone, independent of partitioning."""
-    return df.withColumn(out, F.xxhash64(*keys))
-
-
 def role_lookup(pairs: DataFrame, lookup: DataFrame, key: str, value: str, domain: Sequence,
                 roles: Mapping[str, str]) -> DataFrame:
     """Look a value up for both visits; keys must be unique and present, codes inside the domain."""

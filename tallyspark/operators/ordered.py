@@ -212,6 +212,24 @@ def with_position(df: DataFrame, groups: Sequence[str], value: str, key: str, ou
     return placed.select(*df.columns, (F.col("__before") + F.col("__r")).alias(out), *([F.col("__total").alias(total)] if total else []))
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Rows numbered from 1 without gaps in the order of the given columns, missing values first.
+
+    Two passes: rows are counted by slice of the first column, and numbered inside their slice from its offset. A first value that
+    fills slices, or is missing, is cut by the second column. Repeatable on any partitioning; equal rows may swap their numbers.
+    """
+    s, alone = _sliced_rows(df, order[0])
+    s = s.withColumn("_slice", F.when(F.col(order[0]).isNull(), -1).otherwise(F.col("_slice")))
+    hot = F.col("_slice").isin([-1, *alone])
+    rest = list(order[1:]) or [order[0]]
+    s = with_slice(s, rest[0], slice_bounds(s.where(hot), rest[0]), "_part")
+    s = s.withColumn("_part", F.when(hot, F.col("_part")).otherwise(0))
+    cells = ["_slice", "_part"]
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    placed = s.withColumn("__r", F.row_number().over(Window.partitionBy(*cells).orderBy(*order, tie)))
+    return placed.join(_slice_offsets(s, [], cells), cells).select(*df.columns, (F.col("__before") + F.col("__r")).alias(out))
+
+
 def tile(position: Column, total: Column, tiles: int) -> Column:
     """Equal-count bucket of a 1-based position, the first buckets taking the remainder."""
     base = F.floor(total / tiles)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bin_midpoint, count_when, recoded, surely, wilson
-from .ordered import exact_quantiles
+from .ordered import exact_quantiles, numbered
 
 
 def zero_bins(df: DataFrame, share: str, density: str, flag: str) -> DataFrame:
@@ -154,25 +154,35 @@ def range_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+def code_changes(df: DataFrame, period: str, code: str) -> DataFrame:
+    """(previous_period, current_period, code, change): one row for every code that appears or vanishes between two consecutive
+    periods.
+
+    Presence of a code is a set of runs over the numbered periods; a run starts where the period before lacks the code and ends
+    where the next one does. The work of a code grows with its own periods, and no list of codes is built.
+    """
+    seen = df.select(F.col(period).alias("period"), F.col(code).alias("code")).where("period IS NOT NULL").distinct()
+    periods = numbered(seen.select("period").distinct(), ["period"], "no")
+    ends = periods.agg(F.max("no").alias("last"))
+    w = Window.partitionBy("code").orderBy("no")
+    runs = seen.join(periods, "period").crossJoin(F.broadcast(ends)).select("code", "no", "last", F.lag("no").over(w).alias("before"), F.lead("no").over(w).alias("after"))
+    starts = (F.col("no") > 1) & (F.col("before").isNull() | (F.col("before") < F.col("no") - 1))
+    stops = (F.col("no") < F.col("last")) & (F.col("after").isNull() | (F.col("after") > F.col("no") + 1))
+    change = F.filter(F.array(F.when(starts, F.struct(F.col("no").alias("current"), F.lit("added").alias("change"))),
+                              F.when(stops, F.struct((F.col("no") + 1).alias("current"), F.lit("removed").alias("change")))), lambda x: x.isNotNull())
+    each = runs.select("code", F.inline(change))
+    p, c = (periods.select(F.col("no").alias(f"{x}_no"), F.col("period").alias(f"{x}_period")) for x in ("previous", "current"))
+    return each.join(c, each.current == c.current_no).join(p, each.current - 1 == p.previous_no).select("previous_period", "current_period", "code", "change")
+
+
 def code_set_changes(df: DataFrame, period: str, code: str) -> DataFrame:
-    """Codes that appear or vanish between consecutive periods."""
-    seen = df.select(period, code).distinct()
-    periods = seen.select(period).distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy(period)  # one row per period
-    step = periods.select(F.lag(period).over(w).alias("previous_period"), F.col(period).alias("current_period")).where(
-        F.col("previous_period").isNotNull())
-    prev = seen.select(F.col(period).alias("previous_period"), F.col(code).alias("code"))
-    cur = seen.select(F.col(period).alias("current_period"), F.col(code).alias("code"))
-    a = step.join(prev, "previous_period").withColumn("p", F.lit(1))
-    b = step.join(cur, "current_period").withColumn("q", F.lit(1))
-    both = a.join(b, ["previous_period", "current_period", "code"], "full").where(F.col("p").isNull() | F.col("q").isNull())
-    g = both.groupBy("previous_period", "current_period").agg(
-        F.array_sort(F.collect_list(F.when(F.col("p").isNull(), F.col("code")))).alias("added"),
-        F.array_sort(F.collect_list(F.when(F.col("q").isNull(), F.col("code")))).alias("removed"))
+    """The changes of each pair of consecutive periods written as two lists, for a report; ``code_changes`` has them as rows."""
+    periods = numbered(df.select(F.col(period).alias("period")).where("period IS NOT NULL").distinct(), ["period"], "no")
+    step = periods.join(periods.select((F.col("no") + 1).alias("no"), F.col("period").alias("previous_period")), "no").select("previous_period", F.col("period").alias("current_period"))
+    g = code_changes(df, period, code).groupBy("previous_period", "current_period").agg(
+        *[F.array_join(F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("code")))), ";").alias(f"{kind}_codes") for kind in ("added", "removed")])
     out = step.join(g, ["previous_period", "current_period"], "left")
-    return out.select("previous_period", "current_period",
-                      F.coalesce(F.concat_ws(";", "added"), F.lit("")).alias("added_codes"),
-                      F.coalesce(F.concat_ws(";", "removed"), F.lit("")).alias("removed_codes"))
+    return out.select("previous_period", "current_period", *[F.coalesce(f"{kind}_codes", F.lit("")).alias(f"{kind}_codes") for kind in ("added", "removed")])
 
 
 def total_residuals(df: DataFrame, groups: Sequence[str], total: Column, parts: Sequence[Column],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("condition_plans", "link_plans", "metric_plans", "model_plans", "audit_plans")
+MODULES = ("condition_plans", "link_plans", "metric_plans", "model_plans", "audit_plans", "gate_plans")
 
 
 def _all() -> dict:
