@@ -85,3 +85,33 @@ def wilson_minimal_units(p: Col, half_width: Col, confidence: float = 0.95) -> C
 def all_found_lower_bound(n: Col, alpha: float = 0.05) -> Column:
     """Exact lower limit of a proportion when all n of n were found."""
     return F.when(c(n) > 0, F.pow(F.lit(alpha / 2), F.lit(1.0) / c(n)))
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(tiny, 1 - (a + b) * x / (a + 1), key=abs)
+    out = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / max(tiny, 1 + step * d, key=abs)
+            c = max(tiny, 1 + step / c, key=abs)
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def f_quantile(p: float, d1: float, d2: float) -> float:
+    """Quantile of the F distribution by bisection of the incomplete beta function."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if incomplete_beta(d1 / 2, d2 / 2, mid) < p else (low, mid)
+    x = (low + high) / 2
+    return d2 * x / (d1 * (1 - x))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.plan_size import chi_square_upper, normal_quantile, normal_two_sided_p
+from ..functions.plan_size import chi_square_upper, f_quantile, normal_quantile, normal_two_sided_p
 from ..functions.scalar import is_finite, logistic, transformed
 from ..session import keep, settle, stored
 from ..settings import DEFAULTS, Settings
@@ -103,6 +103,94 @@ def influence(rows: DataFrame, y: str, fit: Fit, terms: Mapping[str, tuple[str,
     return d.withColumn("influential", flag)
 
 
+DELETION_FLAGS = ("leverage_flag", "dffits_flag", "cook_flag", "covratio_flag", "dfbeta_flag")
+
+
+def deletion(rows: DataFrame, y: str, fit: Fit, terms: Mapping[str, tuple[str, str]], keep_columns: Sequence[str]) -> DataFrame:
+    """What one step of deleting each row changes: dfbetas per term, dffits, the covariance ratio and Cook's distance, with the
+    conventional cuts (fixed values) as flags.
+
+    The coefficients' change is the row's share of the information times its residual, and the determinant of the information
+    without a row is 1 - leverage of the whole, so every measure is an expression over the row and the k x k covariance.
+    """
+    x = design(fit, terms)
+    k, n = len(x), fit.weight
+    d = rows.select(*keep_columns, F.col(y).alias("y"), *[v.alias(f"x{i}") for i, v in enumerate(x)])
+    xs = [F.col(f"x{i}") for i in range(k)]
+    d = d.withColumn("p", logistic(linear(fit, xs)))
+    d = d.withColumn("w", F.col("p") * (1 - F.col("p"))).withColumn("leverage", F.col("w") * _quadratic(fit.covariance, xs))
+    dev = F.lit(-2.0) * (F.col("y") * F.log("p") + (1 - F.col("y")) * F.log1p(-F.col("p")))
+    d = d.withColumn("e", F.when(F.col("y") > F.col("p"), F.sqrt(dev)).otherwise(-F.sqrt(dev)))
+    total = -2 * fit.loglik
+    left = 1 - F.col("leverage")
+    # residual scale of the fit without the row
+    d = d.withColumn("si", F.sqrt((F.lit(total) - F.col("e") * F.col("e") / left) / F.lit(n - k - 1)))
+    change = [sum((F.lit(float(fit.covariance[i, j])) * xs[j] for j in range(k)), F.lit(0.0)) * F.sqrt("w") * F.col("e") / left for i in range(k)]
+    dfbetas = [c / (F.col("si") * F.lit(math.sqrt(fit.covariance[i, i]))) for i, c in enumerate(change)]
+    pearson2 = F.pow(F.col("y") - F.col("p"), F.lit(2.0)) / F.col("w")
+    d = d.select(*keep_columns, "y", "p", "leverage", (F.col("e") * F.sqrt("leverage") / (F.col("si") * left)).alias("dffits"),
+                 (pearson2 * F.col("leverage") / (F.lit(float(k)) * left * left)).alias("cook"),
+                 (F.pow(F.col("si") * F.col("si") / F.lit(total / (n - k)), F.lit(float(k))) / left).alias("covariance_ratio"),
+                 *[b.alias(f"dfbeta_{t}") for t, b in zip(("intercept", *fit.terms), dfbetas)])
+    large = F.lit(False)
+    for t in ("intercept", *fit.terms):
+        large = large | (F.abs(f"dfbeta_{t}") > 1)
+    flags = dict(zip(DELETION_FLAGS, (F.col("leverage") > 3.0 * k / n, F.abs("dffits") > 3.0 * math.sqrt(k / (n - k)), F.col("cook") > f_quantile(0.5, k, n - k),
+                                      F.abs(1 - F.col("covariance_ratio")) > 3.0 * k / (n - k), large)))
+    d = d.select("*", *[f.alias(name) for name, f in flags.items()])
+    any_ = F.lit(False)
+    for f in DELETION_FLAGS:
+        any_ = any_ | F.col(f)
+    return d.withColumn("influential", any_)
+
+
+SEPARATION = ("complete", "quasi-complete", "none")
+
+
+def separation(rows: DataFrame, y: str, fold: str, held_out: Sequence[int], models: Mapping[str, Model], terms: Mapping[str, tuple[str, str]],
+               penalties: tuple[float, float] = (1e-4, 1e-6), tolerance: float = 1e-4) -> DataFrame:
+    """(model, fold, separation, training_events, events_per_slope): whether a training set separates the outcomes.
+
+    A separated fit runs away along a direction of recession. Two fits with vanishing penalties of all folds and models, advanced
+    together, differ by that direction; one grouped pass then asks every training row on which side of it the row lies. No row on
+    the wrong side: separated, completely where none lies on the boundary. A fit that stays in place has rows on both sides.
+    """
+    names = list(terms)
+    directions: dict = {}
+    for sign, penalty in zip((-1, 1), penalties):
+        light = {m: Model(s.terms, penalty) for m, s in models.items()}
+        batch = fit_batch(rows, y, terms, light, fold, tuple(held_out), max_passes=200, limit=1e6)
+        for f in batch.done():
+            d = np.zeros(len(names) + 1)
+            slope = f.beta[1:] / f.scale
+            d[0] = f.beta[0] - np.dot(slope, f.center)
+            for t, s in zip(f.terms, slope):
+                d[1 + names.index(t)] = s
+            directions.setdefault((f.model, f.fold), {})[sign] = (d, f)
+    spark = rows.sparkSession
+    mid = {n: v for n, v in zip(names, rows.agg(*[F.stddev_pop(transformed(*terms[n])) for n in names]).first())}
+    table = []
+    for (m, f), both in directions.items():
+        if len(both) == 2:
+            d = both[1][0] - both[-1][0]
+            size = math.sqrt(sum((d[1 + i] * (mid[n] or 0.0)) ** 2 for i, n in enumerate(names)))
+            table.append((m, f, [float(v) for v in d], size, both[1][1].events, len(both[1][1].terms)))
+    known = F.broadcast(spark.createDataFrame(table, "model string, held_out int, d array<double>, size double, training_events double, slopes int"))
+    t = [transformed(*terms[n]).cast("double").alias(f"t{i}") for i, n in enumerate(names)]
+    x = rows.select(F.col(y).alias("y"), F.col(fold).cast("int").alias("fold"), *t).join(known, F.col("fold") != F.col("held_out"))
+    eta = F.col("d")[0]
+    for i in range(len(names)):
+        eta = eta + F.col("d")[i + 1] * F.col(f"t{i}")
+    # a step of under a thousandth between two penalties is no direction
+    margin = F.when(F.col("size") < 1e-3, F.lit(None)).otherwise((2 * F.col("y") - 1) * eta / F.col("size"))
+    per = x.withColumn("margin", margin).groupBy("model", "held_out", "training_events", "slopes").agg(
+        F.count_if(F.col("margin") < -tolerance).alias("wrong"), F.count_if(F.abs("margin") <= tolerance).alias("boundary"), F.count_if(F.col("margin") > tolerance).alias("right"))
+    apart = (F.col("wrong") == 0) & (F.col("right") > 0)
+    kind = F.when(apart & (F.col("boundary") == 0), SEPARATION[0]).when(apart, SEPARATION[1]).otherwise(SEPARATION[2])
+    return per.select("model", F.col("held_out").alias("fold"), kind.alias("separation"), F.col("training_events").cast("long").alias("training_events"),
+                      F.try_divide("training_events", "slopes").alias("events_per_slope"))
+
+
 def diagnostics(infl: DataFrame, fit: Fit) -> DataFrame:
     k = len(fit.terms) + 1
     return infl.agg((F.sum("deviance") / F.lit(fit.weight - k)).alias("deviance_per_df"), F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("brier_score"),
