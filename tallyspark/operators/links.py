@@ -110,7 +110,8 @@ def longitudinal_analysis(pairs: DataFrame, unit: DataFrame, forest_codes: Seque
         (is_finite("interval_years") & (F.col("interval_years") > 0)).alias("valid_interval"),
         F.col("baseline_maple_seedling_detected").alias("baseline_seedling_detected"),
         F.col("followup_maple_seedling_detected").alias("followup_seedling_detected"),
-        excess("baseline_nonmaple_ba_ft2_ac", "baseline_beech_sapling_ba_ft2_ac").alias("baseline_other_nonmaple_ba_ft2_ac"))
+        # sums that are not whole leave no difference; a visit without live stems has zeros
+        F.when(F.coalesce(F.col("baseline_unusable_tree_records"), F.lit(0)) == 0, excess("baseline_nonmaple_ba_ft2_ac", "baseline_beech_sapling_ba_ft2_ac")).alias("baseline_other_nonmaple_ba_ft2_ac"))
     a = a.withColumn("baseline_comparable", sampled("baseline") & F.col("baseline_in_group"))
     before, after = F.col("baseline_seedling_detected"), F.col("followup_seedling_detected")
     gates = ["baseline_comparable", "baseline_established_maple", "followup_comparable", "strict_one_to_one",

@@ -48,8 +48,9 @@ def stem_metrics(stems: DataFrame, frames: DataFrame, target, unit: Sequence[str
                  cfg: Settings = DEFAULTS, gate: bool = False) -> DataFrame:
     """All conditional sums, record counts and shares per unit, in one aggregation.
 
-    With ``gate`` a stem without a usable frame proportion is an error, as in the published analysis;
-    without it the caller audits ``frame_rejects``.
+    With ``gate`` a stem without a usable frame proportion is an error, as in the published analysis.
+    Without it such stems are counted in ``unusable_tree_records``, and the per-area sums of their unit, which
+    would not be whole, are NULL with all that is derived from them.
     """
     rows = normalised_stems(stems, frames, unit, cfg)
     if gate:
@@ -66,37 +67,40 @@ def stem_metrics(stems: DataFrame, frames: DataFrame, target, unit: Sequence[str
     def named(prefix: str, suffix: str) -> str:
         return f"{prefix}total_{suffix}" if prefix in ("", "overstory_") else f"{prefix}{suffix}"
 
-    sums = [sum_when(p, x).alias(named(k, s)) for x, s in (("plot_basis", "ba_plot_basis"), ("contribution", "ba_ft2_ac"))
-            for k, p in classes.items()]
-    counts = [F.count(F.lit(1)).alias("live_tree_records"), count_when(sapling).alias("maple_sapling_records"),
+    whole = F.count("contribution") == F.count(F.lit(1))
+    sums = [*[sum_when(p, "plot_basis").alias(named(k, "ba_plot_basis")) for k, p in classes.items()],
+            *[F.when(whole, sum_when(p, "contribution")).alias(named(k, "ba_ft2_ac")) for k, p in classes.items()]]
+    counts = [F.count(F.lit(1)).alias("live_tree_records"), F.count_if(F.col("contribution").isNull()).alias("unusable_tree_records"), count_when(sapling).alias("maple_sapling_records"),
               count_when(tree).alias("overstory_tree_records"),
               count_when(maple & tree).alias("established_maple_records"),
               *[count_when(F.col("sampling_basis") == b).alias(f"{b}_tree_records")
                 for b in ("microplot", "subplot", "macroplot")]]
     m = rows.groupBy(*unit).agg(*sums, *counts)
+    known = F.col("total_ba_ft2_ac").isNotNull()
     return m.select(
-        "*", excess("total_ba_ft2_ac", "maple_ba_ft2_ac").alias("nonmaple_ba_ft2_ac"),
-        excess("total_ba_ft2_ac", "established_maple_ba_ft2_ac").alias("other_live_ba_ft2_ac"),
+        "*", F.when(known, excess("total_ba_ft2_ac", "maple_ba_ft2_ac")).alias("nonmaple_ba_ft2_ac"),
+        F.when(known, excess("total_ba_ft2_ac", "established_maple_ba_ft2_ac")).alias("other_live_ba_ft2_ac"),
         (F.col("maple_sapling_records") > 0).alias("maple_sapling_present"),
-        ratio("maple_ba_ft2_ac", "total_ba_ft2_ac", 0).alias("maple_ba_share"),
-        ratio("established_maple_ba_ft2_ac", "overstory_total_ba_ft2_ac", 0).alias("established_maple_ba_share"))
+        F.when(known, ratio("maple_ba_ft2_ac", "total_ba_ft2_ac", 0)).alias("maple_ba_share"),
+        F.when(known, ratio("established_maple_ba_ft2_ac", "overstory_total_ba_ft2_ac", 0)).alias("established_maple_ba_share"))
 
 
 def target_metrics(stems: DataFrame, frames: DataFrame, target, prefix: str, unit: Sequence[str] = UNIT,
                    cfg: Settings = DEFAULTS) -> DataFrame:
-    """Sums and counts of one species on every unit of the frame table; units without it get zeros."""
+    """Sums and counts of one species on every unit of the frame table; units without it get zeros, and units whose sums are not
+    whole for want of a frame proportion get NULL sums."""
     require_prefix(prefix)
     rows = normalised_stems(stems.where(F.col("spcd") == target), frames, unit, cfg)
     small = size_window("dia", cfg.sapling_min_dia, cfg.tree_min_dia)
     big = F.col("dia") >= cfg.tree_min_dia
+    whole = F.count("contribution") == F.count(F.lit(1))
     m = rows.groupBy(*unit).agg(
-        sum_when(F.lit(True), "contribution").alias(f"{prefix}_ba_ft2_ac"),
-        sum_when(small, "contribution").alias(f"{prefix}_sapling_ba_ft2_ac"),
-        sum_when(big, "contribution").alias(f"{prefix}_established_ba_ft2_ac"),
+        *[F.when(whole, sum_when(p, "contribution")).alias(f"{prefix}_{n}ba_ft2_ac") for n, p in (("", F.lit(True)), ("sapling_", small), ("established_", big))],
         F.count(F.lit(1)).alias(f"{prefix}_records"), count_when(small).alias(f"{prefix}_sapling_records"),
         count_when(big).alias(f"{prefix}_established_records"))
     grid = frames.select(*unit).distinct()
-    return grid.join(m, list(unit), "left").fillna(0, [x for x in m.columns if x not in unit])
+    none = F.col(f"{prefix}_records").isNull()
+    return grid.join(m, list(unit), "left").select(*unit, *[F.when(none, F.lit(0).cast(m.schema[x].dataType)).otherwise(F.col(x)).alias(x) for x in m.columns if x not in unit])
 
 
 def tally_metrics(tallies: DataFrame, units: DataFrame, target, unit: Sequence[str] = UNIT,

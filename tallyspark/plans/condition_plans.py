@@ -35,19 +35,19 @@ STEM_AGG = """stemagg AS (SELECT plt_cn, condid,
   coalesce(sum(pb) FILTER (spcd='F' AND dia>=1 AND dia<5),0e0) AS maple_sapling_ba_plot_basis,
   coalesce(sum(pb) FILTER (dia>=5),0e0) AS overstory_total_ba_plot_basis,
   coalesce(sum(pb) FILTER (spcd='F' AND dia>=5),0e0) AS established_maple_ba_plot_basis,
-  sum(ct) AS total_ba_ft2_ac, coalesce(sum(ct) FILTER (spcd='F'),0e0) AS maple_ba_ft2_ac,
-  coalesce(sum(ct) FILTER (spcd='F' AND dia>=1 AND dia<5),0e0) AS maple_sapling_ba_ft2_ac,
-  coalesce(sum(ct) FILTER (dia>=5),0e0) AS overstory_total_ba_ft2_ac,
-  coalesce(sum(ct) FILTER (spcd='F' AND dia>=5),0e0) AS established_maple_ba_ft2_ac,
-  count(*) AS live_tree_records, count(*) FILTER (spcd='F' AND dia>=1 AND dia<5) AS maple_sapling_records,
+  CASE WHEN count(*)=count(ct) THEN sum(ct) END AS total_ba_ft2_ac, CASE WHEN count(*)=count(ct) THEN coalesce(sum(ct) FILTER (spcd='F'),0e0) END AS maple_ba_ft2_ac,
+  CASE WHEN count(*)=count(ct) THEN coalesce(sum(ct) FILTER (spcd='F' AND dia>=1 AND dia<5),0e0) END AS maple_sapling_ba_ft2_ac,
+  CASE WHEN count(*)=count(ct) THEN coalesce(sum(ct) FILTER (dia>=5),0e0) END AS overstory_total_ba_ft2_ac,
+  CASE WHEN count(*)=count(ct) THEN coalesce(sum(ct) FILTER (spcd='F' AND dia>=5),0e0) END AS established_maple_ba_ft2_ac,
+  count(*) AS live_tree_records, count(*)-count(ct) AS unusable_tree_records, count(*) FILTER (spcd='F' AND dia>=1 AND dia<5) AS maple_sapling_records,
   count(*) FILTER (dia>=5) AS overstory_tree_records, count(*) FILTER (spcd='F' AND dia>=5) AS established_maple_records,
   count(*) FILTER (basis='microplot') AS microplot_tree_records, count(*) FILTER (basis='subplot') AS subplot_tree_records,
   count(*) FILTER (basis='macroplot') AS macroplot_tree_records FROM normal GROUP BY plt_cn, condid),
-stemmetrics AS (SELECT *, greatest(0e0, total_ba_ft2_ac-maple_ba_ft2_ac) AS nonmaple_ba_ft2_ac,
-  greatest(0e0, total_ba_ft2_ac-established_maple_ba_ft2_ac) AS other_live_ba_ft2_ac,
+stemmetrics AS (SELECT *, CASE WHEN total_ba_ft2_ac IS NOT NULL THEN greatest(0e0, total_ba_ft2_ac-maple_ba_ft2_ac) END AS nonmaple_ba_ft2_ac,
+  CASE WHEN total_ba_ft2_ac IS NOT NULL THEN greatest(0e0, total_ba_ft2_ac-established_maple_ba_ft2_ac) END AS other_live_ba_ft2_ac,
   maple_sapling_records>0 AS maple_sapling_present,
-  CASE WHEN total_ba_ft2_ac>0 THEN maple_ba_ft2_ac/total_ba_ft2_ac ELSE 0e0 END AS maple_ba_share,
-  CASE WHEN overstory_total_ba_ft2_ac>0 THEN established_maple_ba_ft2_ac/overstory_total_ba_ft2_ac ELSE 0e0 END
+  CASE WHEN total_ba_ft2_ac>0 THEN maple_ba_ft2_ac/total_ba_ft2_ac WHEN total_ba_ft2_ac IS NOT NULL THEN 0e0 END AS maple_ba_share,
+  CASE WHEN overstory_total_ba_ft2_ac>0 THEN established_maple_ba_ft2_ac/overstory_total_ba_ft2_ac WHEN overstory_total_ba_ft2_ac IS NOT NULL THEN 0e0 END
     AS established_maple_ba_share FROM stemagg)"""
 TALLY = """tallymetrics AS (SELECT u.plt_cn, u.condid, cover, coalesce(cover>0,false) AS seedling_sampled,
   CASE WHEN cover>0 THEN coalesce(a,0e0) END AS all_seedling_tpa_plot_basis,
@@ -98,7 +98,7 @@ BASE = "visits stems tallies conditions"
 
 SUMS = [f"{p}{s}" for s in ("ba_plot_basis", "ba_ft2_ac") for p in
         ("total_", "maple_", "maple_sapling_", "overstory_total_", "established_maple_")]
-COUNTS = ["live_tree_records", "maple_sapling_records", "overstory_tree_records", "established_maple_records",
+COUNTS = ["live_tree_records", "unusable_tree_records", "maple_sapling_records", "overstory_tree_records", "established_maple_records",
           "microplot_tree_records", "subplot_tree_records", "macroplot_tree_records"]
 DERIVED = ["nonmaple_ba_ft2_ac", "other_live_ba_ft2_ac", "maple_ba_share", "established_maple_ba_share",
            "maple_seedling_tpa", "all_seedling_tpa", "maple_seedling_share", "established_threshold",

@@ -90,13 +90,14 @@ UNI = f"""vuni AS (SELECT baseline_plt_cn AS plt_cn, baseline_condid AS condid,
   SELECT current_plt_cn, current_condid, followup_micrprop_unadj, followup_subpprop_unadj, 1e0, followup_break,
    {_COV.format(r='followup')} FROM cand),
 universe AS (SELECT plt_cn, condid, cover FROM vuni)"""
-BEECH = """beech AS (SELECT v.plt_cn, v.condid, coalesce(sum(ct),0e0) AS beech_ba_ft2_ac,
-  coalesce(sum(ct) FILTER (dia>=1 AND dia<5),0e0) AS beech_sapling_ba_ft2_ac, coalesce(sum(ct) FILTER (dia>=5),0e0) AS beech_established_ba_ft2_ac,
-  count(ct) AS beech_records, count(ct) FILTER (dia>=1 AND dia<5) AS beech_sapling_records, count(ct) FILTER (dia>=5) AS beech_established_records
+BEECH = """beech AS (SELECT v.plt_cn, v.condid, CASE WHEN count(n.plt_cn)=count(ct) THEN coalesce(sum(ct),0e0) END AS beech_ba_ft2_ac,
+  CASE WHEN count(n.plt_cn)=count(ct) THEN coalesce(sum(ct) FILTER (dia>=1 AND dia<5),0e0) END AS beech_sapling_ba_ft2_ac,
+  CASE WHEN count(n.plt_cn)=count(ct) THEN coalesce(sum(ct) FILTER (dia>=5),0e0) END AS beech_established_ba_ft2_ac,
+  count(n.plt_cn) AS beech_records, count(n.plt_cn) FILTER (dia>=1 AND dia<5) AS beech_sapling_records, count(n.plt_cn) FILTER (dia>=5) AS beech_established_records
   FROM vuni v LEFT JOIN (SELECT * FROM normal WHERE spcd='O') n ON n.plt_cn=v.plt_cn AND n.condid=v.condid GROUP BY v.plt_cn, v.condid)"""
 LONG = ",\n".join([CAND, UNI, NORMAL.replace("UNIV", "vuni"), STEM_AGG, TALLY, BEECH]) + """,
 flags AS (SELECT c.*, coalesce(c.baseline_fortypcd IN (801,805),false) AS baseline_in_group, coalesce(c.followup_fortypcd IN (801,805),false) AS followup_in_group,
-  b.total_ba_ft2_ac AS baseline_total_ba_ft2_ac, f.total_ba_ft2_ac AS followup_total_ba_ft2_ac, b.nonmaple_ba_ft2_ac AS baseline_nonmaple_ba_ft2_ac,
+  b.total_ba_ft2_ac AS baseline_total_ba_ft2_ac, f.total_ba_ft2_ac AS followup_total_ba_ft2_ac, b.nonmaple_ba_ft2_ac AS baseline_nonmaple_ba_ft2_ac, b.unusable_tree_records AS baseline_unusable,
   f.maple_sapling_records AS followup_maple_sapling_records, f.maple_sapling_present AS followup_maple_sapling_present,
   b.maple_sapling_present AS baseline_maple_sapling_present, b.established_maple_ba_ft2_ac AS baseline_established_maple_ba_ft2_ac,
   h.beech_sapling_ba_ft2_ac AS baseline_beech_sapling_ba_ft2_ac, m.maple_seedling_tpa AS baseline_maple_seedling_tpa,
@@ -117,7 +118,7 @@ long AS (SELECT *, baseline_comparable AND baseline_established_maple AND follow
    WHEN baseline_seedling_detected=1 AND followup_seedling_detected=1 THEN 'Persistence' END AS seedling_transition,
   CASE WHEN baseline_seedling_detected=1 THEN 1-followup_seedling_detected END AS seedling_detection_loss,
   CASE WHEN baseline_seedling_detected=0 THEN followup_seedling_detected END AS seedling_detection_appearance,
-  greatest(0e0, coalesce(baseline_nonmaple_ba_ft2_ac,0e0)-coalesce(baseline_beech_sapling_ba_ft2_ac,0e0)) AS baseline_other_nonmaple_ba_ft2_ac FROM flags)"""
+  CASE WHEN coalesce(baseline_unusable,0)=0 THEN greatest(0e0, coalesce(baseline_nonmaple_ba_ft2_ac,0e0)-coalesce(baseline_beech_sapling_ba_ft2_ac,0e0)) END AS baseline_other_nonmaple_ba_ft2_ac FROM flags)"""
 LT = "visits stems tallies conditions links"
 KEYS = ["baseline_plt_cn", "baseline_condid", "current_plt_cn", "current_condid"]
 

@@ -37,6 +37,18 @@ def test_bad_denominator_is_an_error(spark):
         measures.stem_metrics(t, f, 1, gate=True)
 
 
+def test_sums_that_are_not_whole_are_missing(spark):
+    t = spark.createDataFrame([("a", 1, 1, 4.0, 1.0, 1, None), ("a", 1, 1, 6.0, 1.0, 1, None), ("b", 1, 1, 6.0, 1.0, 1, None)], TREES)
+    f = spark.createDataFrame([("a", 1, 0.0, 0.5, None), ("b", 1, 0.0, 0.5, None)], FRAMES)
+    got = {r.plt_cn: r for r in measures.stem_metrics(t, f, 1).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.live_tree_records, a.unusable_tree_records, b.unusable_tree_records) == (2, 1, 0)
+    assert [a[c] for c in ("total_ba_ft2_ac", "maple_sapling_ba_ft2_ac", "overstory_total_ba_ft2_ac", "nonmaple_ba_ft2_ac", "maple_ba_share", "established_maple_ba_share")] == [None] * 6
+    assert a.total_ba_plot_basis == pytest.approx(area(4, 1) + area(6, 1)) and b.total_ba_ft2_ac == pytest.approx(area(6, 1) / 0.5)
+    g = {r.plt_cn: r for r in measures.target_metrics(t, f, 1, "beech").collect()}
+    assert g["a"].beech_ba_ft2_ac is None and g["a"].beech_records == 2 and g["b"].beech_sapling_ba_ft2_ac == 0.0
+
+
 def test_target_grid_is_zero_filled(spark):
     t = spark.createDataFrame([("a", 1, 2, 4.0, 1.0, 1, None)], TREES)
     f = spark.createDataFrame([("a", 1, 0.5, 0.5, None), ("b", 1, 0.5, 0.5, None)], FRAMES)
