@@ -195,12 +195,21 @@ def concordance(df: DataFrame, computed: str, recorded: str) -> DataFrame:
     return stats.crossJoin(exact_quantiles(both, [], "e", {"median_signed_error": 0.5}))
 
 
-def gate_concordance(audit: DataFrame, minimum_r: float = 0.9999, maximum_mae: float = 0.01,
-                     maximum_error: float = 0.05) -> DataFrame:
-    bad = audit.where(~surely((F.col("pearson_correlation") >= minimum_r)
-                              & (F.col("mean_absolute_error") <= maximum_mae)
-                              & (F.col("max_absolute_error") <= maximum_error)))
-    if not bad.isEmpty():
+# fixed values: how far a computed measure may be from the recorded one
+CONCORDANT = {"minimum_r": 0.9999, "maximum_mae": 0.01, "maximum_error": 0.05}
+
+
+def concordance_verdict(audit: DataFrame, minimum_r: float = CONCORDANT["minimum_r"], maximum_mae: float = CONCORDANT["maximum_mae"],
+                        maximum_error: float = CONCORDANT["maximum_error"]) -> DataFrame:
+    """The audit with a verdict for each limit and for all; an unknown value does not pass."""
+    limits = {"correlated": F.col("pearson_correlation") >= minimum_r, "mean_error_small": F.col("mean_absolute_error") <= maximum_mae,
+              "largest_error_small": F.col("max_absolute_error") <= maximum_error}
+    out = audit.select("*", *[surely(p).alias(n) for n, p in limits.items()])
+    return out.withColumn("passed", reduce(lambda a, b: a & b, [F.col(n) for n in limits]))
+
+
+def gate_concordance(audit: DataFrame, **limits: float) -> DataFrame:
+    if not concordance_verdict(audit, **limits).where(~F.col("passed")).isEmpty():
         raise AuditFailure("computed and recorded measures disagree")
     return audit
 

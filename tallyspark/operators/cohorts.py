@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import c, in_codes
+from ..functions.scalar import c, in_codes, plain_name
 from ..session import broadcast_if_small
-from .checks import exactly_one
+from .checks import AuditFailure, exactly_one, gate_unique
 
 
 def resolve_evaluation(evaluations: DataFrame, end: str, ident: str, pinned=None):
@@ -70,3 +71,30 @@ def top_shares(totals: DataFrame, amount: str, n: int, tie: Sequence[str]) -> Da
         "share", F.col(amount) / F.col("_whole")).drop("_whole")
     displayed = shown.agg(F.sum("share").alias("displayed_share"))
     return shown.crossJoin(F.broadcast(displayed))
+
+
+def join_on_names(left: DataFrame, right: DataFrame, left_text: str, right_text: str, suffix: str = "_right") -> DataFrame:
+    """N:1 join on normalised names, the key in ``key``. A repeated name on the right, a missing name, or a row without a match is
+    an error; a column that both sides have keeps its name on the left and gets the suffix on the right."""
+    a, b = left.withColumn("key", plain_name(left_text)), right.withColumn("key", plain_name(right_text)).drop(right_text)
+    b = b.withColumnsRenamed({c: c + suffix for c in b.columns if c in a.columns and c != "key"})
+    if not a.where(F.col("key").isNull()).isEmpty() or not b.where(F.col("key").isNull()).isEmpty():
+        raise AuditFailure("names must be present on both sides")
+    gate_unique(b, ["key"], "names")
+    lost = a.join(b, "key", "left_anti")
+    if not lost.isEmpty():
+        raise AuditFailure(f"name without a match: {lost.first()[left_text]}")
+    return a.join(b, "key")
+
+
+def stacked(parts: Mapping[str, DataFrame], label: str) -> DataFrame:
+    """Tables under each other with their name in ``label``; a column that some lack is missing there. One name with two types is an
+    error, and so is no table at all."""
+    kinds: dict = {}
+    for name, df in parts.items():
+        for f in df.schema:
+            if kinds.setdefault(f.name, f.dataType) != f.dataType:
+                raise AuditFailure(f"{f.name} of {name} has another type")
+    if not parts:
+        raise AuditFailure("nothing to stack")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select(F.lit(name).alias(label), "*") for name, df in parts.items()])

@@ -77,6 +77,18 @@ def model_metrics(scored: DataFrame, groups: Sequence[str], model: str = "model"
     return m.withColumns({x: F.when(~const, F.col(x)) for x in ("roc_auc", "average_precision")})
 
 
+EIGHT = (*LOSS_METRICS, "top_fraction", "top_no_event_fraction", "top_capture_fraction", "top_events")
+
+
+def eight_metrics(scored: DataFrame, groups: Sequence[str], key: str, unit: str, fraction: float = 0.25, w: str | None = None) -> DataFrame:
+    """Losses, ranking, and what the best ``fraction`` of the rows holds (its cutoff tie ordered by ``key``), for each group."""
+    top = select_capacity(scored, groups, "y", "p", (fraction,), key, unit, w)
+    hits = F.col("deterministic_targets")
+    top = top.select(*groups, F.try_divide(hits, "capacity").alias("top_fraction"), (1 - F.try_divide(hits, "capacity")).alias("top_no_event_fraction"),
+                     F.try_divide(hits, "target_total").alias("top_capture_fraction"), hits.cast("double").alias("top_events"))
+    return model_metrics(scored, groups, benchmark=None, w=w).join(top, list(groups))
+
+
 def with_skill(metrics: DataFrame, keys: Sequence[str], model: str = "model", benchmark: str = "Prevalence") -> DataFrame:
     """Brier skill against the benchmark row of the same keys."""
     ref = metrics.where(F.col(model) == benchmark).select(*keys, F.col("brier_score").alias("_ref"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import in_codes, is_finite, is_whole, near, sampled_unit, sum_or_missing, surely
 from ..functions.states import measurement_reason
 from ..settings import DEFAULTS, Settings
-from .checks import gate_unique
+from .checks import AuditFailure, gate_unique
+from .ordered import exact_quantiles
 
 UNIT = ("plt_cn", "condid")
 SLICE = ("plt_cn", "condid", "subp")
@@ -114,5 +115,32 @@ def development_split(rows: DataFrame, unit: str, later: Column) -> DataFrame:
     return rows.join(test, unit, "left").withColumn("split", F.when(surely(later), "later").when(F.col("_t").isNull(), "development")).drop("_t")
 
 
+def split_support(rows: DataFrame, later: Column, unit: str, cluster: str, y: str, year: str, manual: str, interval: str, manual_at_least: float = 9.0) -> DataFrame:
+    """What each side of a temporal split holds: rows, events, units, clusters, ranges of years, manuals and intervals, and how many
+    units both sides share. All rows count; what a split drops shows as shared units."""
+    d = rows.select(surely(later).alias("later"), F.col(unit).alias("u"), F.col(cluster).alias("c"), F.col(y).alias("y"), F.col(year).alias("t"),
+                    F.col(manual).cast("double").alias("m"), F.col(interval).cast("double").alias("v"))
+    per_unit = d.groupBy("u").agg(F.bool_or("later").alias("a"), F.bool_or(~F.col("later")).alias("b"))
+    shared = per_unit.agg(F.count_if(F.col("a") & F.col("b")).alias("units_shared"))
+    sides = d.groupBy("later").agg(F.count(F.lit(1)).alias("conditions"), F.sum("y").alias("events"), F.countDistinct("u").alias("units"), F.countDistinct("c").alias("clusters"),
+                                   F.min("t").alias("year_min"), F.max("t").alias("year_max"), F.min("m").alias("manual_min"), F.max("m").alias("manual_max"),
+                                   F.count_if(F.col("m") >= manual_at_least).alias("late_manual_conditions"), F.min("v").alias("interval_min"), F.max("v").alias("interval_max"))
+    middle = exact_quantiles(d, ["later"], "v", {"interval_median": 0.5})
+    return sides.join(middle, "later").crossJoin(F.broadcast(shared)).select(F.when(F.col("later"), "Testing").otherwise("Training").alias("split"), "*").drop("later")
+
+
+# fixed values: the least support of a temporal check, conditions and events of its sides
+LEAST_SUPPORT = {"Training": (50, 20), "Testing": (50, 15)}
+
+
+def gate_split(support: DataFrame, least: Mapping[str, tuple[int, int]] = LEAST_SUPPORT) -> DataFrame:
+    """A side with too few conditions or events is an error; a side without any row too."""
+    seen = {r["split"]: (r["conditions"], r["events"]) for r in support.select("split", "conditions", "events").collect()}
+    short = [f"{side}: {seen.get(side, (0, 0))}" for side, (n, e) in least.items() if seen.get(side, (0, 0))[0] < n or seen.get(side, (0, 0))[1] < e]
+    if short:
+        raise AuditFailure("too little support for a temporal check, " + "; ".join(short))
+    return support
+
+
 def combined_screens(flags: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [surely(F.col(x)) for x in flags])

@@ -172,13 +172,17 @@ UNIT_SQL = sql(ST + " tallies", """SELECT 'Microplot-condition intervals' AS uni
 
 
 def tall_fractions(spark, sf):
-    """Share of larger classes per available unit; conflicting definitions are listed, never divided."""
+    """Share of larger classes per available unit. The count of all classes is checked against the sum of the single ones, in which
+    one unit in 50 has one tally too many; conflicting definitions are listed, never divided."""
     c = classes(spark, sf).where("available")
-    bad = S.tall_fraction_conflict("all_count", "tall_count", "all_count")
-    return rounded(c.select("plt_cn", "condid", bad.alias("conflict"), S.tall_fraction("all_count", "tall_count").alias("tall_fraction")))
+    single = sum((F.col(x) for x in NAMES), F.lit(0)) + (F.col("plt_cn") % 50 == 0).cast("long")
+    c = c.withColumn("single_count", single)
+    bad = S.tall_fraction_conflict("all_count", "tall_count", "single_count")
+    return rounded(c.select("plt_cn", "condid", bad.alias("conflict"), F.when(~bad, S.tall_fraction("all_count", "tall_count")).alias("tall_fraction")))
 
 
-TALL_SQL = sql(ST, "SELECT plt_cn, condid, false AS conflict, rnd(CASE WHEN all_count>0 THEN tall_count/CAST(all_count AS DOUBLE) END,6) AS tall_fraction FROM piv WHERE available", SUP + ", " + PIV)
+TALL_SQL = sql(ST, """SELECT plt_cn, condid, plt_cn%50=0 AS conflict, rnd(CASE WHEN plt_cn%50<>0 AND all_count>0 THEN tall_count/CAST(all_count AS DOUBLE) END,6) AS tall_fraction
+  FROM piv WHERE available""", SUP + ", " + PIV)
 
 
 def status_counts(spark, sf):
@@ -433,10 +437,7 @@ def text_key_join(spark, sf):
     """Regions and their attributes joined on normalised names; every region must match once."""
     r = t.table(spark, sf, "region").select(F.concat(F.initcap("r_name"), F.lit(".")).alias("label"), "r_regionkey")
     n = t.table(spark, sf, "nation").join(t.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("nations"))
-    a = r.withColumn("key", S.plain_name("label"))
-    b = n.withColumn("key", S.plain_name("r_name")).drop("r_name")
-    out = a.join(b, "key", "left")
-    checks.gate_rules(out, {"region without attributes": F.col("nations").isNull()}, "name join")
+    out = cohorts.join_on_names(r, n, "label", "r_name")
     return out.select("key", "label", "nations")
 
 

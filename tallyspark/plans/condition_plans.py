@@ -267,6 +267,23 @@ CONCORDANCE = sql("visits stems", """SELECT count(*) AS observations, rnd(corr(x
   ON c.plt_cn=v.plt_cn) WHERE x IS NOT NULL AND y IS NOT NULL""")
 
 
+def concordance_verdict(spark, sf):
+    """The verdict on two recorded totals: the one that is compared with itself passes, the other does not."""
+    per = t.stems(spark, sf).groupBy("plt_cn").agg(F.sum("value").alias("computed"))
+    d = t.visits(spark, sf).select("plt_cn", "plot_total").join(per, "plt_cn")
+    out = None
+    for label, recorded in (("recorded total", F.col("plot_total")), ("own total", F.col("computed") + 0.0)):
+        v = checks.concordance_verdict(checks.concordance(d.withColumn("other", recorded), "computed", "other")).select(
+            F.lit(label).alias("measure"), "observations", "correlated", "mean_error_small", "largest_error_small", "passed")
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+VERDICT = sql("visits stems", """SELECT measure, count(*) AS observations, corr(x,y)>=9999e-4 AS correlated, avg(abs(x-y))<=1e-2 AS mean_error_small, max(abs(x-y))<=5e-2 AS largest_error_small,
+  corr(x,y)>=9999e-4 AND avg(abs(x-y))<=1e-2 AND max(abs(x-y))<=5e-2 AS passed FROM (SELECT c.x, m.measure, CASE m.measure WHEN 'own total' THEN c.x ELSE v.plot_total END AS y
+  FROM visits v JOIN (SELECT plt_cn, sum(value) AS x FROM stems GROUP BY plt_cn) c ON c.plt_cn=v.plt_cn, (VALUES ('recorded total'),('own total')) m(measure)) GROUP BY measure""")
+
+
 def gap_bins(spark, sf):
     a = measures.gap_flags(analysis_table(spark, sf), ranks=False)
     return summaries.zero_bins(a, "established_maple_ba_share", "maple_seedling_tpa", "potential_gap")
@@ -372,7 +389,7 @@ QUERIES = {
     "missingness": (missingness, MISSING),
     "duplicate_keys": (duplicate_keys, DUPLICATES),
     "range_audit": (range_audit, RANGE),
-    "concordance": (concordance, CONCORDANCE),
+    "concordance": (concordance, CONCORDANCE), "concordance_verdict": (concordance_verdict, VERDICT),
     "gap_bins": (gap_bins, GAP_BINS),
     "headline_summary": (headline_summary, HEADLINE),
     "wilson_groups": (wilson_groups, WILSON),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, constraints, ordered, summaries
+from ..operators import checks, cohorts, constraints, ordered, summaries
 from ..operators.constraints import Reference, Unique
 from ..settings import DEFAULTS
 from . import audit_plans as a
@@ -131,7 +131,19 @@ CHANGE_SQL = sql("visits", """SELECT previous_period, current_period, code, chan
                  "m AS (SELECT DISTINCT strftime(visit_date,'%Y-%m') AS period, lpad(CAST(c_nationkey AS VARCHAR),2,'0')||'-'||c_mktsegment AS code FROM visits JOIN customer ON c_custkey=unit),"
                  " steps AS (SELECT * FROM (SELECT lag(period) OVER (ORDER BY period) AS previous_period, period AS current_period FROM (SELECT DISTINCT period FROM m)) WHERE previous_period IS NOT NULL)")
 
+def stacked_records(spark, sf):
+    """Stems, tallies and visits under each other: how many values of each column each source has."""
+    parts = {"stems": t.stems(spark, sf).select("plt_cn", "condid", "spcd", "dia"), "tallies": t.tallies(spark, sf).select("plt_cn", "condid", "spcd", "treecount"),
+             "visits": t.visits(spark, sf).select("plt_cn", "measyear")}
+    s = cohorts.stacked(parts, "source")
+    return s.groupBy("source").agg(F.count(F.lit(1)).alias("records"), *[F.count(c).alias(c) for c in ("condid", "spcd", "dia", "treecount", "measyear")])
+
+
+STACK_SQL = sql("stems tallies visits", """SELECT 'stems' AS source, count(*) AS records, count(condid) AS condid, count(spcd) AS spcd, count(dia) AS dia, CAST(0 AS BIGINT) AS treecount, CAST(0 AS BIGINT) AS measyear FROM stems
+  UNION ALL SELECT 'tallies', count(*), count(condid), count(spcd), 0, count(treecount), 0 FROM tallies UNION ALL SELECT 'visits', count(*), 0, 0, 0, 0, count(measyear) FROM visits""")
+
 QUERIES = {
+    "stacked_records": (stacked_records, STACK_SQL),
     "key_gates": (key_gates, KEY_SQL), "broken_references": (broken_references, BROKEN_SQL), "interval_screens": (interval_screens, SCREEN_SQL),
     "pair_numbers": (pair_numbers, NUMBER_SQL), "frozen_bundle": (frozen_bundle, FROZEN_SQL), "code_changes": (code_changes, CHANGE_SQL),
 }

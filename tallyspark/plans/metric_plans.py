@@ -84,6 +84,12 @@ PAIR_SQL = sql("cohort", """SELECT a.model, a.reference, x.metric, rnd(x.d,6) AS
                WIDE + ", " + TIES.format(g="model") + ", " + PROB.format(g="model") + ", mm AS (SELECT p.*, roc_auc, average_precision FROM probm p JOIN rankm r ON r.model=p.model)")
 
 
+def paired_eight(spark, sf):
+    """Eight metrics of each model minus those of its reference on the same rows."""
+    m = ranking.eight_metrics(scored(spark, sf), ["model"], "row_id", "unit")
+    return rounded(ranking.paired_differences(m, PAIRS, ranking.EIGHT))
+
+
 def risk_quartiles(spark, sf):
     s = scored(spark, sf).where(F.col("model") != PREV)
     return rounded(ranking.risk_tiles(s, ["model"], "p", "row_id"))
@@ -167,6 +173,14 @@ TOP_SQL = sql("cohort", """SELECT model, capacity AS top_capacity, CAST(det AS B
               WIDE + ", cap AS (SELECT model, y AS target, p AS score, row_id, unit FROM scored WHERE model<>'Prevalence'), " + CAP.format(g="model"))
 
 
+EIGHT_SQL = sql("cohort", """SELECT m.model, q.reference, x.metric, rnd(x.d,6) AS difference, m.observations=r.observations AND m.events=r.events AS matched_cohort
+  FROM mm m JOIN (VALUES ('Count model','Prevalence'),('Stage model','Count model')) q(model,reference) ON q.model=m.model JOIN mm r ON r.model=q.reference,
+  LATERAL (VALUES ('brier_score',m.brier_score-r.brier_score),('log_loss',m.log_loss-r.log_loss),('roc_auc',m.roc_auc-r.roc_auc),('average_precision',m.average_precision-r.average_precision),
+   ('top_fraction',m.det/m.capacity-r.det/r.capacity),('top_no_event_fraction',r.det/r.capacity-m.det/m.capacity),('top_capture_fraction',m.det/m.tt-r.det/r.tt),('top_events',CAST(m.det-r.det AS DOUBLE))) x(metric,d)""",
+                WIDE + ", " + TIES.format(g="model") + ", " + PROB.format(g="model") + ", cap AS (SELECT model, y AS target, p AS score, row_id, unit FROM scored), " + CAP.format(g="model") +
+                ", mm AS (SELECT p.*, roc_auc, average_precision, det, c.capacity, c.tt FROM probm p JOIN rankm r ON r.model=p.model JOIN capo c ON c.model=p.model WHERE c.requested_fraction=25e-2)")
+
+
 def brier_decomposition(spark, sf):
     return rounded(ranking.brier_decomposition(ranking.prob_metrics(scored(spark, sf), ["model"]), PREV, COUNT, STAGE))
 
@@ -321,7 +335,7 @@ AVGRANK_SQL = sql("cohort", "SELECT model, rnd(roc_auc,6) AS roc_auc FROM rankm"
 
 QUERIES = {
     "rank_metrics": (rank_metrics, RANK_SQL), "prob_metrics": (prob_metrics, PROB_SQL), "fold_metrics": (fold_metrics, FOLD_SQL),
-    "paired_differences": (paired_differences, PAIR_SQL), "risk_quartiles": (risk_quartiles, RISK_SQL), "average_ranks": (average_ranks, AVGRANK_SQL),
+    "paired_differences": (paired_differences, PAIR_SQL), "paired_eight": (paired_eight, EIGHT_SQL), "risk_quartiles": (risk_quartiles, RISK_SQL), "average_ranks": (average_ranks, AVGRANK_SQL),
     "capacity_selection": (capacity_selection, CAP_SQL), "policy_sweep": (policy_sweep, SWEEP_SQL), "policy_pairs": (policy_pairs, PPAIR_SQL),
     "top_quarter": (top_quarter, TOP_SQL), "brier_decomposition": (brier_decomposition, DECOMP_SQL),
     "bootstrap_draws": (bootstrap_draws, DRAW_SQL), "bootstrap_group_ci": (bootstrap_group_ci, GCI_SQL),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import logit
@@ -67,13 +70,16 @@ def event_folds(spark, sf):
 
 
 def fold_leakage(spark, sf):
-    """Units or clusters that cross folds; a check result, one row per key."""
+    """Keys that cross folds, a row a kind of key: units and clusters may not, calendar years do, as the folds know nothing of them."""
     f = folded(spark, sf)
-    parts = [checks.groups_crossing(f, k, "fold").agg(F.count(F.lit(1)).alias("crossing")).select(F.lit(k).alias("group_key"), "crossing") for k in ("unit", "cluster")]
-    return parts[0].unionByName(parts[1])
+    parts = [checks.groups_crossing(f, k, "fold").agg(F.count(F.lit(1)).alias("crossing")).select(F.lit(k).alias("group_key"), "crossing") for k in ("unit", "cluster", "baseline_year")]
+    return reduce(DataFrame.unionByName, parts)
 
 
-LEAK_SQL = "SELECT * FROM (VALUES ('unit', CAST(0 AS BIGINT)), ('cluster', CAST(0 AS BIGINT))) x(group_key, crossing)"
+_FOLDS_HEAD = _greedy_sql(False)[:_greedy_sql(False).rindex("SELECT s.cluster")].rstrip()
+LEAK_SQL = _FOLDS_HEAD + """, assigned AS (SELECT c.*, g.fold FROM cohort c JOIN seq s ON s.cluster=c.cluster JOIN greedy g ON g.i=s.i)
+SELECT group_key, count(*) FILTER (folds>1) AS crossing FROM (SELECT 'unit' AS group_key, unit AS k, count(DISTINCT fold) AS folds FROM assigned GROUP BY unit
+  UNION ALL SELECT 'cluster', cluster, count(DISTINCT fold) FROM assigned GROUP BY cluster UNION ALL SELECT 'baseline_year', baseline_year, count(DISTINCT fold) FROM assigned GROUP BY baseline_year) GROUP BY group_key"""
 
 
 def crossfit(rows, penalty=1.0, specs=None, weights=None, resamples=1, override=None, keep=("row_id", "unit", "cluster", "y")):
@@ -140,11 +146,32 @@ def temporal_rows(spark, sf):
     return rows.where("split IS NOT NULL").withColumn("fold", (F.col("split") == "later").cast("int")).drop("split")
 
 
+def temporal_sides(rows, later):
+    return reconcile.split_support(rows, later, "unit", "cluster", "y", "measyear", "manual", "interval_years")
+
+
+def temporal_split_support(spark, sf):
+    """Both sides of the split before and after rows of shared units are left out."""
+    cut = F.col("measyear") >= LATER
+    all_rows = temporal_sides(t.cohort(spark, sf), cut).withColumn("rows", F.lit("All pairs"))
+    kept = temporal_sides(temporal_rows(spark, sf), cut).withColumn("rows", F.lit("Without shared units"))
+    return rounded(all_rows.unionByName(kept))
+
+
+SPLIT_SQL = sql("cohort", """SELECT rows, CASE WHEN measyear>=2001 THEN 'Testing' ELSE 'Training' END AS split, count(*) AS conditions, CAST(sum(y) AS BIGINT) AS events, count(DISTINCT unit) AS units,
+  count(DISTINCT cluster) AS clusters, min(measyear) AS year_min, max(measyear) AS year_max, rnd(min(manual),6) AS manual_min, rnd(max(manual),6) AS manual_max,
+  count(*) FILTER (manual>=9) AS late_manual_conditions, rnd(min(interval_years),6) AS interval_min, rnd(max(interval_years),6) AS interval_max, rnd(quantile_cont(interval_years,5e-1),6) AS interval_median,
+  CASE rows WHEN 'All pairs' THEN (SELECT count(*) FROM (SELECT unit FROM cohort GROUP BY unit HAVING bool_or(measyear>=2001) AND bool_or(measyear<2001))) ELSE 0 END AS units_shared
+  FROM (SELECT 'All pairs' AS rows, * FROM cohort UNION ALL SELECT 'Without shared units', * FROM cohort c WHERE measyear>=2001 OR NOT EXISTS (SELECT 1 FROM cohort l WHERE l.unit=c.unit AND l.measyear>=2001))
+  GROUP BY ALL""")
+
+
 def temporal(spark, sf, override=None):
     rows = temporal_rows(spark, sf)
     shared = checks.shared_keys(rows.where("fold=1"), rows.where("fold=0"), "unit")
     if not shared.isEmpty():
         raise checks.AuditFailure("units overlap the temporal split")
+    reconcile.gate_split(temporal_sides(rows, F.col("fold") == 1))
     batch = logistic.fit_batch(rows, "y", TERMS, models(), "fold", (1,))
     return batch, stored(logistic.predict(rows, batch, ("row_id", "unit", "cluster", "y", "seedling_count", "coverage", "sapling_tpa"), "fold",
                                           override=override), "predictions")
@@ -268,9 +295,7 @@ def refit_closed_form(spark, sf):
     return rounded(rescore.intervals(long.withColumnRenamed("series", "model"), ["model", "metric"], "value", R), 5)
 
 
-FOLDS_SQL = _greedy_sql(False)
-_HEAD = FOLDS_SQL[:FOLDS_SQL.rindex("SELECT s.cluster")]
-AUDIT_SQL = _HEAD.rstrip() + f""", {draws_sql(R, SEED)},
+AUDIT_SQL = _FOLDS_HEAD + f""", {draws_sql(R, SEED)},
 cell AS (SELECT c.cluster, g.fold, count(*) AS n, sum(y) AS e FROM cohort c JOIN seq s ON s.cluster=c.cluster JOIN greedy g ON g.i=s.i GROUP BY ALL),
 per AS (SELECT resample, fold, sum(weight*n) AS n, sum(weight*e) AS e FROM cell JOIN mult ON mult.cluster=cell.cluster GROUP BY ALL),
 bad AS (SELECT resample, bool_or(total_e-e<=0 OR total_e-e>=total_n-n) AS lost FROM (SELECT *, sum(n) OVER (PARTITION BY resample) AS total_n, sum(e) OVER (PARTITION BY resample) AS total_e FROM per) GROUP BY resample)
@@ -390,6 +415,37 @@ def influence_diagnostics(spark, sf):
     return rounded(inference.diagnostics(infl, fit).crossJoin(cal).crossJoin(auc))
 
 
+def case_deletion(spark, sf):
+    """Rows that cross a conventional cut of a deletion measure, with what they cross."""
+    rows = t.cohort(spark, sf)
+    fit = logistic.fit_batch(rows, "y", TERMS, {STAGE: Model(tuple(TERMS), 0.0)}).get(STAGE)
+    d = inference.deletion(rows, "y", fit, TERMS, ["row_id"])
+    return rounded(d.where("influential").select("row_id", "leverage", "dffits", "cook", "covariance_ratio", *inference.DELETION_FLAGS))
+
+
+def deletion_summary(spark, sf):
+    """How many rows cross each cut. The leverages of a fit add up to its number of coefficients."""
+    rows = t.cohort(spark, sf)
+    fit = logistic.fit_batch(rows, "y", TERMS, {STAGE: Model(tuple(TERMS), 0.0)}).get(STAGE)
+    d = inference.deletion(rows, "y", fit, TERMS, ["row_id"])
+    return rounded(d.agg(F.count(F.lit(1)).alias("conditions"), F.sum("leverage").alias("sum_leverage"), *[F.count_if(f).alias(f) for f in inference.DELETION_FLAGS],
+                         F.count_if("influential").alias("influential")))
+
+
+SEPARATED = {"Count and design": Model((*_D, "z_seedling_count"), 0.0), "With the outcome's own count": Model(("z_coverage", "z_entrants"), 0.0)}
+
+
+def separation_flags(spark, sf):
+    """Which specifications separate their training sets: one that holds the outcome's own count does."""
+    rows = t.cohort(spark, sf).withColumn("fold", F.col("cluster") % 5 + 1).withColumn("some", (F.col("entrants") > 0).cast("double"))
+    terms = {**TERMS, "z_entrants": ("some", "identity")}
+    return rounded(inference.separation(rows, "y", "fold", (1, 2, 3, 4, 5), SEPARATED, terms))
+
+
+SEP_SQL = sql("cohort", """SELECT model, CAST(f AS INTEGER) AS fold, CASE WHEN slopes=2 THEN 'complete' ELSE 'none' END AS separation, CAST(sum(y) AS BIGINT) AS training_events, rnd(sum(y)/CAST(slopes AS DOUBLE),6) AS events_per_slope
+  FROM cohort, range(1,6) r(f), (VALUES ('Count and design',3),('With the outcome''s own count',2)) x(model,slopes) WHERE cluster%5+1<>f GROUP BY model, slopes, f""")
+
+
 def vif(spark, sf):
     return rounded(inference.variance_inflation(t.cohort(spark, sf), TERMS))
 
@@ -515,6 +571,7 @@ QUERIES = {
     "refit_closed_form": (refit_closed_form, CLOSED_SQL), "policy_bootstrap": (policy_bootstrap, None),
     "incremental_audit": (incremental_audit, None), "glm_odds_ratios": (glm_odds_ratios, None), "nested_models": (nested_models, None), "final_fits": (final_fits, None),
     "spline_comparison": (spline_comparison, None), "candidate_forms": (candidate_forms, None), "type_sensitivity": (type_sensitivity, None),
-    "influence_diagnostics": (influence_diagnostics, None), "vif": (vif, None), "term_choice": (term_choice, None), "effect_band": (effect_band, None),
+    "influence_diagnostics": (influence_diagnostics, None), "case_deletion": (case_deletion, None), "deletion_summary": (deletion_summary, None), "separation_flags": (separation_flags, SEP_SQL),
+    "temporal_split_support": (temporal_split_support, SPLIT_SQL), "vif": (vif, None), "term_choice": (term_choice, None), "effect_band": (effect_band, None),
     "fit_verification": (fit_verification, None), "random_intercept": (random_intercept, None),
 }
