@@ -14,7 +14,7 @@ a band with a probability of about 0.98. Equal lines collapse to one before anyt
 Verification. In each band bucket every line is compared with the smallest line and with its predecessor. Then, for buckets
 whose lines are not one component, the lines outside the bucket's largest component are compared with all lines of other
 components. So every pair of a bucket is compared or is in one component already, and a large group of near copies costs
-links in proportion to its size. Pairs of the second step that cannot be similar are passed over by bounds that lose none: the
+links in proportion to its size. Pairs that cannot be similar are passed over by bounds that lose none: the
 sizes of their sets, and the number of bits in which the parities of the sets' hash counts differ, which is at most the number
 of shingles that only one line has.
 """
@@ -81,13 +81,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return sets.where(common >= F.lit(similarity) * (F.size("s.x") + F.size("s.y") - common) - F.lit(1e-9)).select("a", "b")
 
 
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two bounds leave a pair possible: the sizes of the sets, and the parities that differ."""
+    x, y = F.col(f"{a}size"), F.col(f"{b}size")
+    differ = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in BITS), F.lit(0))
+    return (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - F.lit(1e-6)) & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (x + y) + F.lit(1e-6))
+
+
+def _possible(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the bounds leave."""
+    side = lambda p: prints.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("size", *BITS)])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("a_", "b_", similarity)).select("a", "b")
+
+
 def line_classes(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Two tables: (key, th, at, h1, h2) of all lines, and (h1, h2, key0, th0, at0), for each line text the line that stays."""
     lines = split_lines(docs, key, text)
     lines = lines.select("key", "th", "at", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), "norm")
     low = F.struct(F.col("key").isNull().alias("unknown"), "key", "at", "th")
     once = lines.select("h1", "h2", low.alias("low"), "norm").groupBy("h1", "h2").agg(F.min("low").alias("low"), F.first("norm").alias("norm"))
-    once = once.select("h1", "h2", "low", signature(F.col("norm")).alias("sig"))
+    # 32 bits of each value are enough to tell buckets apart: what meets by chance is verified
+    once = once.select("h1", "h2", "low", F.transform(signature(F.col("norm")), lambda v: F.shiftright(v, 32).cast("int")).alias("sig"))
     once = stored(once.withColumn("id", F.monotonically_increasing_id()), "lines")
     band = F.array(*[F.xxhash64(F.lit(p * 4 + g), *[F.col("sig")[c] for c in cells]) for p, groups in enumerate(GROUPS) for g, cells in enumerate(groups)])
     bands = once.select("id", F.explode(band).alias("band"))
@@ -101,23 +115,20 @@ def line_classes(docs: DataFrame, key: str, text: str, similarity: float = SIMIL
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     per_doc = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("id", "at")).alias("want"))
     found = rows.join(per_doc, (F.col("k").eqNullSafe(F.col("key"))) & (F.col("h") == F.col("th"))).select(F.split("text", "\n").alias("ls"), F.explode("want").alias("w"))
-    texts = stored(found.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("ls", "w.at"))).alias("t")).dropDuplicates(["id"]), "texts")
-    links = stored(_verified(near, texts, similarity), "links")
+    texts = stored(found.select(F.col("w.id").alias("id"), F.lower(F.trim(F.get("ls", "w.at"))).alias("t")).dropDuplicates(["id"]).select("id", "t", parities(F.col("t")).alias("f")), "texts")
+    prints = texts.select("id", "f.*")
+    links = stored(_verified(_possible(near, prints, similarity), texts.select("id", "t"), similarity), "links")
     comp = stored(components(links, "a", "b"), "classes")
     # pairs of a bucket that are still apart
     placed = members.select("band", "id").join(comp, members.id == comp.node, "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     counts = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("kinds"))
     open_ = stored(placed.join(counts.where("kinds > 1"), "band"), "open")
-    prints = texts.join(open_.select("id").distinct(), "id", "left_semi").select("id", parities(F.col("t")).alias("f"))
-    open_ = stored(open_.join(prints.select("id", "f.*"), "id"), "open")
+    open_ = stored(open_.join(prints, "id"), "open")
     minor = open_.where("c <> main").select("band", *[F.col(x).alias(f"o{x}") for x in ("id", "c", "size", *BITS)])
-    total = F.col("size") + F.col("osize")
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"o{x}"))) for x in BITS), F.lit(0))
-    alike = (F.least("size", "osize") >= F.lit(similarity) * F.greatest("size", "osize") - F.lit(1e-6)) & (
-        differ <= F.lit((1 - similarity) / (1 + similarity)) * total + F.lit(1e-6))
+    alike = _alike("o", "", similarity)
     rest = minor.join(open_, "band").where((F.col("c") != F.col("oc")) & ((F.col("c") == F.col("main")) | (F.col("oid") < F.col("id"))) & alike)
     rest = rest.select(F.least("oid", "id").alias("a"), F.greatest("oid", "id").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, texts, similarity), "links")
+    more = stored(_verified(rest, texts.select("id", "t"), similarity), "links")
     comp = stored(components(links.unionAll(more), "a", "b"), "classes")
     least = comp.join(once.select("id", "low"), comp.node == F.col("id")).groupBy("component").agg(F.min("low").alias("low0"))
     kept = once.join(comp.join(least, "component").select(F.col("node").alias("id"), "low0"), "id", "left").select("h1", "h2", F.coalesce("low0", "low").alias("low"))
