@@ -11,6 +11,7 @@ from ..functions.scalar import at_most, count_when, in_codes, near, ratio, sum_o
 from ..functions.states import COMPARABLE_FATES, first_label, linked_fate, outcome_where, record_class, size_window
 from ..settings import DEFAULTS, Settings
 from .links import BASELINE, CURRENT, PAIR
+from .ordered import exact_quantiles
 
 REASONS = ("Source pair ineligible", "Design or remeasurement protocol", "Seedling count discrepancy",
            "Shared subplot sampling unresolved", "Subplot predecessor mismatch", "Microplot frame discrepancy",
@@ -184,3 +185,57 @@ def tagged_fates(pairs: DataFrame, stems: DataFrame, target, cfg: Settings = DEF
         outcome_where(c("fate_eligible"), alive.cast("int")).alias("outcome_survival"),
         (c("fate") == "Alive; reached 5 inches").alias("reached_tree_size"),
         outcome_where(c("fate_eligible") & alive, (c("followup_dia") - c("dia")) / c("interval_years")).alias("annual_diameter_increment"))
+
+
+def feasibility_metrics(pairs: DataFrame, stems: DataFrame, target, cfg: Settings = DEFAULTS) -> DataFrame:
+    """(metric, value): what a cohort of condition pairs offers for a study of new and of tagged small stems.
+
+    ``pairs`` has the four keys, ``plot``, ``cluster``, ``transition``, ``detected``, ``sapling_present`` and ``interval_years``. Stems
+    are reduced to one row a pair before anything is counted; a link that is missing never counts as a death.
+    """
+    c = F.col
+    before, after = ["baseline_plt_cn", "baseline_condid"], ["current_plt_cn", "current_condid"]
+    small = (c("dia") >= cfg.sapling_min_dia) & (c("dia") < cfg.tree_min_dia)
+    live = surely((c("spcd") == target) & (c("statuscd") == 1))
+    now = stems.select(c("plt_cn").alias(after[0]), c("condid").alias(after[1]), "statuscd", "spcd", "dia", "reconcilecd", "prev_tre_cn")
+    seen = now.join(pairs.select(*after), after).groupBy(*after).agg(
+        F.count(F.lit(1)).alias("trees"), F.count_if(surely(c("statuscd") == 1)).alias("live"), F.count_if(surely(live & small)).alias("saplings"),
+        F.count_if(surely(live & small & (c("reconcilecd") == 1) & c("prev_tre_cn").isNull())).alias("new"))
+    base = stems.where(live & small).select(c("plt_cn").alias(before[0]), c("condid").alias(before[1]), "tree_cn", c("dia").alias("dia0"))
+    base = base.join(pairs.select(*before, *after, "interval_years"), before)
+    nxt = stems.select(c("prev_tre_cn").alias("tree_cn"), c("plt_cn").alias(after[0]), c("condid").alias("cond1"), c("statuscd").alias("status1"), c("spcd").alias("sp1"), c("dia").alias("dia1"),
+                       F.lit(True).alias("linked"))
+    fate = base.join(nxt.where(c("tree_cn").isNotNull()), ["tree_cn", after[0]], "left")
+    alive = surely(c("status1") == 1)
+    flags = {"tagged": F.lit(True), "unlinked": c("linked").isNull(), "elsewhere": surely(c("cond1") != c(after[1])), "alive": alive, "dead": surely(c("status1") == 2),
+             "removed": surely(c("status1") == 3), "gone": surely(c("status1") == 0), "reidentified": alive & surely(c("sp1") != target), "grown": alive & surely(c("dia1") >= cfg.tree_min_dia),
+             "shrunk": alive & surely(c("dia1") < c("dia0")), "same": alive & surely(c("dia1") == c("dia0"))}
+    stems_of = fate.groupBy(*after).agg(*[F.count_if(p).alias(n) for n, p in flags.items()])
+    d = pairs.join(seen, after, "left").join(stems_of, after, "left").fillna(0, ["saplings", "new", *flags])
+    lost = c("sapling_present") & (c("saplings") == 0)
+    grew = fate.where(alive).select(((c("dia1") - c("dia0")) / c("interval_years")).alias("v"))
+
+    def conditions(p):
+        return F.count_if(surely(p)).cast("double")
+
+    def distinct(x, p):
+        return F.countDistinct(F.when(surely(p), c(x))).cast("double")
+
+    def total(x, p=None):
+        return F.coalesce(F.sum(c(x) if p is None else F.when(surely(p), c(x))), F.lit(0)).cast("double")
+
+    new, some = c("new") > 0, c("tagged") > 0
+    metrics = {
+        "Condition intervals": F.count(F.lit(1)).cast("double"), "Physical plots": F.countDistinct("plot").cast("double"), "Baseline detections": conditions(c("detected") == 1),
+        "New saplings": total("new"), "Conditions with new saplings": conditions(new), "Clusters with new saplings": distinct("cluster", new),
+        "Conditions with new saplings and baseline detection": conditions(new & (c("detected") == 1)), "Loss conditions with new saplings": conditions(new & (c("transition") == "Loss")),
+        "Tagged saplings": total("tagged"), "Conditions with tagged saplings": conditions(some), "Plots with tagged saplings": distinct("plot", some),
+        "Unlinked saplings": total("unlinked"), "Linked on another condition": total("elsewhere"), "Recorded alive": total("alive"), "Recorded dead": total("dead"),
+        "Recorded removed": total("removed"), "No longer in the sample": total("gone"), "Survivors of another species": total("reidentified"), "Survivors grown to trees": total("grown"),
+        "Sapling losses": conditions(lost), "Sapling losses with a grown survivor": conditions(lost & (c("grown") > 0)), "Grown survivors in sapling losses": total("grown", lost),
+        "Sapling losses with another species": conditions(lost & (c("reidentified") > 0)), "Survivors that shrank": total("shrunk"), "Survivors of the same size": total("same"),
+        "Visits without live stems": conditions((c("trees") > 0) & (c("live") == 0))}
+    wide = d.agg(*[e.alias(f"m{i}") for i, e in enumerate(metrics.values())])
+    middle = exact_quantiles(grew, [], "v", {"q": 0.5}).agg(F.max("q").alias(f"m{len(metrics)}"))
+    names = [*metrics, "Median yearly growth of survivors"]
+    return wide.crossJoin(middle).select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"m{i}").alias("value")) for i, n in enumerate(names)])))

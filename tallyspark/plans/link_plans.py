@@ -435,6 +435,38 @@ FEAS_SQL = sql("links tagged", f"""SELECT CASE WHEN n.tree_cn IS NULL THEN 'Unli
   LEFT JOIN tagged n ON n.prev_tre_cn=b.tree_cn AND n.plt_cn=k.current_plt_cn WHERE b.statuscd=1 AND b.spcd='F' AND b.dia>=1 AND b.dia<5 GROUP BY ALL""")
 
 
+def feasibility_metrics(spark, sf):
+    """What the strict condition pairs of the current evaluation offer for a study of new and of tagged saplings."""
+    u = t.units(spark, sf).select(F.col("unit").alias("plot"), "cluster")
+    p = analysed(spark, sf).where("primary_pair_eligible").select(*KEYS, F.col("physical_plot_key").alias("plot"), F.col("seedling_transition").alias("transition"),
+                                                                  F.col("baseline_seedling_detected").alias("detected"), F.col("baseline_maple_sapling_present").alias("sapling_present"), "interval_years")
+    return rounded(endpoint.feasibility_metrics(p.join(u, "plot", "left"), t.tagged_stems(spark, sf), "F"))
+
+
+FMET_SQL = sql(LT + " units tagged", """SELECT metric, CAST(rnd(value,6) AS DOUBLE) AS value FROM (SELECT count(*) AS a1, count(DISTINCT plot) AS a2, count(*) FILTER (detected=1) AS a3, sum(fresh) AS a4, count(*) FILTER (fresh>0) AS a5,
+  count(DISTINCT cluster) FILTER (fresh>0) AS a6, count(*) FILTER (fresh>0 AND detected=1) AS a7, count(*) FILTER (fresh>0 AND transition='Loss') AS a8, sum(tagged) AS a9, count(*) FILTER (tagged>0) AS a10,
+  count(DISTINCT plot) FILTER (tagged>0) AS a11, sum(unlinked) AS a12, sum(elsewhere) AS a13, sum(alive) AS a14, sum(dead) AS a15, sum(removed) AS a16, sum(gone) AS a17, sum(other) AS a18, sum(grown) AS a19,
+  count(*) FILTER (lost) AS a20, count(*) FILTER (lost AND grown>0) AS a21, coalesce(sum(grown) FILTER (lost),0) AS a22, count(*) FILTER (lost AND other>0) AS a23, sum(shrunk) AS a24, sum(same) AS a25,
+  count(*) FILTER (trees>0 AND live=0) AS a26, (SELECT quantile_cont((dia1-dia0)/interval_years,5e-1) FROM fate WHERE status1=1) AS a27 FROM (SELECT *, sapling_present AND saplings=0 AS lost FROM full_pairs)),
+  LATERAL (VALUES ('Condition intervals',a1),('Physical plots',a2),('Baseline detections',a3),('New saplings',a4),('Conditions with new saplings',a5),('Clusters with new saplings',a6),
+  ('Conditions with new saplings and baseline detection',a7),('Loss conditions with new saplings',a8),('Tagged saplings',a9),('Conditions with tagged saplings',a10),('Plots with tagged saplings',a11),
+  ('Unlinked saplings',a12),('Linked on another condition',a13),('Recorded alive',a14),('Recorded dead',a15),('Recorded removed',a16),('No longer in the sample',a17),('Survivors of another species',a18),
+  ('Survivors grown to trees',a19),('Sapling losses',a20),('Sapling losses with a grown survivor',a21),('Grown survivors in sapling losses',a22),('Sapling losses with another species',a23),
+  ('Survivors that shrank',a24),('Survivors of the same size',a25),('Visits without live stems',a26),('Median yearly growth of survivors',a27)) x(metric,value)""", LONG + """,
+prs AS (SELECT l.baseline_plt_cn, l.baseline_condid, l.current_plt_cn, l.current_condid, physical_plot_key AS plot, cluster, seedling_transition AS transition, baseline_seedling_detected AS detected,
+  baseline_maple_sapling_present AS sapling_present, interval_years FROM long l LEFT JOIN units u ON u.unit=l.physical_plot_key WHERE primary_pair_eligible),
+fate AS (SELECT p.current_plt_cn, p.current_condid, p.interval_years, b.dia AS dia0, n.tree_cn AS tree1, n.condid AS cond1, n.statuscd AS status1, n.spcd AS sp1, n.dia AS dia1 FROM prs p
+  JOIN tagged b ON b.plt_cn=p.baseline_plt_cn AND b.condid=p.baseline_condid AND b.spcd='F' AND b.statuscd=1 AND b.dia>=1 AND b.dia<5
+  LEFT JOIN tagged n ON n.prev_tre_cn=b.tree_cn AND n.plt_cn=p.current_plt_cn),
+full_pairs AS (SELECT p.*, s.trees, s.live, coalesce(s.saplings,0) AS saplings, coalesce(s.fresh,0) AS fresh, coalesce(f.tagged,0) AS tagged, coalesce(f.unlinked,0) AS unlinked, coalesce(f.elsewhere,0) AS elsewhere,
+   coalesce(f.alive,0) AS alive, coalesce(f.dead,0) AS dead, coalesce(f.removed,0) AS removed, coalesce(f.gone,0) AS gone, coalesce(f.other,0) AS other, coalesce(f.grown,0) AS grown, coalesce(f.shrunk,0) AS shrunk, coalesce(f.same,0) AS same
+  FROM prs p LEFT JOIN (SELECT plt_cn, condid, count(*) AS trees, count(*) FILTER (statuscd=1) AS live, count(*) FILTER (spcd='F' AND statuscd=1 AND dia>=1 AND dia<5) AS saplings,
+    count(*) FILTER (spcd='F' AND statuscd=1 AND dia>=1 AND dia<5 AND reconcilecd=1 AND prev_tre_cn IS NULL) AS fresh FROM tagged GROUP BY ALL) s ON s.plt_cn=p.current_plt_cn AND s.condid=p.current_condid
+  LEFT JOIN (SELECT current_plt_cn, current_condid, count(*) AS tagged, count(*) FILTER (tree1 IS NULL) AS unlinked, count(*) FILTER (cond1<>current_condid) AS elsewhere, count(*) FILTER (status1=1) AS alive,
+    count(*) FILTER (status1=2) AS dead, count(*) FILTER (status1=3) AS removed, count(*) FILTER (status1=0) AS gone, count(*) FILTER (status1=1 AND sp1<>'F') AS other, count(*) FILTER (status1=1 AND dia1>=5) AS grown,
+    count(*) FILTER (status1=1 AND dia1<dia0) AS shrunk, count(*) FILTER (status1=1 AND dia1=dia0) AS same FROM fate GROUP BY ALL) f ON f.current_plt_cn=p.current_plt_cn AND f.current_condid=p.current_condid)""")
+
+
 def transition_overlap(spark, sf):
     d = endpoint_rows(spark, sf)
     return d.groupBy("recruitment_eligible", "seedling_transition").agg(
@@ -490,7 +522,7 @@ QUERIES = {
     "fates": (fates, FATES_SQL),
     "fate_growth": (fate_growth, GROWTH_SQL),
     "fate_groups": (fate_groups, FGROUP_SQL),
-    "feasibility_audit": (feasibility_audit, FEAS_SQL),
+    "feasibility_audit": (feasibility_audit, FEAS_SQL), "feasibility_metrics": (feasibility_metrics, FMET_SQL),
     "transition_overlap": (transition_overlap, TOVER_SQL),
     "protocol_codes": (protocol_codes, PCODE_SQL),
     "opportunity_census": (opportunity_census, CENSUS_SQL),
