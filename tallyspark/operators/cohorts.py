@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import c, in_codes, plain_name
+from ..functions.scalar import c, in_codes, is_finite, plain_name, surely
 from ..session import broadcast_if_small
-from .checks import AuditFailure, exactly_one, gate_unique
+from .checks import AuditFailure, exactly_one, gate_rules, gate_unique, require_columns
+from .ordered import numbered
 
 
 def resolve_evaluation(evaluations: DataFrame, end: str, ident: str, pinned=None):
@@ -98,3 +99,24 @@ def stacked(parts: Mapping[str, DataFrame], label: str) -> DataFrame:
     if not parts:
         raise AuditFailure("nothing to stack")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select(F.lit(name).alias(label), "*") for name, df in parts.items()])
+
+
+def model_ready(rows: DataFrame, eligible: Column, y: str, predictors: Sequence[str], share: str, interval: str, counts: Sequence[str] = (), detected: Mapping[str, str] | None = None,
+                order: Sequence[str] = ("row_id",), tolerance: float = 1e-8) -> DataFrame:
+    """The eligible rows as a modelling cohort, numbered in ``audit_row``; whatever would drop or bend a row later is an error.
+
+    Required fields are present, the outcome is 0 or 1, predictors are finite and not negative, the sampled share lies in (0, 1.01],
+    intervals are positive, counts are whole, and a detection flag (count -> flag) agrees with its count. All rules are counted in
+    one pass over the rows.
+    """
+    required = list(dict.fromkeys([y, *predictors, share, interval, *counts, *order]))
+    require_columns(rows, required, "modelling rows")
+    d = rows.where(surely(eligible))
+    rules = {f"{x} missing": F.col(x).isNull() for x in required}
+    rules[f"{y} not binary"] = ~F.col(y).isin(0, 1)
+    rules |= {f"{x} not finite or negative": ~is_finite(x) | (F.col(x) < 0) for x in predictors}
+    rules |= {f"{share} outside its frame": (F.col(share) <= 0) | (F.col(share) > 1.01), f"{interval} not positive": F.col(interval) <= 0}
+    rules |= {f"{x} not whole": F.abs(F.col(x) - F.round(F.col(x).cast("double"))) > tolerance for x in counts}
+    rules |= {f"{flag} contradicts {x}": (F.col(x) > 0) != F.col(flag).cast("boolean") for x, flag in (detected or {}).items()}
+    gate_rules(d, rules, "modelling cohort")
+    return numbered(d, list(order), "audit_row")

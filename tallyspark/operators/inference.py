@@ -69,6 +69,20 @@ def odds_ratios(spark: SparkSession, fit: Fit, robust: np.ndarray, level: float
                                        "conf_low double, conf_high double, robust_z double, robust_p double, adjusted_p double")
 
 
+def wald_odds(spark: SparkSession, fits: Sequence[Fit], term: str, level: float = 0.95) -> DataFrame:
+    """(model, focal odds ratio, interval, p) of one term in each fit, per standard deviation of its training rows; NULL where a fit
+    lacks the term."""
+    z, rows = normal_quantile(level), []
+    for f in fits:
+        if term not in f.terms:
+            rows.append((f.model, None, None, None, None))
+            continue
+        i = 1 + f.terms.index(term)
+        b, se = float(f.beta[i]), float(math.sqrt(f.covariance[i, i]))
+        rows.append((f.model, math.exp(b), math.exp(b - z * se), math.exp(b + z * se), normal_two_sided_p(b / se)))
+    return spark.createDataFrame(rows, "model string, focal_odds_ratio double, focal_conf_low double, focal_conf_high double, focal_p double")
+
+
 def compare_models(spark: SparkSession, batch: FitBatch, order: Sequence[str], nested: bool = True) -> DataFrame:
     """Log-likelihood, AIC and, for a nested sequence, likelihood-ratio tests against the previous model."""
     fits = [batch.get(m) for m in order]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import logit
-from ..operators import checks, folds, inference, logistic, ranking, reconcile, resample, rescore, summaries
+from ..operators import checks, cohorts, folds, inference, logistic, ranking, reconcile, resample, rescore, summaries
 from ..operators.logistic import Model
 from ..session import stored
 from ..settings import DEFAULTS
@@ -115,25 +115,37 @@ def crossfit_diagnostics(spark, sf):
     return rounded(batch.diagnostics(spark).drop("max_gradient"))
 
 
+POPULATIONS = {"All pairs": "true", "Baseline seedlings detected": "seedling_count > 0"}
+# cohort filter and penalty of each sensitivity analysis; folds stay as they are
+SENSITIVITIES = {"Whole coverage": ("coverage = 1", 1.0), "Follow-up manual at least 9": ("manual >= 9", 1.0), "Long interval": ("interval_years >= 0.25", 1.0),
+                 "Manual at least 6": ("manual >= 6", 1.0), "Ridge penalty 4": ("true", 4.0), "Unpenalised": ("true", 0.0)}
+
+
+def model_cohort(spark, sf):
+    """The cohort that every model uses, numbered, after all rules on its fields hold."""
+    d = t.cohort(spark, sf).withColumn("seedling_detected", F.col("seedling_count") > 0)
+    ready = cohorts.model_ready(d, F.lit(True), "y", ("seedling_count", "sapling_tpa", "established_ba", "coverage", "interval_years"), "coverage", "interval_years",
+                                ("seedling_count",), {"seedling_count": "seedling_detected"}, ("unit", "row_id"))
+    return ready.select("audit_row", "unit", "row_id", "y")
+
+
+COHORT_SQL = sql("cohort", "SELECT row_number() OVER (ORDER BY unit, row_id) AS audit_row, unit, row_id, y FROM cohort")
+
+
 def sensitivity_suite(spark, sf):
-    """Cohort filters and penalties on the fixed folds; analyses that fail become rows, not errors."""
+    """Cohort filters and penalties on the fixed folds, for both populations; analyses that fail become rows, not errors."""
     f = folded(spark, sf)
-    out = None
-    for label, rows, lam in (("Long interval", f.where("interval_years >= 0.25"), 1.0), ("Manual at least 6", f.where("manual >= 6"), 1.0),
-                             ("Ridge penalty 4", f, 4.0), ("Unpenalised", f, 0.0)):
-        try:
-            _, p = crossfit(rows, lam)
-        except logistic.IncompletePredictions as e:
-            failed = len(e.batch.fits) - len(e.batch.done())
-            m = spark.createDataFrame([(label, float(lam), n, failed) for n in SPECS], "sensitivity string, penalty double, model string, failed_fits int").select(
-                "sensitivity", "penalty", "model", *[F.lit(None).cast("long").alias(x) for x in ("observations", "events")],
-                *[F.lit(None).cast("double").alias(x) for x in ("brier_score", "roc_auc")], "failed_fits")
-            out = m if out is None else out.unionByName(m)
-            continue
-        m = ranking.model_metrics(p, ["model"]).select(F.lit(label).alias("sensitivity"), F.lit(lam).alias("penalty"), "model", "observations", "events", "brier_score",
-                                                       "roc_auc", F.lit(0).alias("failed_fits"))
-        out = m if out is None else out.unionByName(m)
-    return rounded(out)
+    parts = {}
+    for population, who in POPULATIONS.items():
+        for label, (kept, lam) in SENSITIVITIES.items():
+            try:
+                _, p = crossfit(f.where(who).where(kept), lam)
+                m = ranking.model_metrics(p, ["model"]).select("model", "observations", "events", "brier_score", "roc_auc", F.lit(0).alias("failed_fits"))
+            except logistic.IncompletePredictions as e:
+                failed = len(e.batch.fits) - len(e.batch.done())
+                m = spark.createDataFrame([(n, failed) for n in SPECS], "model string, failed_fits int")
+            parts[f"{population}|{label}"] = m.withColumns({"population": F.lit(population), "sensitivity": F.lit(label), "penalty": F.lit(lam)})
+    return rounded(cohorts.stacked(parts, "analysis").drop("analysis"))
 
 
 LATER = 2001  # first year of the later period
@@ -403,7 +415,9 @@ def type_sensitivity(spark, sf):
     b = logistic.fit_batch(rows, "y", terms, {"Primary": Model(tuple(TERMS), 0), "Type indicators": Model(tuple(terms), 0)})
     core = logistic.fit_batch(rows.where(F.col("kind") == kinds[0]), "y", TERMS, {"Restricted to one type": Model(tuple(TERMS), 0)})
     a = inference.compare_models(spark, b, ["Primary", "Type indicators"])
-    return rounded(a.unionByName(inference.compare_models(spark, core, ["Restricted to one type"])))
+    a = a.unionByName(inference.compare_models(spark, core, ["Restricted to one type"]))
+    focal = inference.wald_odds(spark, [b.get("Primary"), b.get("Type indicators"), core.get("Restricted to one type")], "z_seedling_count")
+    return rounded(a.join(focal, "model"))
 
 
 def influence_diagnostics(spark, sf):
@@ -570,7 +584,7 @@ QUERIES = {
     "common_horizon": (common_horizon, None), "refit_bootstrap": (refit_bootstrap, None), "refit_paired": (refit_paired, None), "refit_audit": (refit_audit, AUDIT_SQL), "refit_failures": (refit_failures, None),
     "refit_closed_form": (refit_closed_form, CLOSED_SQL), "policy_bootstrap": (policy_bootstrap, None),
     "incremental_audit": (incremental_audit, None), "glm_odds_ratios": (glm_odds_ratios, None), "nested_models": (nested_models, None), "final_fits": (final_fits, None),
-    "spline_comparison": (spline_comparison, None), "candidate_forms": (candidate_forms, None), "type_sensitivity": (type_sensitivity, None),
+    "spline_comparison": (spline_comparison, None), "candidate_forms": (candidate_forms, None), "type_sensitivity": (type_sensitivity, None), "model_cohort": (model_cohort, COHORT_SQL),
     "influence_diagnostics": (influence_diagnostics, None), "case_deletion": (case_deletion, None), "deletion_summary": (deletion_summary, None), "separation_flags": (separation_flags, SEP_SQL),
     "temporal_split_support": (temporal_split_support, SPLIT_SQL), "vif": (vif, None), "term_choice": (term_choice, None), "effect_band": (effect_band, None),
     "fit_verification": (fit_verification, None), "random_intercept": (random_intercept, None),

@@ -77,3 +77,22 @@ def test_eight_metrics(spark):
     top = sorted(rows, key=lambda x: (-x[4], x[0]))[:25]
     hits, events = sum(x[3] for x in top), sum(x[3] for x in rows)
     assert (g.top_events, g.top_fraction, g.top_no_event_fraction, g.top_capture_fraction) == pytest.approx((hits, hits / 25, 1 - hits / 25, hits / events))
+
+
+def test_model_cohort(spark):
+    good = [(2, 1, 0, 3.0, 0.5, 2.0, True), (1, 1, 1, 0.0, 1.0, 5.0, False), (3, 0, None, None, None, None, None)]
+    kind = "row_id int, eligible int, y int, n double, share double, years double, seen boolean"
+
+    def ready(rows):
+        d = spark.createDataFrame(rows, kind)
+        return cohorts.model_ready(d, F.col("eligible") == 1, "y", ("n", "share", "years"), "share", "years", ("n",), {"n": "seen"})
+
+    assert [(r.audit_row, r.row_id) for r in ready(good).orderBy("audit_row").collect()] == [(1, 1), (2, 2)]
+    faults = [((9, 1, 2, 1.0, 0.5, 1.0, True), "binary"), ((9, 1, None, 1.0, 0.5, 1.0, True), "y missing"), ((9, 1, 1, -1.0, 0.5, 1.0, False), "negative"),
+              ((9, 1, 1, float("inf"), 0.5, 1.0, True), "finite"), ((9, 1, 1, 1.5, 0.5, 1.0, True), "whole"), ((9, 1, 1, 1.0, 1.2, 1.0, True), "frame"),
+              ((9, 1, 1, 1.0, 0.5, 0.0, True), "positive"), ((9, 1, 1, 1.0, 0.5, 1.0, False), "contradicts")]
+    for row, word in faults:
+        with pytest.raises(AuditFailure, match=word):
+            ready([*good, row])
+    with pytest.raises(AuditFailure):
+        cohorts.model_ready(spark.createDataFrame(good, kind).drop("n"), F.lit(True), "y", ("n",), "share", "years")
