@@ -79,6 +79,7 @@ def linked_fate(linked: Col, status: Col, species: Col, dia: Col, target, low: f
 def tracked_fate(linked: Col, status: Col, dia: Col, low: float = 1.0, high: float = 5.0) -> Column:
     """Earlier feasibility variant of the fate: species identity is reported apart from it."""
     s, d = c(status), c(dia)
+    # fixed values: the published labels
     return first_label([
         (c(linked).isNull(), "Unlinked; unresolved"),
         (s == 0, "No longer in sample; reconcile separately"),

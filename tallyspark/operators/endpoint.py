@@ -13,6 +13,7 @@ from ..settings import DEFAULTS, Settings
 from .links import BASELINE, CURRENT, PAIR
 from .ordered import exact_quantiles
 
+# fixed values: the published reasons in their order, and the fields that are zero where nothing was tallied
 REASONS = ("Source pair ineligible", "Design or remeasurement protocol", "Seedling count discrepancy",
            "Shared subplot sampling unresolved", "Subplot predecessor mismatch", "Microplot frame discrepancy",
            "Recruit outside shared microplots", "Ambiguous new live sapling", "Included", "Unresolved eligibility")

@@ -124,17 +124,15 @@ def longitudinal_analysis(pairs: DataFrame, unit: DataFrame, forest_codes: Seque
                     outcome_where(before == 0, after).alias("seedling_detection_appearance"))
 
 
-def longitudinal_steps() -> list[tuple[str, Column]]:
+def longitudinal_steps(cfg: Settings = DEFAULTS) -> list[tuple[str, Column]]:
+    """The nested screens of a linked pair, the last one named after the overlap that the configuration asks for."""
     c = F.col
     a = c("baseline_comparable")
     b = a & c("baseline_established_maple")
     d = b & c("strict_one_to_one")
-    return [("Positive microplot condition links in the current evaluation", F.lit(True)),
-            ("Baseline sampled northern-hardwood conditions", a),
-            ("Baseline conditions with established sugar maple", b),
-            ("Bidirectional one-to-one condition mapping", d),
-            ("Comparable accessible-forest follow-up", d & c("followup_comparable")),
-            ("At least 90% shared microplot footprint and positive interval", c("primary_pair_eligible"))]
+    return [("Links with a positive share", F.lit(True)), ("Comparable condition at the start", a), ("Established target stems at the start", b),
+            ("One to one in both directions", d), ("Comparable condition at the follow-up", d & c("followup_comparable")),
+            (f"At least {cfg.minimum_overlap:.0%} of the frame shared, positive interval", c("primary_pair_eligible"))]
 
 
 def mapping_audit(pairs: DataFrame) -> DataFrame:
@@ -156,6 +154,7 @@ def mapping_audit(pairs: DataFrame) -> DataFrame:
     only = pairs.where(strict)
     for name, col in (("m8", "baseline_overlap_fraction"), ("m10", "followup_overlap_fraction")):
         wide = wide.crossJoin(exact_quantiles(only, [], col, {name: 0.5}))
+    # fixed values: the published names of these metrics
     return long_metrics(wide, {
         "Candidate pair rows": "m0", "Bidirectional one-to-one pair rows": "m1", "Baseline split pair rows": "m2",
         "Follow-up merge pair rows": "m3", "Broken baseline condition references": "m4",

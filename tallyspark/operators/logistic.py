@@ -347,47 +347,78 @@ def predict(rows: DataFrame, batch: FitBatch, keep_columns: Sequence[str], fold:
     return x.select(*keep_columns, "resample", "fold", "model", *(["weight"] if weights is not None else []), logistic(eta).alias("p"))
 
 
+def _newton_step(problem: dict, objective: float, gradient: np.ndarray, information: np.ndarray, tolerance: float) -> None:
+    """One damped step of a small problem: a step that made things worse is halved, a small gradient ends it."""
+    if not objective <= problem["old"] + 1e-12 * abs(problem["old"]):
+        problem["rate"] /= 2
+        problem["at"] = problem["from"] - problem["rate"] * problem["step"]
+        problem["live"] = problem["rate"] > 2**-20
+        return
+    if np.max(np.abs(gradient)) <= tolerance:
+        # a separated sample has a small gradient too, far out, where the information vanishes
+        spread = np.diag(np.linalg.pinv(information)) if np.all(np.isfinite(information)) else np.array([np.inf])
+        problem.update(live=False, result=problem["at"] if np.linalg.det(information) > 0 and np.max(spread) < 1e6 else None)
+        return
+    if not np.all(np.isfinite(information)) or np.linalg.det(information) <= 0:
+        problem["live"] = False
+        return
+    step = np.linalg.solve(information, gradient)
+    problem.update({"from": problem["at"], "step": step, "rate": 1.0, "old": objective, "at": problem["at"] - step})
+
+
 def calibration(scored: DataFrame, groups: Sequence[str], y: str = "y", p: str = "p", w: str | None = None, eps: float = 1e-12,
-                passes: int = 50) -> DataFrame:
+                passes: int = 200) -> DataFrame:
     """Calibration intercept and slope (joint), and intercept with the slope fixed at one, per group.
 
-    Rows collapse to distinct (group, p); each Newton step of all groups is one aggregate over those.
+    Rows collapse to distinct (group, p); each damped Newton step of all groups is one aggregate over those. What has not settled,
+    or has no finite answer, is NULL: a last iterate is no result.
     """
     k = F.col(w) if w else F.lit(1)
     ties = keep(scored.groupBy(*groups, p).agg(F.sum(k).cast("double").alias("w"), F.sum(k * F.col(y)).cast("double").alias("t")).select(
         *groups, logit(p, eps).alias("x"), "w", "t"))
     spark = scored.sparkSession
+
+    def fresh(start, live):
+        return {"at": np.array(start), "old": np.inf, "live": live, "result": None, "rate": 1.0}
+
     try:
-        head = ties.groupBy(*groups).agg(F.sum("w").alias("w"), F.sum("t").alias("t"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        state = {tuple(r[g] for g in groups): {"r": r, "a": 0.0, "b": 1.0, "c": 0.0, "live": 0 < r["t"] < r["w"], "two": r["lo"] < r["hi"]} for r in head}
+        head = ties.groupBy(*groups).agg(F.sum("w").alias("w"), F.sum("t").alias("t"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                       F.avg(F.col("w") * F.col("x")).alias("wx"), F.avg("w").alias("aw")).collect()
+        state = {}
+        for r in head:
+            both = 0 < r["t"] < r["w"]
+            # from the base rate, where the likelihood curves: a start at slope one may lie on a plateau
+            base = float(np.log(r["t"] / (r["w"] - r["t"]))) if both else 0.0
+            state[tuple(r[g] for g in groups)] = {"tolerance": 1e-9 * max(1.0, r["w"]), "joint": fresh([base, 0.0], both and r["lo"] < r["hi"]),
+                                                  "offset": fresh([base - r["wx"] / r["aw"]], both)}
         types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ties.schema if f.name in groups)
         for _ in range(passes):
-            live = [(*g, s["a"], s["b"], s["c"]) for g, s in state.items() if s["live"]]
+            live = [(*g, *map(float, s["joint"]["at"]), float(s["offset"]["at"][0])) for g, s in state.items() if s["joint"]["live"] or s["offset"]["live"]]
             if not live:
                 break
             beta = F.broadcast(spark.createDataFrame(live, f"{types}{', ' if groups else ''}a double, b double, c double"))
             j = ties.join(beta, list(groups)) if groups else ties.crossJoin(beta)
-            q = logistic(F.col("a") + F.col("b") * F.col("x"))
-            r = logistic(F.col("c") + F.col("x"))
-            j = j.select("*", q.alias("q"), r.alias("r"))
-            v, x, d = F.col("w") * F.col("q") * (1 - F.col("q")), F.col("x"), F.col("w") * F.col("q") - F.col("t")
-            sums = {"g0": d, "g1": d * x, "h00": v, "h01": v * x, "h11": v * x * x, "gc": F.col("w") * F.col("r") - F.col("t"),
+            x = F.col("x")
+            j = j.withColumn("ej", F.col("a") + F.col("b") * x).withColumn("eo", F.col("c") + x)
+            j = j.withColumn("q", logistic("ej")).withColumn("r", logistic("eo"))
+
+            def loss(eta):
+                e = F.col(eta)
+                return F.col("w") * (F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))) - F.col("t") * e
+
+            v, d = F.col("w") * F.col("q") * (1 - F.col("q")), F.col("w") * F.col("q") - F.col("t")
+            sums = {"lj": loss("ej"), "g0": d, "g1": d * x, "h00": v, "h01": v * x, "h11": v * x * x, "lo": loss("eo"), "gc": F.col("w") * F.col("r") - F.col("t"),
                     "hc": F.col("w") * F.col("r") * (1 - F.col("r"))}
             for row in j.groupBy(*groups).agg(*[F.sum(e).alias(n) for n, e in sums.items()]).collect():
                 s = state[tuple(row[g] for g in groups)]
-                moved = abs(row["gc"])
-                s["c"] -= row["gc"] / row["hc"]
-                if s["two"]:
-                    det = row["h00"] * row["h11"] - row["h01"] ** 2
-                    if det <= 0:
-                        s.update(two=False)
-                    else:
-                        s["a"] -= (row["h11"] * row["g0"] - row["h01"] * row["g1"]) / det
-                        s["b"] -= (row["h00"] * row["g1"] - row["h01"] * row["g0"]) / det
-                        moved = max(moved, abs(row["g0"]), abs(row["g1"]))
-                s["live"] = moved > 1e-9 * max(1.0, s["r"]["w"])
-        out = [(*g, s["a"] if ok and s["two"] else None, s["b"] if ok and s["two"] else None, s["c"] if ok else None)
-               for g, s in state.items() for ok in (0 < s["r"]["t"] < s["r"]["w"],)]
+                if s["joint"]["live"]:
+                    _newton_step(s["joint"], row["lj"], np.array([row["g0"], row["g1"]]), np.array([[row["h00"], row["h01"]], [row["h01"], row["h11"]]]), s["tolerance"])
+                if s["offset"]["live"]:
+                    _newton_step(s["offset"], row["lo"], np.array([row["gc"]]), np.array([[row["hc"]]]), s["tolerance"])
+        out = []
+        for g, s in state.items():
+            joint, offset = (s[x]["result"] for x in ("joint", "offset"))
+            out.append((*g, *((None, None) if joint is None else map(float, joint)), None if offset is None else float(offset[0])))
         return spark.createDataFrame(out, f"{types}{', ' if groups else ''}calibration_intercept double, calibration_slope double, offset_intercept double")
     finally:
         ties.unpersist()

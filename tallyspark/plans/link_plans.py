@@ -199,7 +199,7 @@ TRANSITION_SQL = sql(LT, """SELECT seedling_transition, conditions, baseline_sta
 
 
 def longitudinal_flow(spark, sf):
-    return checks.flow(analysed(spark, sf), links.longitudinal_steps(),
+    return checks.flow(analysed(spark, sf), links.longitudinal_steps(CFG),
                        {"baseline_conditions": KEYS[:2], "followup_conditions": KEYS[2:], "physical_plots": ["physical_plot_key"]})
 
 
@@ -208,9 +208,8 @@ LFLOW_SQL = sql(LT, """SELECT CAST(i AS INTEGER) AS step_no, s AS step, count(*)
   count(DISTINCT physical_plot_key) FILTER (k) AS physical_plots FROM (SELECT l.*, x.*, coalesce(CASE i WHEN 0 THEN true WHEN 1 THEN baseline_comparable
    WHEN 2 THEN baseline_comparable AND baseline_established_maple WHEN 3 THEN baseline_comparable AND baseline_established_maple AND strict_one_to_one
    WHEN 4 THEN baseline_comparable AND baseline_established_maple AND strict_one_to_one AND followup_comparable ELSE primary_pair_eligible END, false) AS k
-  FROM long l, (VALUES (0,'Positive microplot condition links in the current evaluation'),(1,'Baseline sampled northern-hardwood conditions'),
-  (2,'Baseline conditions with established sugar maple'),(3,'Bidirectional one-to-one condition mapping'),(4,'Comparable accessible-forest follow-up'),
-  (5,'At least 90% shared microplot footprint and positive interval')) x(i,s)) GROUP BY i, s""", LONG)
+  FROM long l, (VALUES (0,'Links with a positive share'),(1,'Comparable condition at the start'),(2,'Established target stems at the start'),(3,'One to one in both directions'),
+  (4,'Comparable condition at the follow-up'),(5,'At least 50% of the frame shared, positive interval')) x(i,s)) GROUP BY i, s""", LONG)
 
 
 def historical_expansion(spark, sf):

@@ -96,3 +96,24 @@ def test_model_cohort(spark):
             ready([*good, row])
     with pytest.raises(AuditFailure):
         cohorts.model_ready(spark.createDataFrame(good, kind).drop("n"), F.lit(True), "y", ("n",), "share", "years")
+
+
+def test_calibration_settles_or_is_missing(spark):
+    from tallyspark.operators import logistic
+
+    r = np.random.default_rng(7)
+    x = r.normal(size=400) * 4
+    y = (r.random(400) < 1 / (1 + np.exp(-0.3 * x + 2))).astype(int)
+    far = 1 / (1 + np.exp(-(9 * x + 30)))  # steps from the start overshoot
+    rows = [("good", float(1 / (1 + np.exp(-a))), int(b)) for a, b in zip(x, y)] + [("far", float(p), int(b)) for p, b in zip(far, y)]
+    rows += [("apart", 0.2, 0), ("apart", 0.3, 0), ("apart", 0.7, 1), ("apart", 0.8, 1), ("single", 0.4, 1), ("single", 0.6, 1), ("flat", 0.5, 1), ("flat", 0.5, 0)]
+    got = {c.g: c for c in logistic.calibration(spark.createDataFrame(rows, "g string, p double, y int"), ["g"]).collect()}
+    for g in ("good", "far"):
+        p = np.clip([q for k, q, _ in rows if k == g], 1e-12, 1 - 1e-12)
+        z = np.column_stack([np.ones(400), np.log(p / (1 - p))])
+        beta = np.array([got[g].calibration_intercept, got[g].calibration_slope])
+        fitted = 1 / (1 + np.exp(-z @ beta))
+        assert np.abs(z.T @ (fitted - y)).max() < 1e-5  # the likelihood equations hold
+        assert abs(np.sum(1 / (1 + np.exp(-(z[:, 1] + got[g].offset_intercept))) - y)) < 1e-5
+    assert (got["apart"].calibration_slope, got["single"].calibration_slope, got["single"].offset_intercept, got["flat"].calibration_slope) == (None, None, None, None)
+    assert got["flat"].offset_intercept == pytest.approx(0.0)
