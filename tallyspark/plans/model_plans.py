@@ -370,6 +370,48 @@ def nested_models(spark, sf):
     return rounded(inference.compare_models(spark, batch, list(SPECS)).join(m, "model"))
 
 
+# registry -> (rows, outcome, models in the order in which they are compared); the incremental audit has its own penalty
+REGISTRIES = {
+    "recruitment": ("true", "y", SPECS),
+    "loss": ("seedling_count > 0", "1 - y", {"Prevalence benchmark": (), "Starting abundance and observation": (*_D, "z_seedling_count"),
+                                             "Stage structure": (*_D, "z_seedling_count", "z_sapling_tpa", "z_established_ba")}),
+    "appearance": ("seedling_count <= 1", "y", {"Prevalence benchmark": (), "Observation": _D, "Observation and structure": (*_D, "z_sapling_tpa", "z_established_ba")}),
+    "cross-sectional": ("true", "CASE WHEN seedling_count = 0 THEN 1 ELSE 0 END", {"Prevalence benchmark": (), "Established trees": ("z_established_ba",),
+                                                                                   "Established trees and saplings": ("z_established_ba", "z_sapling_tpa", "z_coverage")}),
+}
+
+
+def registry_rows(spark, sf, name):
+    kept, outcome, _ = REGISTRIES[name]
+    return t.cohort(spark, sf).where(kept).withColumn("y", F.expr(outcome).cast("int"))
+
+
+def registry_support(spark, sf):
+    """Rows, events and events per slope of every model of every registry."""
+    parts = {}
+    for name, (_, _, specs) in REGISTRIES.items():
+        n = registry_rows(spark, sf, name).agg(F.count(F.lit(1)).alias("observations"), F.sum("y").cast("long").alias("events"))
+        each = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(m).alias("model"), F.lit(len(x)).alias("slopes")) for i, (m, x) in enumerate(specs.items())])
+        parts[name] = n.select(F.inline(each), "observations", "events").withColumn("events_per_slope", F.try_divide(F.least("events", F.col("observations") - F.col("events")), F.nullif("slopes", F.lit(0))))
+    return rounded(cohorts.stacked(parts, "registry"))
+
+
+REGISTRY_SQL = sql("cohort", "SELECT registry, CAST(position AS INTEGER) AS position, model, CAST(slopes AS INTEGER) AS slopes, observations, events, rnd(least(events,observations-events)/nullif(CAST(slopes AS DOUBLE),0),6) AS events_per_slope FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS registry, position, model, slopes, count(*) AS observations, CAST(sum({outcome.replace(' ', ' ')}) AS BIGINT) AS events FROM cohort, (VALUES "
+    + ",".join(f"({i + 1},'{m}',{len(x)})" for i, (m, x) in enumerate(specs.items())) + f") v(position,model,slopes) WHERE {kept} GROUP BY ALL" for name, (kept, outcome, specs) in REGISTRIES.items()) + ")")
+
+
+def registry_fits(spark, sf):
+    """The model sequence of every registry: likelihood-ratio tests, AIC, and Brier score and AUC on the rows it was fitted to."""
+    parts = {}
+    for name, (_, _, specs) in REGISTRIES.items():
+        rows = registry_rows(spark, sf, name)
+        batch = logistic.fit_batch(rows, "y", TERMS, {m: Model(x, 0.0) for m, x in specs.items()})
+        m = ranking.model_metrics(logistic.predict(rows, batch, ("row_id", "y")), ["model"], benchmark=None).select("model", "brier_score", "roc_auc")
+        parts[name] = inference.compare_models(spark, batch, list(specs)).join(m, "model")
+    return rounded(cohorts.stacked(parts, "registry"))
+
+
 def final_fits(spark, sf):
     """Full-data coefficients of the models, one column per population."""
     rows = t.cohort(spark, sf)
@@ -584,7 +626,7 @@ QUERIES = {
     "common_horizon": (common_horizon, None), "refit_bootstrap": (refit_bootstrap, None), "refit_paired": (refit_paired, None), "refit_audit": (refit_audit, AUDIT_SQL), "refit_failures": (refit_failures, None),
     "refit_closed_form": (refit_closed_form, CLOSED_SQL), "policy_bootstrap": (policy_bootstrap, None),
     "incremental_audit": (incremental_audit, None), "glm_odds_ratios": (glm_odds_ratios, None), "nested_models": (nested_models, None), "final_fits": (final_fits, None),
-    "spline_comparison": (spline_comparison, None), "candidate_forms": (candidate_forms, None), "type_sensitivity": (type_sensitivity, None), "model_cohort": (model_cohort, COHORT_SQL),
+    "spline_comparison": (spline_comparison, None), "candidate_forms": (candidate_forms, None), "type_sensitivity": (type_sensitivity, None), "model_cohort": (model_cohort, COHORT_SQL), "registry_support": (registry_support, REGISTRY_SQL), "registry_fits": (registry_fits, None),
     "influence_diagnostics": (influence_diagnostics, None), "case_deletion": (case_deletion, None), "deletion_summary": (deletion_summary, None), "separation_flags": (separation_flags, SEP_SQL),
     "temporal_split_support": (temporal_split_support, SPLIT_SQL), "vif": (vif, None), "term_choice": (term_choice, None), "effect_band": (effect_band, None),
     "fit_verification": (fit_verification, None), "random_intercept": (random_intercept, None),
