@@ -18,7 +18,9 @@ HEADLINE = ("condition_metrics", "percentile_gap_flags", "composition_topn", "co
             "longitudinal_analysis", "longitudinal_flow", "recruitment_dataset", "frame_continuity", "fates", "fate_growth", "coverage_reconstruction", "class_pivot",
             "unit_reconciliation", "group_constancy", "code_set_changes", "rank_metrics", "fold_metrics", "paired_differences", "risk_quartiles", "capacity_selection",
             "policy_sweep", "bootstrap_group_ci", "bootstrap_paired_brier", "bootstrap_paired_auc", "train_only_scaling", "greedy_folds", "ridge_crossfit", "glm_odds_ratios",
-            "temporal_check", "refit_bootstrap", "policy_bootstrap")
+            "temporal_check")
+# 300 refits each: minutes at this scale, so they run only when named
+LONG = ("refit_bootstrap", "policy_bootstrap")
 
 
 def main() -> None:
