@@ -82,3 +82,13 @@ def test_repartition_and_order_do_not_matter(spark):
     b = measures.stem_metrics(spark.createDataFrame(rows[::-1], TREES).repartition(9), f, 1)
     cols = [F.round(c, 9) if t == "double" else F.col(c) for c, t in a.dtypes]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+
+
+def test_ranks_do_not_part_ties_by_the_order_of_addition(spark):
+    share = [0.1 + 0.2 + 0.3, 0.3 + 0.2 + 0.1, 0.9, 0.2]
+    dens = [4.5, 4.5 - 2**-50, 9.0, 0.0]
+    assert share[0] != share[1] and dens[0] != dens[1]
+    d = spark.createDataFrame([(i, s, x, int(x > 0)) for i, (s, x) in enumerate(zip(share, dens))], "i int, s double, x double, d int")
+    r = {x.i: x for x in measures.gap_flags(d, "s", "x", "d").collect()}
+    assert r[0].established_percentile == r[1].established_percentile == 1 / 3
+    assert r[0].regeneration_percentile == r[1].regeneration_percentile == 1 / 3
