@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, bytes, time and SHA-256 of each file. Only the digest leaves a task (files below 2 GB)."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"),
-                    F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    """Name, bytes, time and SHA-256 of each entry of a folder. Only the digest leaves a task (files below 2 GB).
+
+    A table kept as a folder of part files is one entry, the digest of which is that of the sorted names and digests of its files.
+    """
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    inside = F.regexp_extract("path", rf"\Q{urlparse(path).path.rstrip('/')}/\E(.*)", 1)
+    f = f.select(inside.alias("inside"), "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
+    parts = F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(" ", "inside", "sha256"))))
+    plain = F.max("inside") == F.substring_index(F.max("inside"), "/", 1)
+    return f.groupBy(F.substring_index("inside", "/", 1).alias("file")).agg(
+        F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"),
+        F.when(plain, F.max("sha256")).otherwise(F.sha2(parts, 256)).alias("sha256"))
 
 
 def compare_manifests(actual: DataFrame, pinned: DataFrame) -> DataFrame:

@@ -161,6 +161,19 @@ def test_series_header_rules(spark):
         text.parse_series(d, {"year": "year", "tmin": "tmin"})
 
 
+def test_a_table_of_part_files_is_one_manifest_entry(spark, tmp_path):
+    (tmp_path / "t.parquet").mkdir()
+    for n in ("p0.parquet", "p1.parquet"):
+        (tmp_path / "t.parquet" / n).write_text(n)
+    (tmp_path / "u.parquet").write_text("u")
+    m = manifest.file_manifest(spark, str(tmp_path), "*.parquet")
+    assert {r.file: r.bytes for r in m.collect()} == {"t.parquet": 20, "u.parquet": 1}
+    was = {r.file: r.sha256 for r in m.collect()}
+    (tmp_path / "t.parquet" / "p1.parquet").write_text("changed")
+    now = {r.file: r.sha256 for r in manifest.file_manifest(spark, f"file://{tmp_path}/", "*.parquet").collect()}
+    assert was["u.parquet"] == now["u.parquet"] and was["t.parquet"] != now["t.parquet"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one")
     (tmp_path / "b.txt").write_text("two")
