@@ -1,8 +1,11 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import checks, links, reconcile
 from tallyspark.operators.checks import AuditFailure
+from tallyspark.settings import DEFAULTS
 from tallyspark.sources import manifest, scan, text
 
 
@@ -74,6 +77,13 @@ def test_links_split_merge(spark):
     assert got[("p", 1, 1)].baseline_pair_degree == 2 and got[("p", 2, 2)].current_pair_degree == 2 and not got[("p", 2, 2)].strict_one_to_one
 
 
+def test_the_order_of_slices_does_not_decide_a_share_at_the_limit(spark):
+    a, b = (1 / 3 + 1 / 6 + 1 / 2) / 4 / 0.5, (1 / 3 + 1 / 2 + 1 / 6) / 4 / 0.5
+    assert a == 0.5 and b < 0.5
+    d = spark.createDataFrame([(a, b), (b, a), (a, 0.4999)], "baseline_overlap_fraction double, followup_overlap_fraction double")
+    assert [r[0] for r in d.select(links.overlap_adequate(replace(DEFAULTS, minimum_overlap=0.5))).collect()] == [True, True, False]
+
+
 def test_opportunity_census(spark):
     v = spark.createDataFrame([("a", None, 2017), ("b", None, 2017), ("c", None, 2023), ("a1", "a", 2024), ("a2", "a", 2024), ("b1", "b", 2024)], "plt_cn string, prev_plt_cn string, measyear int").withColumns(
         {"measmon": F.lit(6), "plot_status_cd": F.lit(1)})
