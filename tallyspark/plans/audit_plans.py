@@ -29,7 +29,7 @@ def sup_slices(spark, sf):
 
 
 def sup_subplots(spark, sf):
-    m = t.slices(spark, sf).groupBy("plt_cn", "subp").agg(F.max("max_tax").alias("m"), F.sum("n").alias("n"))
+    m = t.subplot_areas(spark, sf)
     own = F.col("plt_cn") * 8 + F.col("subp")
     return m.select("plt_cn", "subp", (F.col("plt_cn") * 16 + F.col("subp")).alias("ri_subp_cn"), F.when(F.col("m") == 5, own + 1).otherwise(own).alias("sbp_cn"),
                     F.when(F.col("m") <= 0, 2).otherwise(1).alias("micro_status"), F.when(F.col("n") > 1, 1).alias("legacy_status"),
