@@ -30,6 +30,7 @@ from .columnar import chunks, hash_base, mixed, sliding_min, span_hashes, text_b
 
 WINDOW = 50
 MINIMISER = 8
+BLOCK = 2 << 20  # bytes of packed strings that leave a task at once
 HOT = 4096  # occurrences of a minimiser beyond which its windows travel one by one
 
 
@@ -110,18 +111,29 @@ def packed(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> Data
                 ids = [_span_ids(w, at, last, k) for k, w in enumerate((one, two))]
                 bucket = np.where(hot, ids[0].view(np.int64), low)
                 raw = buf.tobytes()
-                text = [b" ".join(raw[x:y].split()) for x, y in zip(s[at].tolist(), e[last - 1].tolist())]
-                name = np.stack(ids, 1).astype(">u8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), pa.array([name[i:i + 16] for i in range(0, len(name), 16)], pa.binary()), pa.array(text, pa.binary()),
-                     *[c.column(x).take(pa.array(row)) for x in ("key", "rid")], pa.array(at - first[row]), pa.array(n)],
-                    ["bucket", "id", "words", "key", "rid", "at", "n"])
+                x, y = s[at], e[last - 1]
+                name = np.stack(ids, 1).astype(">u8")
+                # windows that travel one by one are some fifty times their text, so they leave in blocks of bounded size
+                for i, j in _blocks(y - x):
+                    text = [b" ".join(raw[a:b].split()) for a, b in zip(x[i:j].tolist(), y[i:j].tolist())]
+                    head = name[i:j].tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket[i:j]), pa.array([head[k:k + 16] for k in range(0, len(head), 16)], pa.binary()), pa.array(text, pa.binary()),
+                         *[c.column(k).take(pa.array(row[i:j])) for k in ("key", "rid")], pa.array(at[i:j] - first[row[i:j]]), pa.array(n[i:j])],
+                        ["bucket", "id", "words", "key", "rid", "at", "n"])
 
     kinds = [T.StructField("bucket", T.LongType()), T.StructField("id", T.BinaryType()), T.StructField("words", T.BinaryType()),
              docs.schema["key"], docs.schema["rid"], T.StructField("at", T.LongType()), T.StructField("n", T.LongType())]
     return docs.mapInArrow(run, T.StructType(kinds))
 
 
+def _blocks(sizes: np.ndarray, limit: int = BLOCK) -> list[tuple[int, int]]:
+    """Cuts of a row of strings into runs of about ``limit`` bytes; a longer string is a run of its own."""
+    at = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // limit)) + 1
+    cuts = [0, *at.tolist(), len(sizes)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 def _span_ids(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     return span_hashes(words, starts, ends, hash_base(seed + 300)[1])
 

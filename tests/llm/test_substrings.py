@@ -56,3 +56,11 @@ def test_query_equals_brute_force_and_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     assert sorted(con.execute(SUBSTRING_SQL).fetchall()) == got
+
+
+def test_packed_strings_leave_in_blocks_of_bounded_size(spark, monkeypatch):
+    sizes = np.array([10, 10, 10, 500, 10, 10])
+    cuts = substrings._blocks(sizes, 25)
+    assert [i for c in cuts for i in range(*c)] == list(range(6)) and all(sizes[i:j].sum() <= 35 or j - i == 1 for i, j in cuts if sizes[i:j].max() < 500)
+    assert len(substrings._blocks(np.full(1000, 400), 4000)) == 100
+    assert len(cuts) > 2
