@@ -2,8 +2,9 @@
 
 Every Newton step is one distributed aggregation. Tasks reduce their rows to the gradient, information
 and objective of each fit still running; Spark adds those up and the driver solves k x k systems. Rows are
-never copied per fit or per resample: a row carries its fold and, for a bootstrap, the multiplicities of
-its cluster. Columns are standardised once; each fit's own training-only scaling is an affine map of that
+never copied per fit or per resample: a row carries its fold and, for a bootstrap, the number of its cluster, whose
+multiplicities a small broadcast matrix holds (or the multiplicities themselves, where there are too many clusters for one).
+Equal rows of a cluster are one row with a count; resamples start from the fit of the whole sample. Columns are standardised once; each fit's own training-only scaling is an affine map of that
 and enters through k x k matrices.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import logistic, logit, transformed
 from ..session import broadcast_if_small, keep
+from . import resample
 
 NO_FOLD = 0
 
@@ -132,28 +134,89 @@ class IncompletePredictions(RuntimeError):
         super().__init__("; ".join(f"{f.model}, fold {f.fold}: {f.failure}" for f in batch.fits if f.failure))
 
 
-def _statistics(batches: Iterator[pa.RecordBatch], k: int, jobs: list, width: int) -> Iterator[pa.RecordBatch]:
+BLOCK = 256  # rows whose fits are evaluated together
+PER_TASK = 1 << 27  # rows x resamples that one task takes
+
+
+def spread(rows: DataFrame, n: int, resamples: int) -> DataFrame:
+    """Equal rows as one with their count, dealt so that the tasks share the work and not only the bytes, which are few."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * resamples // PER_TASK))
+    return rows.repartition(tasks, *rows.columns).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def blocks(batch: pa.RecordBatch, table: np.ndarray | None, size: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(rows, fold, y, n, w) of at most ``size`` rows of one fold; w has one row if all are of one cluster, and is None without weights."""
+    order = batch.column("fold").to_numpy(zero_copy_only=False)
+    if "c" in batch.schema.names:
+        order = (order.astype(np.int64) << 32) | batch.column("c").to_numpy(zero_copy_only=False)
+    if np.any(order[1:] < order[:-1]):
+        batch = batch.take(pa.array(np.argsort(order, kind="stable")))
+    folds = batch.column("fold").to_numpy(zero_copy_only=False)
+    ends = np.flatnonzero(np.r_[folds[1:] != folds[:-1], True]) + 1
+    cluster = batch.column("c").to_numpy(zero_copy_only=False) if "c" in batch.schema.names else None
+    for start, end in zip([0, *ends], ends):
+        for s in range(start, end, size):
+            b = batch.slice(s, min(size, end - s))
+            y, n = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "n"))
+            w = None
+            if table is not None:
+                c = cluster[s:s + len(y)]
+                w = table[c[:1] if (c == c[0]).all() else c].astype(float)
+            elif "w" in batch.schema.names:
+                w = b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1).astype(float)
+            yield b, int(folds[s]), y, n, w
+
+
+def _statistics(batches: Iterator[pa.RecordBatch], k: int, jobs: list, width: int, table: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Per task: objective, gradient and upper information triangle of every running fit."""
     totals = [np.zeros((width, len(ids))) for ids, *_ in jobs]
+    triangles = {len(cols): np.triu_indices(len(cols)) for _, _, cols, *_ in jobs}
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        x = np.column_stack([np.ones(n)] + [batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(k)])
-        y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)[:, None]
-        fold = batch.column("fold").to_numpy(zero_copy_only=False)
-        w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if "w" in batch.schema.names else None
-        for total, (_, held, cols, slots, beta) in zip(totals, jobs):
-            rows = slice(None) if held == NO_FOLD else fold != held
-            xs, ys = x[rows][:, cols], y[rows]
-            eta = xs @ beta
-            p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-            ws = 1.0 if w is None else w[rows][:, slots].astype(float)
-            total[0] += np.sum(ws * (np.logaddexp(0, eta) - ys * eta), axis=0)
-            m = len(cols)
-            total[1:1 + m] += xs.T @ (ws * (p - ys))
-            i, j = np.triu_indices(m)
-            total[1 + m:1 + m + len(i)] += (xs[:, i] * xs[:, j]).T @ (ws * p * (1 - p))
+        for b, fold, y, n, w in blocks(batch, table, BLOCK):
+            x = np.column_stack([np.ones(len(y))] + [b.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(k)])
+            drawn = None if w is None else w.any(axis=0)
+            products: dict = {}
+            for total, (_, held, cols, slots, beta) in zip(totals, jobs):
+                if held != NO_FOLD and fold == held:
+                    continue
+                m = len(cols)
+                if tuple(cols) not in products:
+                    xs = x[:, cols]
+                    i, j = triangles[m]
+                    products[tuple(cols)] = xs, xs * n[:, None], xs[:, i] * xs[:, j] * n[:, None]
+                xs, xn, xx = products[tuple(cols)]
+                # fits whose resample drew none of these rows get nothing from them
+                at = slice(None) if drawn is None else np.flatnonzero(drawn[slots])
+                ws = np.ones((1, 1)) if w is None else w[:, slots[at]]
+                bs = beta[:, at]
+                one = len(ws) == 1
+
+                def add(a, v, ws=ws, one=one):
+                    return (a.T @ v) * ws if one else a.T @ (v * ws)
+
+                if not bs.shape[1]:
+                    continue
+                target = add(xn, y[:, None])
+                if m == 1:  # an intercept alone is the same for all rows
+                    weight, eta = add(n[:, None], np.ones((len(y), 1))), bs
+                    p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                    part = [weight * np.logaddexp(0, eta) - target * eta, weight * p - target, weight * p * (1 - p)]
+                else:
+                    eta = xs @ bs
+                    if np.max(eta) < 700:
+                        u = np.exp(eta)
+                        v = 1 + u
+                        soft = np.log(v, out=eta)
+                        np.divide(u, v, out=u)  # p
+                        np.divide(u, v, out=v)  # p (1 - p)
+                    else:
+                        u = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                        soft = np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta)))
+                        v = u * (1 - u)
+                    part = [add(n[:, None], soft) - np.sum(target * bs, axis=0), add(xn, u) - target, add(xx, v)]
+                total[:1 + m + len(triangles[m][0]), at] += np.concatenate(part)
     for total, (ids, *_) in zip(totals, jobs):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32())] + [pa.array(row) for row in total],
                                          ["fit"] + [f"s{i}" for i in range(width)])
@@ -162,8 +225,9 @@ def _statistics(batches: Iterator[pa.RecordBatch], k: int, jobs: list, width: in
 def _moments(base: DataFrame, k: int, weights: DataFrame | None, cluster: str) -> dict:
     """Sums of 1, y, z, z^2 by (resample, fold), clusters reduced before multiplicities are applied."""
     names = ["n", "e", *[f"m{i}" for i in range(k)], *[f"q{i}" for i in range(k)]]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("y").alias("e"), *[F.sum(f"z{i}").alias(f"m{i}") for i in range(k)],
-            *[F.sum(F.col(f"z{i}") * F.col(f"z{i}")).alias(f"q{i}") for i in range(k)]]
+    n = F.col("n")
+    aggs = [F.sum(n).alias("n"), F.sum(n * F.col("y")).alias("e"), *[F.sum(n * F.col(f"z{i}")).alias(f"m{i}") for i in range(k)],
+            *[F.sum(n * F.col(f"z{i}") * F.col(f"z{i}")).alias(f"q{i}") for i in range(k)]]
     if weights is None:
         rows = base.groupBy("fold").agg(*aggs).select(F.lit(0).alias("resample"), "fold", *names).collect()
     else:
@@ -198,16 +262,28 @@ def fit_batch(rows: DataFrame, y: str, terms: Mapping[str, tuple[str, str]], mod
     dev = np.array([g[f"d{i}"] for i in range(k)], dtype=float)
     dev[~np.isfinite(dev) | (dev < 1e-12)] = 1.0
     z = t.select("y", "fold", *carry, *[((F.col(f"t{i}") - F.lit(float(mid[i]))) / F.lit(float(dev[i]))).alias(f"z{i}") for i in range(k)])
-    if weights is not None:
-        per = weights.groupBy(cluster).agg(F.map_from_entries(F.collect_list(F.struct(F.col("resample").cast("int"), F.col("weight")))).alias("m"))
-        slots = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("smallint"))
-        z = z.join(broadcast_if_small(per.select(cluster, slots.alias("w")), 10_000), cluster)
+    table = None
+    if weights is None:
+        z = z.withColumn("n", F.lit(1))
+    else:
+        z, table = resample.attach(spread(z, g["n"], resamples), weights, cluster, resamples)
+        z = z.sortWithinPartitions("fold", cluster)
     base = keep(z)
+    sent = None if table is None else rows.sparkSession.sparkContext.broadcast(table)  # bounded by resample.MATRIX_ENTRIES
+    limits = (max_passes, tolerance, accept, limit)
     try:
+        starts, drawn = {}, None
+        if weights is not None:
+            # the fits of the whole sample; those that fail leave their resamples the usual start
+            whole = _moments(base, k, None, cluster)
+            first = FitBatch(terms, [_prepare(0, f, name, m, names, whole, mid, dev) for f in held_out for name, m in models.items()])
+            starts = _newton(base.drop(cluster, "c", "w"), first, names, mid, dev, *limits)
+            if table is not None and len(table) <= resamples:
+                drawn = table
         moments = _moments(base, k, weights, cluster)
         batch = FitBatch(terms, [_prepare(b, f, name, m, names, moments, mid, dev)
                                  for b in range(resamples) for f in held_out for name, m in models.items()])
-        _newton(base.drop(cluster) if weights is not None else base, batch, names, mid, dev, max_passes, tolerance, accept, limit)
+        _newton(base.drop(cluster) if weights is not None else base, batch, names, mid, dev, *limits, starts, sent, drawn)
         return batch
     finally:
         base.unpersist()
@@ -229,9 +305,16 @@ def _prepare(b: int, held: int, name: str, model: Model, names: list[str], momen
     return fit
 
 
-def _newton(base: DataFrame, batch: FitBatch, names: list[str], mid, dev, max_passes: int, tolerance: float, accept: float, limit: float) -> None:
+def _newton(base: DataFrame, batch: FitBatch, names: list[str], mid, dev, max_passes: int, tolerance: float, accept: float, limit: float,
+            starts: Mapping | None = None, sent=None, drawn: np.ndarray | None = None) -> dict:
+    """Run every fit to its end. ``starts`` and what is returned: (fold, model) -> coefficients on the shared columns.
+
+    With ``drawn`` (clusters x resamples) the first step of the fits that have such a start comes from one pass over the clusters'
+    own sums at it, which the multiplicities combine.
+    """
     k = len(names)
     state = {}
+    maps = {}
     for i, f in enumerate(batch.fits):
         if f.failure:
             continue
@@ -246,22 +329,43 @@ def _newton(base: DataFrame, batch: FitBatch, names: list[str], mid, dev, max_pa
         a[np.arange(1, m), np.arange(1, m)] = 1 / ratio
         start = np.zeros(m)
         start[0] = np.log(f.events / (f.weight - f.events))
+        if m > 1 and (f.fold, f.model) in (starts or {}):
+            start = np.linalg.solve(a, starts[f.fold, f.model])
+        maps[i] = a
         state[i] = {"map": a, "cols": [0, *[j + 1 for j in idx]], "at": start, "rate": 1.0, "from": None, "step": None, "old": np.inf,
                     "pen": np.r_[0.0, np.full(m - 1, f.penalty)]}
     width = 1 + (k + 1) + (k + 1) * (k + 2) // 2
     schema = "fit int, " + ", ".join(f"s{i} double" for i in range(width))
+
+    def summed(jobs, sent):
+        parts = base.mapInArrow(lambda it: _statistics(it, k, jobs, width, None if sent is None else sent.value), schema)
+        return parts.groupBy("fit").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).collect()
+
+    if drawn is not None:
+        groups = {}
+        for i, s in state.items():
+            f = batch.fits[i]
+            if len(s["cols"]) > 1 and (f.fold, f.model) in starts:
+                groups.setdefault((f.fold, f.model), []).append(i)
+        of = len(drawn)
+        jobs = [(list(range(g * of, (g + 1) * of)), fold, list(state[ids[0]]["cols"]), np.arange(of), np.column_stack([starts[fold, model]] * of))
+                for g, ((fold, model), ids) in enumerate(groups.items())]
+        each = np.zeros((len(groups) * of, width))
+        for row in summed(jobs, base.sparkSession.sparkContext.broadcast(np.eye(of, dtype=np.int16))) if jobs else []:
+            each[row["fit"]] = row[1:]
+        for g, ids in enumerate(groups.values()):
+            for i in ids:
+                _advance(batch.fits[i], state, i, drawn[:, batch.fits[i].resample].astype(float) @ each[g * of:(g + 1) * of], tolerance, limit)
     for _ in range(max_passes):
         if not state:
-            return
+            break
         groups: dict = {}
         for i in state:
             f = batch.fits[i]
             groups.setdefault((f.fold, tuple(state[i]["cols"])), []).append(i)
         jobs = [(ids, fold, list(cols), np.array([batch.fits[i].resample for i in ids]),
                  np.column_stack([state[i]["map"] @ state[i]["at"] for i in ids])) for (fold, cols), ids in groups.items()]
-        parts = base.mapInArrow(lambda it, k=k, jobs=jobs, width=width: _statistics(it, k, jobs, width), schema)
-        sums = parts.groupBy("fit").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).collect()
-        for row in sums:
+        for row in summed(jobs, sent):
             i = row["fit"]
             _advance(batch.fits[i], state, i, np.array(row[1:], dtype=float), tolerance, limit)
     for i, s in state.items():
@@ -270,6 +374,7 @@ def _newton(base: DataFrame, batch: FitBatch, names: list[str], mid, dev, max_pa
             f.failure = "Fit did not reach a stable finite solution"
         else:
             _finish(f, s, limit)
+    return {(f.fold, f.model): maps[i] @ f.beta for i, f in enumerate(batch.fits) if f.failure is None}
 
 
 def _advance(f: Fit, state: dict, i: int, s: np.ndarray, tolerance: float, limit: float) -> None:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
+MATRIX_ENTRIES = 1 << 22  # clusters x resamples whose multiplicities are one matrix for all tasks
+
 
 def cluster_index(df: DataFrame, cluster: str) -> DataFrame:
     """Clusters numbered from 0 in the order of their hashed name.
@@ -40,6 +45,29 @@ def multiplicities(df: DataFrame, cluster: str, resamples: int, seed: int) -> Da
     return hits.join(index, "cluster_no").select("resample", cluster, "weight")
 
 
+def vectors(weights: DataFrame, cluster: str, resamples: int) -> DataFrame:
+    """(cluster, w): the multiplicities of a cluster in resamples 0 to resamples - 1."""
+    entry = F.struct(F.col("resample").cast("int"), F.col("weight"))
+    per = weights.groupBy(cluster).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("smallint"))
+    return per.select(cluster, each.alias("w"))
+
+
+def attach(rows: DataFrame, weights: DataFrame, cluster: str, resamples: int) -> tuple[DataFrame, np.ndarray | None]:
+    """Rows with the number ``c`` of their cluster, and the matrix (clusters x resamples) whose row that is.
+
+    Beyond MATRIX_ENTRIES rows carry the vector ``w`` of their cluster instead, and there is no matrix.
+    """
+    table = stored(vectors(weights, cluster, resamples), "vectors")
+    if table.count() * resamples > MATRIX_ENTRIES:
+        return rows.join(table, cluster), None
+    known = table.toArrow().combine_chunks()
+    matrix = np.array(known.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int16).reshape(-1, resamples)
+    numbers = [(v, i) for i, v in enumerate(known.column(cluster).to_pylist())]
+    schema = f"`{cluster}` {table.schema[cluster].dataType.simpleString()}, c int"
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(numbers, schema)), cluster), matrix
+
+
 def percentile_interval(values: DataFrame, groups: Sequence[str], value: str, resamples: int) -> DataFrame:
     """2.5% and 97.5% points over resamples (at most ``resamples`` values per group); gaps are counted."""
     return values.groupBy(*groups).agg(

@@ -1,9 +1,9 @@
 """Many resamples of many fits, scored and summed where the rows are.
 
-A resample changes the coefficients of a fit and the multiplicity of a row's cluster, never the row. One Arrow pass multiplies the
-design rows of a fold by the coefficient vectors of all resamples at once and adds up what the metrics need: weighted counts and
-losses as vectors over the resamples, and the ranking as a histogram of scores. No table of rows by resamples is made, and what is
-exchanged grows with resamples and score bins.
+A resample changes the coefficients of a fit and the multiplicity of a row's cluster, never the row. Equal rows of a cluster are one
+row with a count. One Arrow pass multiplies the design rows of a fold by the coefficient vectors of all resamples at once and adds up
+what the metrics need: weighted counts and losses as vectors over the resamples, and the ranking as a histogram of scores. No table
+of rows by resamples is made, and what is exchanged grows with resamples and score bins.
 
 A score bin keeps a score's exponent and its first 11 bits: scores that differ by less than a 2048th of themselves are a tie. Fixed
 scores (counts up to 4096 for instance) are binned exactly. Resample 0 is the sample itself.
@@ -25,11 +25,13 @@ from ..functions.scalar import transformed
 from ..session import stored
 from ..settings import DEFAULTS
 from . import ranking, resample
-from .logistic import FitBatch, IncompletePredictions
+from .logistic import FitBatch, IncompletePredictions, blocks, spread
 from .ordered import running_totals, slice_bounds, with_slice
+from .resample import vectors
 
 VECTOR_BYTES = 64 << 20  # of multiplicities that may be broadcast
 ENTRIES = 1 << 21  # histogram entries a task holds before it adds them up
+CELLS = 1 << 23  # counters of one series that a task holds while its scores lie close together
 BLOCK = 1024  # rows whose prefix sums are taken together
 EPS = 1e-12
 
@@ -47,14 +49,6 @@ def draws(rows: DataFrame, cluster: str, resamples: int, seed: int) -> DataFrame
     return own.unionByName(drawn.select((F.col("resample") + 1).cast("int").alias("resample"), cluster, "weight"))
 
 
-def vectors(weights: DataFrame, cluster: str, resamples: int) -> DataFrame:
-    """(cluster, w): the multiplicities of a cluster in resamples 0 to resamples - 1."""
-    entry = F.struct(F.col("resample").cast("int"), F.col("weight"))
-    per = weights.groupBy(cluster).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    each = F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("smallint"))
-    return per.select(cluster, each.alias("w"))
-
-
 def _with_vectors(rows: DataFrame, weights: DataFrame, cluster: str, resamples: int) -> tuple[DataFrame, bool]:
     """Rows with their cluster's vector; broadcast while clusters x resamples fit the bound, a plain join beyond it."""
     table = stored(vectors(weights, cluster, resamples), "vectors")
@@ -63,11 +57,13 @@ def _with_vectors(rows: DataFrame, weights: DataFrame, cluster: str, resamples:
 
 
 class _Histogram:
-    """Weighted counts by (resample, bin) of one series."""
+    """Weighted counts by (resample, bin) of one series: counters while the bins lie close together, sorted entries beyond that."""
 
-    def __init__(self):
+    def __init__(self, resamples: int):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
+        self.resamples = resamples
+        self.low, self.cells = 0, np.zeros((2, resamples, 0), np.int64)  # by outcome
 
     def add(self, resample: np.ndarray, bins: np.ndarray, w: np.ndarray, t: np.ndarray) -> None:
         live = w > 0
@@ -76,6 +72,40 @@ class _Histogram:
         if self.size > ENTRIES:
             self.merge()
 
+    def count(self, resample: np.ndarray, bins: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        """``bins`` and ``w``: the given resamples x rows; ``y``: outcome of the rows."""
+        if not self.room(int(bins.min()), int(bins.max())):
+            self.add(np.repeat(resample, len(y)), bins.ravel().astype(np.int64), w.ravel(), (w * y).ravel())
+            return
+        width = self.cells.shape[2]
+        at = bins + (resample[:, None] * width + (y * (self.resamples * width) - self.low))
+        np.add.at(self.cells.reshape(-1), at.ravel(), w.ravel())
+
+    def room(self, low: int, high: int) -> bool:
+        """Make the counters reach from ``low`` to ``high``, an octave of scores at a time."""
+        width = self.cells.shape[2]
+        if width and low >= self.low and high < self.low + width:
+            return True
+        start, end = low >> 11 << 11, (high >> 11) + 1 << 11
+        if width:
+            start, end = min(start, self.low), max(end, self.low + width)
+        if 2 * self.resamples * (end - start) > CELLS:
+            return False
+        grown = np.zeros((2, self.resamples, end - start), np.int64)
+        if width:
+            grown[:, :, self.low - start:self.low - start + width] = self.cells
+        self.low, self.cells = start, grown
+        return True
+
+    def close(self) -> None:
+        """Counters become entries."""
+        both = self.cells.sum(axis=0)
+        resample, at = np.nonzero(both)
+        if len(at):
+            self.parts.append(((resample << 32) | (at + self.low + (1 << 31)), both[resample, at], self.cells[1][resample, at]))
+            self.size += len(at)
+        self.cells = self.cells[:, :, :0]
+
     def merge(self) -> None:
         if len(self.parts) > 1 or self.parts:
             key, w, t = (np.concatenate(x) for x in zip(*self.parts))
@@ -86,54 +116,76 @@ class _Histogram:
             self.size = len(at)
 
 
-def _reduce(batches, fits: dict, kinds: list[str], fixed: list[str], good: np.ndarray):
+def _reduce(batches, fits: dict, kinds: list[str], fixed: list[str], good: np.ndarray, table: np.ndarray | None = None):
     """Rows (series, resample, sums, histogram) of one task. ``fits``: fold -> model -> coefficients x resamples."""
     sums = {s: np.zeros((4, len(good))) for s in [*kinds, *fixed]}
-    hist = {s: _Histogram() for s in sums}
+    hist = {s: _Histogram(len(good)) for s in sums}
     of = np.arange(len(good))
+    if table is not None:
+        table = table[:, good]
 
     def emit(only_large: bool):
         for s, h in hist.items():
+            if not only_large:
+                h.close()
             h.merge()
             if not h.parts or (only_large and h.size < ENTRIES):
                 continue
             key, w, t = h.parts[0]
             at = np.searchsorted(key >> 32, np.arange(len(good) + 1))
             bins = (key & 0xFFFFFFFF) - (1 << 31)
-            offsets = pa.array(at.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (bins, w, t)]
             total, sums[s] = sums[s], np.zeros((4, len(good)))
-            yield pa.RecordBatch.from_arrays([pa.array([s] * len(good)), pa.array(good.astype(np.int32)), *[pa.array(x) for x in total], *lists],
-                                             ["series", "resample", "n", "events", "brier", "loss", "bins", "w", "t"])
+            step = max(1, len(good) * (ENTRIES >> 2) // max(1, len(key)))
+            for i in range(0, len(good), step):
+                j = min(i + step, len(good))
+                offsets = pa.array((at[i:j + 1] - at[i]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[at[i]:at[j]].astype(np.int64))) for v in (bins, w, t)]
+                yield pa.RecordBatch.from_arrays([pa.array([s] * (j - i)), pa.array(good[i:j].astype(np.int32)), *[pa.array(v[i:j]) for v in total], *lists],
+                                                 ["series", "resample", "n", "events", "brier", "loss", "bins", "w", "t"])
             h.parts, h.size = [], 0
 
     for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK):
-            b = batch.slice(start, BLOCK)
-            y = b.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
-            fold = b.column("fold").to_numpy(zero_copy_only=False)
-            w = b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)[:, good].astype(np.int64)
-            terms = sum(n.startswith("t") and n[1:].isdigit() for n in b.schema.names)
-            x = np.column_stack([np.ones(len(y)), *[b.column(f"t{i}").to_numpy(zero_copy_only=False) for i in range(terms)]])
-            for f, models in fits.items():
-                mine = np.flatnonzero(fold == f) if f else np.arange(len(y))
-                if not len(mine):
+        if not batch.num_rows:
+            continue
+        terms = sum(n.startswith("t") and n[1:].isdigit() for n in batch.schema.names)
+        for b, fold, y, n, w in blocks(batch, table, BLOCK // 2):
+            if table is None:
+                w = w[:, good]
+            y = y.astype(np.int64)
+            live = np.flatnonzero(w.any(axis=0))  # a resample that drew none of these rows gets nothing from them
+            if not len(live):
+                continue
+            # resamples x rows from here on: a resample's counters lie together
+            w = w[:, live].T.astype(np.int64) * n.astype(np.int64)
+            wn, we = w.sum(1), w @ y
+            x = np.vstack([np.ones(len(y)), *[b.column(f"t{i}").to_numpy(zero_copy_only=False) for i in range(terms)]])
+            for name, coefficients in (fits.get(fold) or fits.get(0) or {}).items():
+                if not coefficients[1:].any():  # one score for all rows
+                    p = 1 / (1 + np.exp(-np.clip(coefficients[:1, live], -700, 700)))
+                    q = np.clip(p, EPS, 1 - EPS)[0]
+                    sums[name][:, live] += [wn, we, we * (1 - q) ** 2 + (wn - we) * q**2, -(we * np.log(q) + (wn - we) * np.log1p(-q))]
+                    hist[name].add(live, score_bin(p)[0], wn, we)
                     continue
-                wf, yf = w[mine], y[mine][:, None]
-                for name, coefficients in models.items():
-                    eta = x[mine] @ coefficients
-                    p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                    q = np.clip(p, EPS, 1 - EPS)
-                    sums[name] += [wf.sum(0), (wf * yf).sum(0), (wf * (yf - q) ** 2).sum(0), -(wf * np.where(yf == 1, np.log(q), np.log1p(-q))).sum(0)]
-                    r = np.broadcast_to(of, wf.shape)
-                    hist[name].add(r.ravel(), score_bin(p).ravel(), wf.ravel(), (wf * yf).ravel())
+                p = coefficients[:, live].T @ x
+                np.negative(p, out=p)
+                if np.max(p) > 700:
+                    np.minimum(p, 700, out=p)
+                np.exp(p, out=p)
+                np.add(p, 1, out=p)
+                np.reciprocal(p, out=p)
+                hit = np.clip(p, EPS, 1 - EPS)  # the probability of what happened
+                hit[:, y == 0] = 1 - hit[:, y == 0]
+                loss = np.einsum("ij,ij->i", w, np.log(hit))
+                np.subtract(1, hit, out=hit)
+                sums[name][:, live] += [wn, we, np.einsum("ij,ij,ij->i", w, hit, hit), -loss]
+                hist[name].count(live, p.astype(np.float32).view(np.int32) >> 12, y, w)  # score_bin of what is not negative
             for i, name in enumerate(fixed):
                 bins = score_bin(b.column(f"e{i}").to_numpy(zero_copy_only=False).astype(float))
                 order = np.argsort(bins, kind="stable")
                 at = np.flatnonzero(np.r_[True, np.diff(bins[order]) != 0])
-                ws, ts = np.add.reduceat(w[order], at), np.add.reduceat((w * y[:, None])[order], at)
-                sums[name][:2] += [w.sum(0), (w * y[:, None]).sum(0)]
-                hist[name].add(np.broadcast_to(of, ws.shape).ravel(), np.repeat(bins[order][at], len(good)), ws.ravel(), ts.ravel())
+                ws, ts = np.add.reduceat(w[:, order], at, axis=1), np.add.reduceat((w * y)[:, order], at, axis=1)
+                sums[name][:2, live] += [wn, we]
+                hist[name].add(np.repeat(live, len(at)), np.tile(bins[order][at], len(live)), ws.ravel(), ts.ravel())
         yield from emit(True)
     yield from emit(False)
 
@@ -166,10 +218,11 @@ def resampled_totals(rows: DataFrame, batch: FitBatch, weights: DataFrame, resam
     cols = [transformed(src, kind).cast("double").alias(f"t{i}") for i, (src, kind) in enumerate(batch.terms.values())]
     x = rows.select(F.col(cluster), F.col(y).cast("int").alias("y"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), *cols,
                     *[c.cast("double").alias(f"e{i}") for i, c in enumerate(scores.values())])
-    x = _with_vectors(x, weights, cluster, resamples)[0].drop(cluster)
+    x, table = resample.attach(spread(x, x.count(), resamples), weights, cluster, resamples)
+    x = x.sortWithinPartitions("fold", cluster).drop(cluster)
     fixed = list(scores)
-    sent = rows.sparkSession.sparkContext.broadcast(fits)  # folds x models x terms x resamples numbers
-    return stored(x.mapInArrow(lambda it: _reduce(it, sent.value, kinds, fixed, good), _OUT), "resampled")
+    sent = rows.sparkSession.sparkContext.broadcast((fits, table))  # folds x models x terms x resamples numbers, and a bounded matrix
+    return stored(x.mapInArrow(lambda it: _reduce(it, sent.value[0], kinds, fixed, good, sent.value[1]), _OUT), "resampled")
 
 
 def ties(totals: DataFrame) -> DataFrame:

@@ -118,3 +118,45 @@ def test_failures(spark, rows):
     assert {r.resample for r in totals.select("resample").distinct().collect()} == set(range(31)) - lost
     with pytest.raises(RuntimeError):
         rescore.audit(batch, 30)
+
+
+@pytest.mark.parametrize("matrix", (True, False))
+def test_equal_rows_are_one(spark, rows, monkeypatch, matrix):
+    """Repeated rows count in fits and totals, and no task is given them again and again."""
+    if not matrix:
+        monkeypatch.setattr(resample, "MATRIX_ENTRIES", 0)
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("row_id") % 3 + 1))).drop("copy")
+    w = rescore.draws(many, "cluster", 6, 3)
+    batch = logistic.fit_batch(many, "y", TERMS, MODELS, "fold", (1, 2, 3), w, 7)
+    assert logistic.spread(many.drop("row_id"), 840, 7).count() == rows.drop("row_id").distinct().count()
+    # every resample written out as rows of its own and fitted alone
+    for b in (0, 4):
+        drawn = many.join(w.where(F.col("resample") == b), "cluster").withColumn("one", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+        alone = logistic.fit_batch(drawn, "y", TERMS, MODELS, "fold", (1, 2, 3))
+        for f in (1, 2, 3):
+            assert np.allclose(batch.get("Both", f, b).beta, alone.get("Both", f).beta, atol=1e-7)
+    totals = rescore.resampled_totals(many, batch, w, 7, fold="fold", scores={"Raw": F.col("a")})
+    got = {(r.series, r.resample): r for r in rescore.metric_draws(totals).collect()}
+    p = logistic.predict(many, batch, ("row_id", "y"), "fold", w)
+    want = ranking.model_metrics(p, ["model", "resample"], benchmark=None, w="weight").collect()
+    assert len(want) == 14 and len(got) == 21
+    for r in want:
+        g = got[r.model, r.resample]
+        assert (g.observations, g.events) == (r.observations, r.events)
+        assert abs(g.brier_score - r.brier_score) < 1e-9 and abs(g.log_loss - r.log_loss) < 1e-9 and abs(g.roc_auc - r.roc_auc) < 2e-3
+
+
+def test_counters_and_entries_agree(monkeypatch):
+    r = np.random.default_rng(1)
+    of, y = np.arange(3), r.integers(0, 2, 40)
+    blocks = [(rescore.score_bin(1 / (1 + np.exp(-r.normal(0, s, (3, 40))))), r.integers(0, 4, (3, 40))) for s in (1, 1, 9)]
+    out = []
+    for cells in (1 << 23, 1 << 16, 0):
+        monkeypatch.setattr(rescore, "CELLS", cells)
+        h = rescore._Histogram(3)
+        for bins, w in blocks:
+            h.count(of, bins, y, w)
+        h.close()
+        h.merge()
+        out.append([x.tolist() for x in h.parts[0]])
+    assert out[0] == out[1] == out[2] and sum(out[0][1]) == sum(int(w.sum()) for _, w in blocks)
