@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clipped
 from ..session import broadcast_if_small
 from ..settings import DEFAULTS
-from .ordered import running_totals, slice_bounds, tile, with_position
+from .ordered import running_totals, slice_bounds, tile, with_position, with_slice
 
 LOSS_METRICS = ("brier_score", "log_loss", "roc_auc", "average_precision")
 
@@ -143,6 +143,35 @@ def cutoffs_from_ties(table: DataFrame, groups: Sequence[str], score: str, fract
         F.when(none, 0).otherwise(F.col("t")).alias("tied_t"), "above_w", "above_t", "total_w", "total_t")
 
 
+UNIT_ROWS = 500_000  # rows that a task counts by unit
+
+
+def _by_unit(taken: DataFrame, cut: DataFrame, groups: Sequence[str]):
+    """Selected rows grouped by unit, dealt before anything is counted: units lie apart, so that counts of a task's own rows would fill
+    its memory and spare nothing. Tasks grow in number with the rows, not in size."""
+    rows = cut.agg(F.sum("capacity")).first()[0] or 0  # no fewer than are selected
+    tasks = max(taken.sparkSession.sparkContext.defaultParallelism, -(-int(rows) // UNIT_ROWS))
+    keys = [*groups, "_u"]
+    return taken.select(*keys, "requested_fraction").repartition(tasks, *keys).groupBy(*keys)
+
+
+def _taken_of_ties(tied: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What the capacity still takes of each cutoff tie, smallest keys first.
+
+    Sums by slice of the key tell which slice the capacity ends in; those before it are taken whole, and only that one is ordered.
+    """
+    s = with_slice(tied, "_k", slice_bounds(tied, "_k"))
+    per = s.groupBy(*by, "_slice").agg(F.sum("_w").alias("_sum"), F.first(F.col("capacity") - F.col("above_w")).alias("_room"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    edge = per.where("_before < _room AND _room <= _before + _sum").select(*by, F.col("_slice").alias("_edge"), (F.col("_room") - F.col("_before")).alias("_left"))
+    s = s.join(broadcast_if_small(edge), list(by))
+    inside = Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    cut = s.where("_slice = _edge").select(*by, "_u", "_t", "_w", (F.col("_left") - F.coalesce(F.sum("_w").over(inside), F.lit(0))).alias("_left"))
+    cut = cut.where("_left > 0").select(*by, "_u", F.least("_w", "_left").alias("taken"), "_t")
+    return s.where("_slice < _edge").select(*by, "_u", F.col("_w").alias("taken"), "_t").unionByName(cut)
+
+
 def select_capacity(scored: DataFrame, groups: Sequence[str], target: str, score: str, fractions: Sequence[float],
                     key: str, unit: str, w: str | None = None, analytic: Mapping[str, str] | None = None) -> DataFrame:
     """Top-k selection with exact tie accounting.
@@ -161,11 +190,12 @@ def select_capacity(scored: DataFrame, groups: Sequence[str], target: str, score
         (F.col("_s") >= F.col("cutoff_score")) & (F.col("_w") > 0)) if groups else rows.crossJoin(
         cut.select(*by, "cutoff_score", "capacity", "above_w")).where((F.col("_s") >= F.col("cutoff_score")) & (F.col("_w") > 0))
     above = near.where(F.col("_s") > F.col("cutoff_score")).select(*by, "_u", F.col("_w").alias("taken"), "_t")
-    tied = running_totals(near.where(F.col("_s") == F.col("cutoff_score")), by, "_k", ["_w"])
-    room = F.col("capacity") - F.col("above_w") - F.col("before__w")
-    tied = tied.select(*by, "_u", F.least(F.col("_w"), F.greatest(F.lit(0), room)).alias("taken"), "_t").where("taken > 0")
-    per_unit = above.unionByName(tied).groupBy(*by, "_u").agg(F.sum(F.col("taken") * F.col("_t")).alias("hits"))
-    det = per_unit.groupBy(*by).agg(F.sum("hits").alias("deterministic_targets"), F.count(F.lit(1)).alias("selected_units"))
+    taken = above.unionByName(_taken_of_ties(near.where(F.col("_s") == F.col("cutoff_score")), by))
+    # a larger capacity keeps what a smaller one has, so a unit counts from its first one on
+    first = _by_unit(taken, cut, groups).agg(F.min("requested_fraction").alias("_first")).groupBy(*groups, "_first").agg(F.count(F.lit(1)).alias("_units"))
+    hits = taken.groupBy(*by).agg(F.sum(F.col("taken") * F.col("_t")).alias("deterministic_targets")).withColumnsRenamed({g: f"_{g}" for g in groups})
+    same = reduce(lambda a, b: a & b, [F.col(f"_{g}") == F.col(g) for g in groups], F.col("_first") <= F.col("requested_fraction"))
+    det = F.broadcast(hits).join(first, same).groupBy(*by).agg(F.first("deterministic_targets").alias("deterministic_targets"), F.sum("_units").alias("selected_units"))
     c = F.col
     left = c("capacity") - c("above_w")
     expected = c("above_t") + F.coalesce(F.try_divide(left * c("tied_t"), c("tied_w")), F.lit(0.0))

@@ -87,3 +87,22 @@ def test_unusable_scores_and_weights_are_errors(spark, score, weight):
     d = spark.createDataFrame([("m", 1, "u", 1, score, weight), ("m", 2, "v", 0, 0.2, 1.0)], "model string, row_id long, unit string, y int, p double, w double")
     with pytest.raises(Exception, match="cannot be ranked|whole numbers"):
         ranking.select_capacity(d, ["model"], "y", "p", (0.5,), "row_id", "unit", "w").collect()
+
+
+def test_capacity_work_is_dealt_by_rows(spark, sliced, monkeypatch):
+    """Ties are ordered only where the capacity ends, and tasks that count units grow in number with the rows."""
+    monkeypatch.setattr(ranking, "UNIT_ROWS", 10)
+    data = [(g, (i * 7919) % 200, i % 23, float(i % 3), int(i % 5 == 0)) for g in ("a", "b") for i in range(200)]
+    df = spark.createDataFrame(data, "g string, k long, u long, s double, t int")
+    got = {(r.g, r.requested_fraction): r for r in ranking.select_capacity(df, ["g"], "t", "s", (0.1, 0.5, 0.9), "k", "u").collect()}
+    for g in ("a", "b"):
+        order = sorted((x for x in data if x[0] == g), key=lambda x: (-x[3], x[1]))
+        for f in (0.1, 0.5, 0.9):
+            top = order[:int(200 * f)]
+            r = got[g, f]
+            assert (r.deterministic_targets, r.selected_units) == (sum(x[4] for x in top), len({x[2] for x in top}))
+    assert len(got) == 6
+    cut = spark.createDataFrame([("a", 0.5, 600)], "g string, requested_fraction double, capacity long")
+    taken = spark.createDataFrame([("a", 1, 0.5)], "g string, _u long, requested_fraction double")
+    plan = ranking._by_unit(taken, cut, ["g"]).count()._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(g" in plan and ", 60), REPARTITION" in plan
