@@ -139,6 +139,47 @@ def test_short_lines_with_edits_share_a_band(spark):
     assert {n: np.mean(v) for n, v in shared.items() if np.mean(v) < 0.95} == {}
 
 
+def test_long_lines_with_edits_share_a_band(spark):
+    """Lines of 52 to 700 characters, both limits of the kinds of bands among them, and copies of similarity 0.8 to 0.84."""
+    rng = np.random.default_rng(13)
+    letters = list("abcdefghijklmnoprstu    ")
+    sets = lambda v: {v[i:i + 5] for i in range(len(v) - 4)}
+    rows, sizes = [], [(52, 68), (64, 90), (120, 170), (150, 260), (300, 700)]
+    for k in range(5 * 150):
+        n = k // 150
+        a = "".join(rng.choice(letters, rng.integers(*sizes[n])))
+        b = a
+        while True:
+            at = int(rng.integers(0, len(b)))
+            c = b[:at] + "z" + b[at + rng.integers(0, 2):]
+            if len(sets(a) & sets(c)) < 0.8 * len(sets(a) | sets(c)):
+                break
+            b = c
+        rows += [(k, n, a), (k, n, b)]
+    df = spark.createDataFrame(rows, "k int, n int, norm string")
+    shared = {n: [] for n in range(5)}
+    for r in lines.signed(df, 0.8).groupBy("k", "n").agg(lines.F.collect_list("bands").alias("b")).collect():
+        shared[r.n].append(bool(set(r.b[0]) & set(r.b[1])))
+    assert {n: np.mean(v) for n, v in shared.items() if np.mean(v) < 0.95} == {}
+
+
+def test_lines_of_common_words_are_no_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    words = ["".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(80)]
+    rows = [(d, " ".join(rng.choice(words, 150))) for d in range(80)]
+    rows.append((80, rows[7][1] + " z"))
+    seen, stored = {}, lines.stored
+
+    def spy(df, name="stage"):
+        seen.setdefault(name, out := stored(df, name))
+        return out
+
+    monkeypatch.setattr(lines, "stored", spy)
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in got.where("n_removed > 0").collect()] == [80]
+    assert seen["members"].select("id").distinct().count() < 50
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_query_equals_all_pairs(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
