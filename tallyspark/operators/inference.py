@@ -13,7 +13,7 @@ from ..functions.plan_size import chi_square_upper, f_quantile, normal_quantile,
 from ..functions.scalar import is_finite, logistic, transformed
 from ..session import keep, settle, stored
 from ..settings import DEFAULTS, Settings
-from .logistic import Fit, FitBatch, Model, fit_batch
+from .logistic import Fit, FitBatch, IncompletePredictions, Model, fit_batch
 from .ordered import exact_quantiles
 
 
@@ -174,6 +174,9 @@ def separation(rows: DataFrame, y: str, fold: str, held_out: Sequence[int], mode
     for sign, penalty in zip((-1, 1), penalties):
         light = {m: Model(s.terms, penalty) for m, s in models.items()}
         batch = fit_batch(rows, y, terms, light, fold, tuple(held_out), max_passes=200, limit=1e6)
+        lost = [f for f in batch.fits if f.failure and 0 < f.events < f.weight]
+        if lost:  # of both outcomes and yet no direction: an error, not a row less
+            raise IncompletePredictions(FitBatch(terms, lost))
         for f in batch.done():
             d = np.zeros(len(names) + 1)
             slope = f.beta[1:] / f.scale

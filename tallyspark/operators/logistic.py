@@ -198,24 +198,26 @@ def _statistics(batches: Iterator[pa.RecordBatch], k: int, jobs: list, width: in
 
                 if not bs.shape[1]:
                     continue
-                target = add(xn, y[:, None])
                 if m == 1:  # an intercept alone is the same for all rows
-                    weight, eta = add(n[:, None], np.ones((len(y), 1))), bs
+                    target, weight, eta = add(xn, y[:, None]), add(n[:, None], np.ones((len(y), 1))), bs
                     p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
                     part = [weight * np.logaddexp(0, eta) - target * eta, weight * p - target, weight * p * (1 - p)]
                 else:
-                    eta = xs @ bs
+                    # all from exp(-margin), so that the small losses and residuals of a separated fit are not differences of large sums
+                    away = (1 - 2 * y)[:, None]
+                    eta = (xs * away) @ bs
                     if np.max(eta) < 700:
                         u = np.exp(eta)
                         v = 1 + u
                         soft = np.log(v, out=eta)
-                        np.divide(u, v, out=u)  # p
+                        soft += (u - (v - 1)) / v  # what 1 + u has lost of u
+                        np.divide(u, v, out=u)  # the residual without its sign
                         np.divide(u, v, out=v)  # p (1 - p)
                     else:
+                        soft = np.logaddexp(0, eta)
                         u = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                        soft = np.maximum(eta, 0) + np.log1p(np.exp(-np.abs(eta)))
                         v = u * (1 - u)
-                    part = [add(n[:, None], soft) - np.sum(target * bs, axis=0), add(xn, u) - target, add(xx, v)]
+                    part = [add(n[:, None], soft), add(xn * away, u), add(xx, v)]
                 total[:1 + m + len(triangles[m][0]), at] += np.concatenate(part)
     for total, (ids, *_) in zip(totals, jobs):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32())] + [pa.array(row) for row in total],

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,14 @@ def test_separation(spark):
     for f in (1, 2, 3):
         e = sum(x[5] for x in rows if x[1] != f)
         assert mixed["Both", f][1:] == (e, e / 2)
+
+
+def test_loss_of_a_separated_fit_keeps_its_digits():
+    y = np.tile([0, 1], 50_000)
+    batch = pa.RecordBatch.from_pydict({"y": y, "fold": np.ones(len(y), dtype=np.int32), "n": np.ones(len(y), dtype=np.int32), "z0": np.where(y, 1.0, -1.0)})
+    beta = np.array([[0.3], [24.0]])
+    out = next(logistic._statistics(iter([batch]), 1, [([0], logistic.NO_FOLD, [0, 1], np.array([0]), beta)], 6)).to_pydict()
+    losses = [math.log1p(math.exp(-24.3)), math.log1p(math.exp(-23.7))]
+    assert out["s0"][0] == pytest.approx(50_000 * sum(losses), rel=1e-12)
+    away = [-1 / (1 + math.exp(24.3)), 1 / (1 + math.exp(23.7))]
+    assert out["s1"][0] == pytest.approx(50_000 * sum(away), rel=1e-12) and out["s2"][0] == pytest.approx(50_000 * (away[0] - away[1]), rel=1e-12)
