@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import checks, cohorts, links, reconcile, summaries
+from ..session import stored
 from ..sources import manifest, scan, text
 from . import tables as t
 from .link_plans import SUBPLOTS, endpoint_rows, subplots
@@ -527,7 +528,7 @@ EVAL_SQL = sql("visits", """SELECT choice, evalid, visits, (SELECT count(*) FROM
 
 def source_manifest(spark, sf):
     """Digests of the source files against a pin list in which one file is changed and one is not listed."""
-    m = manifest.file_manifest(spark, sf, "*.parquet")
+    m = stored(manifest.file_manifest(spark, sf, "*.parquet"), "manifest")
     pins = m.where("file <> 'region.parquet'").withColumn("sha256", F.when(F.col("file") == "nation.parquet", F.lit("0")).otherwise(F.col("sha256")))
     return manifest.compare_manifests(m, pins).select("file", "state")
 

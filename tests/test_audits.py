@@ -1,5 +1,10 @@
+import gzip
+import hashlib
+import tracemalloc
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +189,40 @@ def test_a_table_of_part_files_is_one_manifest_entry(spark, tmp_path):
     assert was["u.parquet"] == now["u.parquet"] and was["t.parquet"] != now["t.parquet"]
 
 
+def test_digests_of_files_in_pieces(spark, tmp_path, monkeypatch):
+    """Files of many splits and pieces, with and without a last line end, with a mark, long lines, packed by name only."""
+    rng = np.random.default_rng(3)
+    data = {"a.bin": rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes(), "b.bin": b"\n" * 5000, "c.bin": b"\xef\xbb\xbfone\r\ntwo\n", "d.bin": b"\xef\xbb\xbfone",
+            "f.bin": b"\0" * 200_000 + b"\n", "g.gz": b"not packed", "h.gz": gzip.compress(b"packed\n" * 9), "i j%20.bin": b"x", "sub.bin/k.bin": b"\n\xff"}
+    for name, b in data.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b)
+    seen = []
+    read = type(spark.read).format
+    monkeypatch.setattr(manifest, "PIECE", 4096)
+    monkeypatch.setattr(type(spark.read), "format", lambda self, kind: seen.append(kind) or read(self, kind))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r.file: r.sha256 for r in manifest.file_manifest(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {name: hashlib.sha256(b).hexdigest() for name, b in data.items()}
+    want["sub.bin"] = hashlib.sha256(f"sub.bin/k.bin {want.pop('sub.bin/k.bin')}".encode()).hexdigest()
+    assert got == want and "text" in seen
+
+
+def test_a_digest_holds_no_whole_file():
+    """The states of 64 MB in pieces take no more memory than a few pieces."""
+    piece = pa.array([b"\n" * (1 << 20)], pa.binary())
+    one = lambda k: pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (1, 0, 64 << 20, k)] + [piece], ["id", "start", "size", "seq", "piece"])
+    tracemalloc.start()
+    out = next(manifest._digests(one(k) for k in range(64))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out == [{"id": 1, "sha256": hashlib.sha256(b"\n" * (64 << 20)).hexdigest()}] and peak < 8 << 20
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one")
     (tmp_path / "b.txt").write_text("two")
