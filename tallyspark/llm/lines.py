@@ -51,16 +51,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Distinct hashes of all character shingles of a line; four bytes a character, so that they are cut without counting."""
+def hashes(line: Column, size: int = SHINGLE) -> Column:
+    """Hashes of all character shingles of a line, repeats included; four bytes a character, so that they are cut without counting."""
     starts = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (4 * size - 1), F.lit(1)), F.lit(4))
-    return F.array_distinct(_let(F.encode(line, "UTF-32"), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * size))))))
+    return _let(F.encode(line, "UTF-32"), lambda b: F.transform(starts(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * size)))))
+
+
+def shingles(line: Column) -> Column:
+    """Distinct hashes of all character shingles of a line."""
+    return F.array_distinct(hashes(line))
 
 
 def signature(line: Column) -> Column:
     """16 MinHash values of a line, the smallest and the largest hash of all its shingles in each order."""
     seeds = F.array(*[F.lit(k) for k in range(ORDERS)])
-    return _let(shingles(line), lambda s: F.flatten(F.transform(seeds, lambda k: _let(
+    return _let(hashes(line), lambda s: F.flatten(F.transform(seeds, lambda k: _let(
         F.transform(s, lambda h: F.xxhash64(h, k)), lambda t: F.array(F.array_min(t), F.array_max(t))))))
 
 
@@ -106,7 +111,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     sized = sized.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - F.lit(1e-6))
     both = sized.join(texts.select("id", "t").toDF("a", "ta"), "a").join(texts.select("id", "t").toDF("b", "tb"), "b")
-    common = F.size(F.array_intersect(shingles(F.col("ta")), shingles(F.col("tb"))))
+    common = F.size(F.array_intersect(hashes(F.col("ta")), hashes(F.col("tb"))))  # which has no repeats
     sets = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), common.alias("common"))
     return sets.where(F.col("common") >= F.lit(similarity) * (F.col("n") - F.col("common")) - F.lit(1e-9)).select("a", "b")
 
